@@ -9,10 +9,11 @@ from .imatch import op10_imatch
 from .language import op2_language
 from .mixing import OP5_SQL, op5_mixing
 from .simhash import op1_simhash
+from .suffixes import op3_suffixes
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_language, op5_mixing, op6_bpe, op8_exact_dedup, op9_chat, op10_imatch)
+    for f in (op1_simhash, op2_language, op3_suffixes, op5_mixing, op6_bpe, op8_exact_dedup, op9_chat, op10_imatch)
 }
 
 #: The others can't be expressed in SQL; tests hold them against brute force.
