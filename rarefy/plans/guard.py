@@ -1,0 +1,14 @@
+"""Guards against plans that would write out dense data by accident."""
+
+from __future__ import annotations
+
+import math
+
+#: How many cells one stored row may become when dimensions are stretched.
+MAX_EXPANSION = 1 << 26
+
+
+def expandable(dims) -> None:
+    n = math.prod(dims)
+    if n > MAX_EXPANSION:
+        raise ValueError(f"each stored cell would become {n}; stretch fewer dimensions or raise plans.guard.MAX_EXPANSION")
