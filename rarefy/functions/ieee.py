@@ -11,8 +11,20 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INF, NAN = F.lit(math.inf), F.lit(math.nan)
-NINF = F.lit(-math.inf)
+
+# columns need a session, so these are functions: the module must import without one
+
+
+def inf() -> Column:
+    return F.lit(math.inf)
+
+
+def ninf() -> Column:
+    return F.lit(-math.inf)
+
+
+def nan() -> Column:
+    return F.lit(math.nan)
 
 
 def either_nan(a: Column, b: Column) -> Column:
@@ -28,8 +40,8 @@ def signbit(v: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    sign = F.when((a < 0) != negative_zero(b), NINF).otherwise(INF)
-    by_zero = F.when((a == 0) | F.isnan(a), NAN).otherwise(sign)
+    sign = F.when((a < 0) != negative_zero(b), ninf()).otherwise(inf())
+    by_zero = F.when((a == 0) | F.isnan(a), nan()).otherwise(sign)
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
@@ -60,15 +72,15 @@ def round_half_even(v: Column, decimals: int) -> Column:
         return rint(v)
     scale = F.lit(float(10 ** abs(decimals)))
     scaled = rint(v * scale) / scale if decimals > 0 else rint(v / scale) * scale
-    return F.when(F.abs(v) < INF, scaled).otherwise(v)
+    return F.when(F.abs(v) < inf(), scaled).otherwise(v)
 
 
 def remainder(a: Column, b: Column) -> Column:
-    safe = F.when(b == 0, NAN).otherwise(b)
+    safe = F.when(b == 0, nan()).otherwise(b)
     m = a % safe
     shifted = F.when((m != 0) & ((m < 0) != (safe < 0)), m + safe).otherwise(m)
     infinite = F.when((a < 0) == (b < 0), a).otherwise(F.when(a == 0, a).otherwise(b))
-    return F.when(either_nan(a, b) | (b == 0) | (F.abs(a) == INF), NAN).when(F.abs(b) == INF, infinite).otherwise(shifted)
+    return F.when(either_nan(a, b) | (b == 0) | (F.abs(a) == inf()), nan()).when(F.abs(b) == inf(), infinite).otherwise(shifted)
 
 
 def floor_divide(a: Column, b: Column) -> Column:
@@ -76,26 +88,26 @@ def floor_divide(a: Column, b: Column) -> Column:
 
 
 def power(a: Column, b: Column) -> Column:
-    one = (a == 1) | (b == 0) | ((a == -1) & (F.abs(b) == INF))
+    one = (a == 1) | (b == 0) | ((a == -1) & (F.abs(b) == inf()))
     return F.when(one, F.lit(1.0)).otherwise(F.pow(a, b))
 
 
 def logarithm(f, v: Column, zero_at: float = 0.0) -> Column:
     at = F.lit(zero_at)
     good = v > at
-    return F.when(F.isnan(v), NAN).when(v == at, NINF).when(v < at, NAN).otherwise(f(F.when(good, v).otherwise(F.lit(1.0))))
+    return F.when(F.isnan(v), nan()).when(v == at, ninf()).when(v < at, nan()).otherwise(f(F.when(good, v).otherwise(F.lit(1.0))))
 
 
 def logaddexp(a: Column, b: Column) -> Column:
     return (
-        F.when(either_nan(a, b), NAN)
+        F.when(either_nan(a, b), nan())
         .when(a == b, a + F.lit(math.log(2)))
         .otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
     )
 
 
 def minimum(a: Column, b: Column) -> Column:
-    return F.when(either_nan(a, b), NAN).otherwise(F.least(a, b))
+    return F.when(either_nan(a, b), nan()).otherwise(F.least(a, b))
 
 
 def copysign(a: Column, b: Column) -> Column:
@@ -103,11 +115,11 @@ def copysign(a: Column, b: Column) -> Column:
 
 
 def sign(v: Column) -> Column:
-    return F.when(F.isnan(v), NAN).otherwise(F.signum(v))
+    return F.when(F.isnan(v), nan()).otherwise(F.signum(v))
 
 
 def isfinite(v: Column) -> Column:
-    return (F.abs(v) < INF) & ~F.isnan(v)
+    return (F.abs(v) < inf()) & ~F.isnan(v)
 
 
 def equal(a: Column, b: Column) -> Column:

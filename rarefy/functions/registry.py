@@ -178,9 +178,9 @@ def _test(on_float: Callable, otherwise: bool | Callable):
 
 
 _put("isnan", _test(F.isnan, False))
-_put("isinf", _test(lambda v: F.abs(v) == ieee.INF, False))
-_put("isposinf", _test(lambda v: v == ieee.INF, False))
-_put("isneginf", _test(lambda v: v == ieee.NINF, False))
+_put("isinf", _test(lambda v: F.abs(v) == ieee.inf(), False))
+_put("isposinf", _test(lambda v: v == ieee.inf(), False))
+_put("isneginf", _test(lambda v: v == ieee.ninf(), False))
 _put("signbit", _test(ieee.signbit, lambda v: v < 0))
 
 

@@ -15,6 +15,7 @@ import functools
 import operator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,17 +71,14 @@ def _column(func, entry, columns: list[Column], dtypes: list[np.dtype], out: np.
     if any(d.kind == "c" for d in (*dtypes, out)):
         raise TypeError("functions without a column form take no complex numbers")
 
-    import pandas as pd
-
-    types = [d for d in dtypes]
-
+    # one struct of all operands: a batch is then a DataFrame, whatever their number
     @F.pandas_udf(spark_type(out))
-    def run(*series: pd.Series) -> pd.Series:
-        arrays = [s.to_numpy().astype(d) for s, d in zip(series, types)]
+    def run(rows: pd.DataFrame) -> pd.Series:
+        arrays = [rows[c].to_numpy().astype(d) for c, d in zip(rows.columns, dtypes)]
         with np.errstate(all="ignore"):
             return pd.Series(np.asarray(func(*arrays, **kwargs), dtype=out))
 
-    return run(*columns)
+    return run(F.struct(*(c.alias(f"x{i}") for i, c in enumerate(columns))))
 
 
 def elemwise(func, *args, dtype=None, **kwargs):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -257,8 +258,6 @@ def by_ufunc(x, method, axis=(0,), keepdims=False, dtype=None, **kwargs) -> Tens
 
 
 def _folded(x: Tensor, method, axis, keepdims: bool) -> Tensor:
-    import pandas as pd
-
     out = method.reduce(np.zeros(1, x.dtype)).dtype
 
     @F.pandas_udf(spark_type(out))

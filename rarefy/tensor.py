@@ -206,11 +206,11 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
     # ------------------------------------------------------------ NumPy's protocols
 
     def __array_namespace__(self, *, api_version=None):
-        import rarefy
+        from . import api
 
         if api_version not in (None, "2021.12", "2022.12", "2023.12", "2024.12"):
             raise ValueError(f"API version {api_version} isn't supported")
-        return rarefy
+        return api
 
     def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kwargs):
         from .operators import elementwise, linalg, reduce
@@ -238,9 +238,9 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         return result
 
     def __array_function__(self, func, types, args, kwargs):
-        import rarefy
+        from . import api
 
-        own = getattr(rarefy, {"amax": "max", "amin": "min", "around": "round"}.get(func.__name__, func.__name__), None)
+        own = getattr(api, {"amax": "max", "amin": "min", "around": "round"}.get(func.__name__, func.__name__), None)
         if own is None:
             return NotImplemented
         return own(*args, **kwargs)
@@ -281,9 +281,9 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         return self._call("imag")
 
     def _call(self, name, *args, **kwargs):
-        import rarefy
+        from . import api
 
-        return getattr(rarefy, name)(self, *args, **kwargs)
+        return getattr(api, name)(self, *args, **kwargs)
 
     def transpose(self, axes=None) -> Tensor:
         return self._call("permute_dims", axes)
