@@ -179,7 +179,7 @@ COO, GCXS, CSR, CSC = map(_Format, ("coo", "gcxs", "csr", "csc"))
 
 
 def can_cast(from_, to, /, *, casting="safe"):
-    return _np.can_cast(getattr(from_, "dtype", from_), to, casting)
+    return _np.can_cast(from_.dtype if isinstance(from_, (Tensor, DOK)) else from_, to, casting)
 
 
 def result_type(*arrays_and_dtypes):

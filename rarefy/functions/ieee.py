@@ -84,7 +84,10 @@ def remainder(a: Column, b: Column) -> Column:
 
 
 def floor_divide(a: Column, b: Column) -> Column:
-    return F.when(b == 0, divide(a, b)).otherwise(floor(divide(a - remainder(a, b), b) + F.lit(0.0)))
+    # a finite number over an infinite one lies just on one side of zero
+    beside = F.when((a == 0) | ((a < 0) == (b < 0)), F.lit(0.0)).otherwise(F.lit(-1.0))
+    exact = floor(divide(a - remainder(a, b), b) + F.lit(0.0))
+    return F.when(b == 0, divide(a, b)).when((F.abs(b) == inf()) & isfinite(a), beside).otherwise(exact)
 
 
 def power(a: Column, b: Column) -> Column:

@@ -27,14 +27,14 @@ def _axes(x: Tensor, axis) -> tuple[int, ...]:
     return axis if isinstance(axis, tuple) else (axis,)
 
 
-def _reduce(x: Tensor, axis, keepdims: bool, aggregates: list[Column], finish, dtype, fill) -> Tensor:
+def _reduce(x: Tensor, axis, keepdims: bool, aggregates: list[Column], finish, dtype, fill, count: Column | None = None) -> Tensor:
     """finish: from the aggregates' names (s0, s1, …), c and m = n - c to the value of a lane."""
     axes = _axes(x, axis)
     kept = [i for i in range(x.ndim) if i not in axes]
     n = math.prod(x.shape[i] for i in axes)
     named = [a.alias(f"s{k}") for k, a in enumerate(aggregates)]
     grouped = x.df.groupBy(*(f"d{i}" for i in kept)) if kept else x.df.groupBy(F.lit(0).alias("_all"))
-    df = grouped.agg(F.count(F.lit(1)).alias("c"), *named).withColumn("m", F.lit(n) - F.col("c"))
+    df = grouped.agg((F.count(F.lit(1)) if count is None else count).alias("c"), *named).withColumn("m", F.lit(n) - F.col("c"))
     if keepdims:
         shape = tuple(1 if i in axes else s for i, s in enumerate(x.shape))
         coords = [F.lit(0).cast("long").alias(f"d{i}") if i in axes else F.col(f"d{i}") for i in range(x.ndim)]
@@ -264,6 +264,11 @@ def _folded(x: Tensor, method, axis, keepdims: bool) -> Tensor:
     def fold(v: pd.Series) -> float:
         return method.reduce(v.to_numpy()).item()
 
+    # Pandas aggregates don't mix with others
+    @F.pandas_udf("long")
+    def stored(v: pd.Series) -> int:
+        return len(v)
+
     fill = x.fill_value
 
     @F.pandas_udf(spark_type(out))
@@ -271,7 +276,7 @@ def _folded(x: Tensor, method, axis, keepdims: bool) -> Tensor:
         a = s.to_numpy()
         return pd.Series(np.where(m.to_numpy() > 0, method(a, fill), a).astype(out))
 
-    return _reduce(x, axis, keepdims, [fold("v")], lambda s: with_fill(s, F.col("m")), out, fill)
+    return _reduce(x, axis, keepdims, [fold("v")], lambda s: with_fill(s, F.col("m")), out, fill, stored("v"))
 
 
 builtin_max = __builtins__["max"] if isinstance(__builtins__, dict) else __builtins__.max

@@ -519,9 +519,9 @@ def astype_wraps(t):
     return R.where(True, t.I.astype("uint8").astype("int32"), 0)
 
 
-@query("SELECT d0, d1, CASE WHEN v <= 50 THEN v / 5 WHEN v >= 150 THEN 30.0 ELSE 10 + (v - 50) / 5 END AS v FROM {S}")
+@query("SELECT d0, d1, CASE WHEN v <= 50 THEN v / 2 WHEN v >= 150 THEN 50.0 ELSE 25 + (v - 50) / 4 END AS v FROM {S}")
 def interp(t):
-    return R.interp(t.S, [0.0, 50.0, 150.0], [0.0, 10.0, 30.0])
+    return R.interp(t.S, [0.0, 50.0, 150.0], [0.0, 25.0, 50.0])
 
 
 # ---------------------------------------------------------------- reductions
