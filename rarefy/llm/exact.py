@@ -99,8 +99,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.join(stays, "doc_id", "left_semi").select(docs.columns)
     lone = verdict.where("doc_id is null and keep_id is null").select(F.unhex("text_sha256").alias("digest")).distinct()
-    nameless = docs.where("doc_id is null").withColumn("__digest", digest()).join(lone, F.col("__digest") == lone.digest, "left_semi")
-    return kept.union(nameless.select(docs.columns))
+    nameless = docs.where("doc_id is null").join(lone, digest() == lone["digest"], "left_semi")
+    return kept.union(nameless)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,11 +95,12 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Documents that the budget doesn't reach go; the one at a source's cut stays whole.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("__copies"))
-    taken = taken.where("__copies > 0 and doc_id is not null").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(taken, docs["doc_id"] == F.col("__id"))
-    again = joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return again.select(*(docs[c] for c in docs.columns))
+    copies = F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).cast("int")
+    taken = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(copies.alias("copies")).where("copies > 0 and id is not null")
+    joined = docs.join(taken, docs["doc_id"] == taken["id"])
+    # a document's columns travel as one value, so that no name of theirs can clash
+    rows = joined.select(F.explode(F.array_repeat(F.struct(*(docs[c] for c in docs.columns)), taken["copies"])).alias("r"))
+    return rows.select("r.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def _views(docs: DataFrame, keep: list[str]) -> DataFrame:
 class Logistic:
     """L2-regularised logistic regression by Newton steps, on standardised features."""
 
-    def __init__(self, penalty: float = 3.0):
+    def __init__(self, penalty: float = 30.0):
         self.penalty = penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
@@ -109,16 +109,24 @@ class Logistic:
 
 
 class Platt:
-    """Calibration of log-odds: a slope and an intercept, fitted to smoothed labels."""
+    """Calibration of log-odds: a slope and an intercept, fitted to smoothed labels.
+
+    Both are drawn a little towards leaving the odds as they are, so that few or perfectly
+    separated labels give finite values; Newton steps are bounded for the same reason.
+    """
 
     def fit(self, s: np.ndarray, y: np.ndarray) -> Platt:
         ones = y.sum()
         t = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-        x, w = np.c_[s, np.ones(len(s))], np.array([1.0, 0.0])
-        for _ in range(30):
+        x, w, start = np.c_[s, np.ones(len(s))], np.array([1.0, 0.0]), np.array([1.0, 0.0])
+        ridge = np.array([0.3, 0.03])
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             v = np.maximum(p * (1 - p), 1e-6)
-            w += np.linalg.solve((x * v[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (t - p) - 1e-3 * (w - [1, 0]))
+            step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(ridge), x.T @ (t - p) - ridge * (w - start))
+            w = w + np.clip(step, -0.5, 0.5)
+            if np.abs(step).max() < 1e-6:
+                break
         self.slope, self.shift = max(0.0, w[0]), w[1]
         return self
 
@@ -192,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     free = _first(docs.select("doc_id").where("doc_id is not null").distinct().join(clean, "doc_id", "left_anti"), pool).withColumn("y", F.lit(-1.0))
     # both samples are bounded by their parameters, so the texts needn't be shuffled to meet them
     chosen = F.broadcast(known.union(free).withColumnRenamed("doc_id", "__id"))
-    rows = _views(docs.join(chosen, docs["doc_id"] == F.col("__id")).select(*(docs[c] for c in ("doc_id", "text", "source", "lang", "n_chars")), "y"), ["doc_id", "y"]).collect()
+    rows = _views(docs.join(chosen, docs["doc_id"] == chosen["__id"]).select(*(docs[c] for c in ("doc_id", "text", "source", "lang", "n_chars")), chosen["y"].alias("y")), ["doc_id", "y"]).collect()
     rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (bytes(r.tv), bytes(r.mv)))}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
     have, rest = [r for r in rows if r.y >= 0], [r for r in rows if r.y < 0]
     y = np.array([r.y for r in have])
