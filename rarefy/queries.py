@@ -141,7 +141,7 @@ def prune(t):
 @query("SELECT count(*) AS nnz, count(*) / ({q0} * {q1})::DOUBLE AS density, {q0} * {q1} AS size FROM {Q}")
 def nnz_density(t):
     q = t.Q
-    return q.df.agg(F.count(F.lit(1)).alias("nnz")).select("nnz", (F.col("nnz") / F.lit(float(q.size))).alias("density"), F.lit(q.size).alias("size"))
+    return q.df.agg(F.count(F.lit(1)).alias("nnz")).select("nnz", (F.col("nnz") / F.lit(float(q.size))).alias("density"), F.lit(q.size).cast("long").alias("size"))
 
 
 @query("SELECT range AS d0, range + 2 AS d1, 1.0::DOUBLE AS v FROM range({s0} - 2)")
@@ -606,9 +606,10 @@ def nanmax(t):
     return R.nanmax(_with_nan(t), axis=1)
 
 
-@query("SELECT d1 AS d0, min(v) FILTER (v <= 150) AS v FROM {S} GROUP BY d1 HAVING count(*) = {s0} AND min(v) FILTER (v <= 150) <> 0")
+@query("SELECT d1 AS d0, min(v - 200) FILTER (v <= 150) AS v FROM {S} GROUP BY d1 HAVING count(*) FILTER (v <= 150) > 0")
 def nanmin(t):
-    return R.nanmin(_with_nan(t), axis=0)
+    s = t.S
+    return R.nanmin(R.where(s > 150, np.nan, R.where(s != 0, s - 200, 0.0)), axis=0)
 
 
 @query("SELECT d0, d1, product(1 + v % 2) FILTER (v % 3 <> 0) AS v FROM {E} GROUP BY d0, d1 HAVING coalesce(product(1 + v % 2) FILTER (v % 3 <> 0), 1) <> 1")
