@@ -26,7 +26,8 @@ ROUNDS = 5
 #: Pseudo-labels that a view hands over per round and class, and how sure it must be.
 HANDED, SURE = 100, 0.95
 WORDS, SHAPES, META = 256, 64, 96
-KEEP = 0.5
+#: A document goes below this probability: where in doubt, it stays.
+KEEP = 0.4
 _MARKS = b"|%$#*&!?.,;:@<>{}[]()=\"'/\\_-+~^`"
 
 
@@ -152,7 +153,8 @@ class CoTrained:
             handed = []
             for k, m in enumerate(models):
                 at = np.flatnonzero(free)
-                odds = m.odds(pool[k][at])
+                # sure by calibrated odds: a strongly regularised view is shy otherwise
+                odds = Platt().fit(m.odds(views[k][third]), y[third])(m.odds(pool[k][at]))
                 sure = np.log(SURE / (1 - SURE))
                 best = np.argsort(-np.abs(odds), kind="stable")
                 picked = np.concatenate([best[odds[best] > sure][:HANDED], best[odds[best] < -sure][:HANDED]])
