@@ -104,10 +104,11 @@ class Codes:
         return np.minimum(out, self.depth)
 
 
-def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(t: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of codes (by their first ``depth`` codes) and adjacent common prefixes.
 
-    Codes lie between 1 and 511; 0 separates texts and must come last.
+    Codes lie between 1 and 511; 0 separates texts and must come last. wanted: only these suffixes
+    are returned, and sorted besides them are only successors from which one of them is induced.
     The second result's entry i belongs to the suffixes at i - 1 and i; entry 0 is 0.
     """
     n = len(t)
@@ -115,7 +116,14 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     small = _types(t)
-    direct = codes.sorted(np.flatnonzero(small))
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        # a larger suffix needs its successor, and so on up to the first smaller one
+        at = np.arange(n)
+        last_wanted = np.maximum.accumulate(np.where(wanted, at, -1))
+        last_small = np.r_[-1, np.maximum.accumulate(np.where(small, at, -1))[:-1]]
+        needed = (last_wanted >= 0) & (last_small < last_wanted) | wanted
+    direct = codes.sorted(np.flatnonzero(small & needed))
     first = t[direct]
     present = np.unique(t)
     direct_of = dict(zip(present.tolist(), zip(np.searchsorted(first, present, "left"), np.searchsorted(first, present, "right"))))
@@ -124,7 +132,7 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     def induce(scanned: np.ndarray, own: int) -> np.ndarray:
         """Hands each larger predecessor to its bucket, in scan order; returns those of the own bucket."""
         before = scanned[scanned > 0] - 1
-        before = before[~small[before]]
+        before = before[needed[before] & ~small[before]]
         if not len(before):
             return before
         head = t[before]
@@ -151,7 +159,8 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
         out.append(direct[s:e])
         induce(direct[s:e], c)
     order = np.concatenate(out)
-    return order, np.r_[0, codes.common(order[:-1], order[1:])]
+    order = order if wanted is None else order[wanted[order]]
+    return order, np.r_[0, codes.common(order[:-1], order[1:])] if len(order) else order
 
 
 # ---------------------------------------------------------------- anchors
@@ -244,18 +253,77 @@ def _delta(x: np.ndarray) -> np.ndarray:
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary())])
-_FOUND = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-_WHOLE, _DIFFER = 0, 1
+_FOUND = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+_WHOLE, _DIFFER, _SPAN = 0, 1, 2
 
 
-def _by_document(k, th, kind, *columns):
-    """Rows of _FOUND: one for each run of equal (k, th); columns are packed."""
-    if not len(k):
-        return
-    cut = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (th[1:] != th[:-1])])
-    end = np.r_[cut[1:], len(k)]
-    data = [b"".join(c[s:e].tobytes() for c in columns) for s, e in zip(cut, end)]
-    yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(th[cut]), pa.array(np.full(len(cut), kind, np.int32)), pa.array(data, pa.binary())], schema=_FOUND)
+#: What is found of a document: places of anchors; anchors to compare; spans of bytes.
+_ENTRY = {_WHOLE: np.dtype([("at", "<u4")]), _DIFFER: np.dtype([("at", "<u4"), ("h", "<u8")]), _SPAN: np.dtype([("from", "<u4"), ("to", "<u4")])}
+
+
+class _ByDocument:
+    """Gathers entries of one kind and gives them out packed, one row for each destination of documents."""
+
+    def __init__(self, kind: int, destinations: int):
+        self.kind, self.destinations, self.held, self.size = kind, destinations, [], 0
+
+    def add(self, k, th, *columns):
+        """Yields rows when enough entries are held."""
+        if len(k):
+            self.held.append((k, th, *columns))
+            self.size += len(k)
+        if self.size >= CHUNK_ANCHORS:
+            yield from self.rows()
+
+    def rows(self):
+        if not self.held:
+            return
+        k, th, *columns = (np.concatenate(c) for c in zip(*self.held))
+        self.held, self.size = [], 0
+        dest = ((k.view(_U) * _MIX[12]) >> _U(33)) % _U(self.destinations)
+        order = np.lexsort((columns[0], th, k, dest))
+        k, th, dest = k[order], th[order], dest[order]
+        columns = [c[order].astype(t[0]) for c, t in zip(columns, _ENTRY[self.kind].fields.values())]
+        start, end = _runs(dest)
+        parts = [_pack(_delta(k[s:e]), th[s:e], *(c[s:e] for c in columns)) for s, e in zip(start, end)]
+        kinds = np.full(len(start), self.kind, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(dest[start].astype(np.int32)), pa.array(kinds), pa.array(parts, pa.binary())], schema=_FOUND)
+
+
+def _gather(*kinds: int):
+    """Of rows by destination, one row for each document: (k, th, entries of each kind)."""
+    names = {_WHOLE: "places", _DIFFER: "entries", _SPAN: "spans"}
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), *((names[i], pa.binary()) for i in kinds)])
+
+    def run(batches):
+        for _, rows in _by_bucket(batches):
+            found: dict[tuple, list] = {}
+            for at, kind in enumerate(kinds):
+                entry = _ENTRY[kind]
+                types = [t[0].str for t in entry.fields.values()]
+                parts = [_unpack(r[1], "<i8", "<i8", *types) for r in rows if r[0] == kind]
+                if not parts:
+                    continue
+                k = np.concatenate([np.cumsum(p[0]) for p in parts])
+                th, *columns = (np.concatenate([p[i] for p in parts]) for i in range(1, 2 + len(types)))
+                order = np.lexsort((columns[0], th, k))
+                k, th = k[order], th[order]
+                entries = np.empty(len(k), entry)
+                for name, c in zip(entry.names, columns):
+                    entries[name] = c[order]
+                data, width = entries.tobytes(), entry.itemsize
+                start, end = _runs(k, th)
+                for s, e, *key in zip(start.tolist(), end.tolist(), k[start].tolist(), th[start].tolist()):
+                    found.setdefault(tuple(key), [None] * len(kinds))[at] = data[s * width : e * width]
+            columns = zip(*((*key, *parts) for key, parts in found.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return run
+
+
+def _ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(new)
+    return start, np.r_[start[1:], len(new)]
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,8 +334,7 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[0] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    start = np.flatnonzero(new)
-    return start, np.r_[start[1:], len(new)]
+    return _ends(new)
 
 
 def _deal(buckets: int, length: int):
@@ -340,31 +407,39 @@ def _by_bucket(batches):
         yield now, rows
 
 
-def _settle(batches):
+def _settle(destinations: int):
     """Reduce side: who repeats a whole context, and which fragments must be compared."""
-    for bucket, rows in _by_bucket(batches):
+
+    def run(batches):
+        whole, differ = _ByDocument(_WHOLE, destinations), _ByDocument(_DIFFER, destinations)
+        for bucket, rows in _by_bucket(batches):
+            yield from settle(bucket, rows, whole, differ)
+        yield from whole.rows()
+        yield from differ.rows()
+
+    def settle(bucket, rows, whole, differ):
         parts = [_unpack(r[0], "<i8", "<i8", "<u4") for r in rows]
         k = np.concatenate([np.cumsum(p[0]) for p in parts])
         th, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         if bucket < 0:
-            yield from _by_document(k, th, _WHOLE, at)
-            continue
+            yield from whole.add(k, th, at)
+            return
         h, c = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", "<u8") for r in rows)))
-        order = np.lexsort((at, th, k, c, h))
+        order = np.lexsort((k, c, h))
         k, th, at, h, c = (x[order] for x in (k, th, at, h, c))
         start, end = _runs(h, c)
         low = np.repeat(k[start], end - start)
-        again = np.flatnonzero(k > low)
-        again = again[np.lexsort((at[again], th[again], k[again]))]
-        yield from _by_document(k[again], th[again], _WHOLE, at[again])
+        again = k > low
+        yield from whole.add(k[again], th[again], at[again])
         # anchors with several contexts, of several documents
         s, e = _runs(h)
-        kinds = np.add.reduceat(np.isin(np.arange(len(h)), start), s) if len(s) else s
-        spread = np.minimum.reduceat(low, s) < np.maximum.reduceat(low, s) if len(s) else np.empty(0, bool)
-        mixed = np.repeat((kinds > 1) & spread, e - s)
-        x = np.flatnonzero(mixed & (k == low))
-        x = x[np.lexsort((at[x], th[x], k[x]))]
-        yield from _by_document(k[x], th[x], _DIFFER, at[x], h[x])
+        first = np.zeros(len(h), np.int64)
+        first[start] = 1
+        mixed = (np.add.reduceat(first, s) > 1) & (np.minimum.reduceat(low, s) < np.maximum.reduceat(low, s))
+        x = np.repeat(mixed, e - s) & ~again
+        yield from differ.add(k[x], th[x], at[x], h[x])
+
+    return run
 
 
 def _cut(buckets: int, length: int):
@@ -393,10 +468,10 @@ def _cut(buckets: int, length: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _DEALT.types)], schema=_DEALT)
 
         for b in batches:
-            for k, th, text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for k, th, text, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 data = text.as_buffer().to_pybytes()
-                at = np.concatenate([np.frombuffer(p, "<u4", len(p) // 12) for p in parts]).astype(np.int64)
-                h = np.concatenate([np.frombuffer(p, _U, len(p) // 12, len(p) // 3) for p in parts])
+                entries = np.frombuffer(entries, _ENTRY[_DIFFER])
+                at, h = entries["at"].astype(np.int64), entries["h"].astype(_U)
                 padded = np.frombuffer(bytes(before) + data + bytes(length), np.uint8)
                 fragments = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
                 m = len(at)
@@ -422,13 +497,12 @@ def _repeated_by_suffix_array(k, left, right, text, length: int) -> tuple[np.nda
     t[np.arange(m), before + right] = 0  # a separator ends every fragment
     used = (column >= (before - left)[:, None]) & (column <= (before + right)[:, None])
     fragment, start = np.nonzero(used)
-    order, common = suffix_array(t[used], length)
-    whole = (start + length <= (before + right)[fragment])[order]
+    # what counts are strings of full length around the anchor
+    order, common = suffix_array(t[used], length, start + length <= (before + right)[fragment])
     fragment, start = fragment[order], start[order]
-    run = np.cumsum(common < length) - 1
-    low = np.full(run[-1] + 1, _NULL_ID)
-    np.minimum.at(low, run[whole], k[fragment[whole]])
-    hit = whole & (k[fragment] > low[run])
+    s, e = _ends(common < length)
+    low = np.repeat(np.minimum.reduceat(k[fragment], s), e - s)
+    hit = k[fragment] > low
     return _first_last(m, width, fragment[hit], start[hit])
 
 
@@ -463,7 +537,7 @@ def _repeated_by_place(k, left, right, text, length: int) -> tuple[np.ndarray, n
     return _first_last(len(k), text.shape[1], fragment, start)
 
 
-def _compare(length: int):
+def _compare(length: int, destinations: int):
     before = length - GRAM
 
     def groups(h):
@@ -480,6 +554,7 @@ def _compare(length: int):
             yield at, len(h)
 
     def run(batches):
+        spans = _ByDocument(_SPAN, destinations)
         for _, rows in _by_bucket(batches):
             parts = [_unpack(r[0], "<i8", "<i8", "<u4", "<u4", "<u4") for r in rows]
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
@@ -492,41 +567,43 @@ def _compare(length: int):
                 part = [x[s:e] for x in (k, left, right, text)]
                 big = e - s > SORT_FRAGMENTS
                 first, last = (_repeated_by_place if big else _repeated_by_suffix_array)(*part, length)
-                hit = s + np.flatnonzero(last >= 0)
-                hit = hit[np.lexsort((at[hit], th[hit], k[hit]))]
-                a = (at[hit] - before + first[hit - s]).astype("<u4")
-                z = (at[hit] - before + last[hit - s] + length).astype("<u4")
-                yield from _by_document(k[hit], th[hit], _DIFFER, a, z)
+                hit = np.flatnonzero(last >= 0)
+                base = at[s + hit] - before
+                yield from spans.add(k[s + hit], th[s + hit], base + first[hit], base + last[hit] + length)
+        yield from spans.rows()
 
     return run
 
 
-def _removed(parts, n: int, length: int) -> np.ndarray:
+def _removed(places: bytes | None, spans: bytes | None, n: int, length: int) -> np.ndarray:
     """Which bytes of a text the found repeats cover."""
     edge = np.zeros(n + 1, np.int64)
-    for kind, data in parts:
-        if kind == _WHOLE:
-            a, z = _bounds(np.frombuffer(data, "<u4").astype(np.int64), n, length)
-        else:
-            a, z = np.frombuffer(data, "<u4").astype(np.int64).reshape(2, -1)
+    if places:
+        a, z = _bounds(np.frombuffer(places, "<u4").astype(np.int64), n, length)
         edge += np.bincount(a, minlength=n + 1) - np.bincount(z, minlength=n + 1)
+    if spans:
+        entries = np.frombuffer(spans, _ENTRY[_SPAN])
+        edge += np.bincount(entries["from"], minlength=n + 1) - np.bincount(entries["to"], minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k, th, parts`` of every document that repeats something; k and th name its row."""
+    """``k, th, places, spans`` of every document that repeats something; k and th name its row."""
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = 4 * n
     texts = docs.select(*_row_key(), raw("text").alias("t"))
     dealt = texts.mapInArrow(_deal(buckets, length), "bucket int, ids binary, hashes binary")
-    schema = "k long, th long, kind int, data binary"
-    found = materialize(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, schema), "repeats")
-    differ = found.where(f"kind = {_DIFFER}").groupBy("k", "th").agg(F.collect_list("data").alias("parts"))
-    fragments = texts.join(differ, ["k", "th"]).select("k", "th", "t", "parts").mapInArrow(_cut(buckets, length), "bucket int, ids binary, hashes binary")
-    compared = fragments.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(length), schema)
+    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(n), "dest int, kind int, data binary"), "repeats")
+    differ = _dealt(found.where(f"kind = {_DIFFER}"), n, "dest").mapInArrow(_gather(_DIFFER), "k long, th long, entries binary")
+    fragments = texts.join(differ, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length), "bucket int, ids binary, hashes binary")
+    compared = _dealt(fragments, n, "bucket").mapInArrow(_compare(length, n), "dest int, kind int, data binary")
     every = found.where(f"kind = {_WHOLE}").union(compared)
-    return every.groupBy("k", "th").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
+    return _dealt(every, n, "dest").mapInArrow(_gather(_WHOLE, _SPAN), "k long, th long, places binary, spans binary")
+
+
+def _dealt(df: DataFrame, n: int, by: str) -> DataFrame:
+    return df.repartition(n, by).sortWithinPartitions(by)
 
 
 def _row_key():
@@ -552,20 +629,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, t, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for doc_id, t, places, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 data = t.as_buffer().to_pybytes()
                 out, kept = np.zeros(len(data), bool), data
-                if parts:
-                    out = _removed([(p["kind"], p["data"]) for p in parts], len(data), length)
+                if places or spans:
+                    out = _removed(places, spans, len(data), length)
                     kept = np.frombuffer(data, np.uint8)[~out].tobytes()
-                spans = int(np.count_nonzero(out[1:] & ~out[:-1]) + (len(out) > 0 and out[0]))
-                row = [doc_id, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()]
+                runs = int(np.count_nonzero(out[1:] & ~out[:-1]) + (len(out) > 0 and out[0]))
+                row = [doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()]
                 rows.append(row + [kept] * text)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     texts = docs.select(F.col("doc_id").cast("long"), *_row_key(), raw("text").alias("t"))
-    joined = texts.join(find_repeats(docs, length), ["k", "th"], "left").select("doc_id", "t", "parts")
+    joined = texts.join(find_repeats(docs, length), ["k", "th"], "left").select("doc_id", "t", "places", "spans")
     return joined.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
     )
