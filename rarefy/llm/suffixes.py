@@ -10,6 +10,8 @@ share such a string, every document is anchored first:
 2. Anchors are dealt by hash. Equal contexts are one fragment, in the name of their smallest id,
    already before the shuffle: a passage or copy that a third of all documents have is one entry
    per task. The other documents of a fragment repeat all of it.
+   Anchors with very many contexts (the edges of such a passage) deal every string around them by
+   its own hash instead, and strings are joined before the shuffle in the same way.
 3. Fragments that share an anchor but differ are cut from the texts and sorted by a two-stage
    suffix array: only suffixes smaller than their successor are sorted directly, the others are
    induced by one scan over the buckets. Adjacent common prefixes of LENGTH or more give the
@@ -33,6 +35,8 @@ GRAM = 16
 CHUNK_ANCHORS = 1 << 20
 #: Fragments that one suffix array sorts; a larger group of one anchor is sorted place by place.
 SORT_FRAGMENTS = 1 << 14
+#: Documents of the sample that tells hot anchors, and how many different contexts make one hot.
+SAMPLE, HOT_CONTEXTS = 5000, 50
 _U = np.uint64
 _MIX = [_U(int.from_bytes(hashlib.sha256(b"context-%d" % i).digest()[:8], "little") | 1) for i in range(16)]
 #: A null id is larger than every other one.
@@ -193,28 +197,39 @@ def _bounds(at: np.ndarray, n, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
 
 
-def contexts(data: bytes, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A hash of what surrounds each anchor; texts that end within it differ from longer ones."""
-    n, before = len(data), length - GRAM
-    width = before + length
+def _hashed(data: bytes, at: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes from each place; every word is mixed before it is summed."""
     words = -(-width // 8)
-    padded = bytes(before) + data + bytes(length + 8)
-    view = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     x = view[at[:, None] + 8 * np.arange(words)]
     if width % 8:
         x[:, -1] &= _U((1 << 8 * (width % 8)) - 1)
     x ^= x >> _U(32)
-    x *= _MIX[15]
+    x *= _MIX[15 - salt]
     x ^= x >> _U(29)
-    mult = np.array([_MIX[k % 12] + _U(2 * (k // 12)) for k in range(words)])
-    x *= mult
+    x *= np.array([_MIX[(k + salt) % 12] + _U(2 * (k // 12)) for k in range(words)])
     x ^= x >> _U(32)
-    out = (x * _MIX[14]).sum(axis=1, dtype=_U)
-    start, end = _bounds(at, n, length)
+    out = (x * _MIX[14 - salt]).sum(axis=1, dtype=_U)
+    return out ^ (out >> _U(29))
+
+
+def contexts(data: bytes, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of what surrounds each anchor; texts that end within it differ from longer ones."""
+    before = length - GRAM
+    out = _hashed(bytes(before) + data + bytes(length + 8), at, before + length)
+    start, end = _bounds(at, len(data), length)
     out += ((at - start) * 1024 + (end - at)).astype(_U) * _MIX[13]
     return out ^ (out >> _U(29))
 
 
+def strings(data: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all strings that hold one of the anchors, with 128 bits of hash."""
+    start = np.unique((at[:, None] - np.arange(length - GRAM + 1)).ravel())
+    start = start[(start >= 0) & (start <= len(data) - length)]
+    padded = data + bytes(8)
+    return start, _hashed(padded, start, length), _hashed(padded, start, length, 1)
+
+
 # ---------------------------------------------------------------- packing arrays into rows
 
 
@@ -337,11 +352,13 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _ends(new)
 
 
-def _deal(buckets: int, length: int):
+def _deal(buckets: int, length: int, hot: np.ndarray):
     """Map side: the anchors of whole texts by bucket; equal contexts of a chunk are joined.
 
-    The places of documents that repeat a context of a smaller id need no partner any more; they
-    travel under a negative bucket.
+    hot: hashes of anchors with very many different contexts (sorted). The strings that hold one
+    are dealt themselves, each by its own hash, in a second range of buckets: those that many
+    documents have are joined here, and the others spread. Places of documents that repeat
+    something of a smaller id need no partner any more; they travel under a negative bucket.
     """
 
     def dealt(held):
@@ -350,8 +367,12 @@ def _deal(buckets: int, length: int):
         by_id = np.lexsort((ths, ids))
         place[by_id] = np.arange(len(held))
         ids, ths = ids[by_id], ths[by_id]
-        doc = np.repeat(place, [len(x[2]) for x in held])
-        at, h, c = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+        for first, base in ((2, 0), (5, buckets)):
+            doc = np.repeat(place, [len(x[first]) for x in held])
+            if len(doc):
+                yield from joined(ids, ths, doc, *(np.concatenate([x[first + i] for x in held]) for i in range(3)), base)
+
+    def joined(ids, ths, doc, at, h, c, base):
         order = np.lexsort((doc << 32 | at, c, h))
         doc, at, h, c = doc[order], at[order].astype("<u4"), h[order], c[order]
         start, end = _runs(h, c)
@@ -359,14 +380,14 @@ def _deal(buckets: int, length: int):
         again = np.flatnonzero(repeats)
         again = again[np.lexsort((at[again], doc[again]))]
         if len(again):
-            yield -1 - int(ids[doc[again[0]]] % buckets), _pack(_delta(ids[doc[again]]), ths[doc[again]], at[again]), b""
+            yield -1 - base - int(ids[doc[again[0]]] % buckets), _pack(_delta(ids[doc[again]]), ths[doc[again]], at[again]), b""
         first = np.flatnonzero(~repeats)
         bucket = (h[first] >> _U(20)) % _U(buckets)
         order = np.lexsort((at[first], doc[first], bucket))
         first, bucket = first[order], bucket[order]
         for s, e in zip(*_runs(bucket)):
             x = first[s:e]
-            yield int(bucket[s]), _pack(_delta(ids[doc[x]]), ths[doc[x]], at[x]), _pack(h[x], c[x])
+            yield base + int(bucket[s]), _pack(_delta(ids[doc[x]]), ths[doc[x]], at[x]), _pack(h[x], c[x])
 
     def run(batches):
         held: list[tuple] = []
@@ -382,8 +403,11 @@ def _deal(buckets: int, length: int):
                 at, h = anchors(data, length)
                 if not len(at):
                     continue
-                held.append((k, th, at, h, contexts(data, at, length)))
-                size += len(at)
+                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+                lone = strings(data, at[known], length)
+                at, h = at[~known], h[~known]
+                held.append((k, th, at, h, contexts(data, at, length), *lone))
+                size += len(at) + len(lone[0])
                 if size >= CHUNK_ANCHORS:
                     yield flush()
                     held, size = [], 0
@@ -407,22 +431,23 @@ def _by_bucket(batches):
         yield now, rows
 
 
-def _settle(destinations: int):
-    """Reduce side: who repeats a whole context, and which fragments must be compared."""
+def _settle(buckets: int, length: int, destinations: int):
+    """Reduce side: who repeats a whole context or string, and which fragments must be compared."""
 
     def run(batches):
-        whole, differ = _ByDocument(_WHOLE, destinations), _ByDocument(_DIFFER, destinations)
+        kinds = [_ByDocument(kind, destinations) for kind in (_WHOLE, _DIFFER, _SPAN)]
         for bucket, rows in _by_bucket(batches):
-            yield from settle(bucket, rows, whole, differ)
-        yield from whole.rows()
-        yield from differ.rows()
+            yield from settle(bucket, rows, *kinds)
+        for kind in kinds:
+            yield from kind.rows()
 
-    def settle(bucket, rows, whole, differ):
+    def settle(bucket, rows, whole, differ, spans):
         parts = [_unpack(r[0], "<i8", "<i8", "<u4") for r in rows]
         k = np.concatenate([np.cumsum(p[0]) for p in parts])
         th, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        one_string = bucket >= buckets or bucket < -buckets
         if bucket < 0:
-            yield from whole.add(k, th, at)
+            yield from spans.add(k, th, at, at + np.uint32(length)) if one_string else whole.add(k, th, at)
             return
         h, c = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", "<u8") for r in rows)))
         order = np.lexsort((k, c, h))
@@ -430,6 +455,9 @@ def _settle(destinations: int):
         start, end = _runs(h, c)
         low = np.repeat(k[start], end - start)
         again = k > low
+        if one_string:
+            yield from spans.add(k[again], th[again], at[again], at[again] + np.uint32(length))
+            return
         yield from whole.add(k[again], th[again], at[again])
         # anchors with several contexts, of several documents
         s, e = _runs(h)
@@ -593,15 +621,36 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = partitions(spark)
     buckets = 4 * n
     texts = docs.select(*_row_key(), raw("text").alias("t"))
-    dealt = texts.mapInArrow(_deal(buckets, length), "bucket int, ids binary, hashes binary")
-    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(n), "dest int, kind int, data binary"), "repeats")
+    dealt = texts.mapInArrow(_deal(buckets, length, _hot(texts, length)), "bucket int, ids binary, hashes binary")
+    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length, n), "dest int, kind int, data binary"), "repeats")
     differ = _dealt(found.where(f"kind = {_DIFFER}"), n, "dest").mapInArrow(_gather(_DIFFER), "k long, th long, entries binary")
     fragments = texts.join(differ, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length), "bucket int, ids binary, hashes binary")
     compared = _dealt(fragments, n, "bucket").mapInArrow(_compare(length, n), "dest int, kind int, data binary")
-    every = found.where(f"kind = {_WHOLE}").union(compared)
+    every = found.where(f"kind <> {_DIFFER}").union(compared)
     return _dealt(every, n, "dest").mapInArrow(_gather(_WHOLE, _SPAN), "k long, th long, places binary, spans binary")
 
 
+def _hot(texts: DataFrame, length: int) -> np.ndarray:
+    """Anchors with different contexts in a hundredth of the documents or more, judged by a sample.
+
+    Whether an anchor is taken for hot changes the way its strings are compared, not the result,
+    so a sample of SAMPLE documents will do. There are fewer of them than a document has anchors,
+    times a hundred.
+    """
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                data = t.as_buffer().to_pybytes()
+                at, h = anchors(data, length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(contexts(data, at, length).view("<i8"))], ["h", "c"])
+
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("k", "th"), F.lit(every)) == 0)
+    seen = sample.select("t").mapInArrow(run, "h long, c long").distinct().groupBy("h").count().where(F.col("count") >= HOT_CONTEXTS)
+    return np.sort(np.array([r.h for r in seen.select("h").collect()], np.int64).view(_U))
+
+
 def _dealt(df: DataFrame, n: int, by: str) -> DataFrame:
     return df.repartition(n, by).sortWithinPartitions(by)
 

@@ -118,3 +118,16 @@ def test_edges(spark):
     got = table(X.remove_repeats(docs(spark, [(None, long), (1, long), (1, long), (2, "x" + long)])))
     assert sorted(zip(got.doc_id.fillna(-1), got.n_removed)) == [(-1, len(long)), (1, 0), (1, 0), (2, len(long))]
     assert table(X.remove_repeats(docs(spark, []))).empty
+
+
+def test_hot_anchors_change_nothing(spark, rng, monkeypatch):
+    """A passage between different neighbours, with its edges dealt string by string."""
+    monkeypatch.setattr(X, "HOT_CONTEXTS", 2)
+    letters = [chr(c) for c in range(97, 123)]
+    word = lambda k: "".join(letters[i] for i in rng.integers(0, 26, k))
+    passage = word(90)
+    rows = [(i, word(int(rng.integers(0, 60))) + passage + word(int(rng.integers(0, 60)))) for i in range(30)]
+    rows += [(100 + i, t) for i, t in enumerate(texts(rng, 30))]
+    df = docs(spark, rows).repartition(3)
+    assert len(X._hot(df.selectExpr("doc_id AS k", "1L AS th", "cast(text AS binary) AS t"), 50)) > 0
+    check(table(X.remove_repeats(df)), [(i, t.encode()) for i, t in rows])
