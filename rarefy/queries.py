@@ -160,9 +160,11 @@ def dense_from_array_column(t):
     return R.from_array_column(e, "vec_id", "embedding", 64, t.extent("embeddings", "vec_id")[0])
 
 
-@query("SELECT d0, list({{'d1': d1, 'v': v}} ORDER BY d1) AS cells FROM {S} GROUP BY d0")
+@query("SELECT d0, string_agg(d1 || ':' || v::BIGINT, ' ' ORDER BY d1) AS cells FROM {S} GROUP BY d0")
 def csr_rows(t):
-    return layout.packed(t.S.tocsr())
+    """Rows packed with their cells in order, shown as text."""
+    shown = F.transform("cells", lambda c: F.concat(c["d1"].cast("string"), F.lit(":"), c["v"].cast("long").cast("string")))
+    return layout.packed(t.S.tocsr()).select("d0", F.array_join(shown, " ").alias("cells"))
 
 
 @query("SELECT * FROM {S}")
