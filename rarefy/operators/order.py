@@ -70,14 +70,23 @@ def _first_gap(df: DataFrame, lane: list[str]) -> DataFrame:
     """Per lane the smallest coordinate ``_at`` without a row, among lanes with rows.
 
     Blocks of coordinates are counted first; only the first block that isn't full is looked into.
+    With k full blocks in a lane it is one of the first k + 1, so that no more are put in order:
+    a lane of very scattered cells has few full blocks, and one without gaps has few blocks.
     """
-    block = F.floor(F.col("_at") / F.lit(GAP_BLOCK)).cast("long")
+    block = F.call_function("div", F.col("_at"), F.lit(GAP_BLOCK).cast("long"))
     blocks = df.groupBy(*lane, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    full = (blocks.groupBy(*lane) if lane else blocks).agg(F.count_if(F.col("_n") == GAP_BLOCK).alias("_full"))
+    blocks = (blocks.join(full, lane) if lane else blocks.crossJoin(full)).where("_block <= _full")
     turn = F.row_number().over((Window.partitionBy(*lane) if lane else Window.partitionBy(F.lit(0))).orderBy("_block")) - 1
     blocks = blocks.withColumn("_turn", turn.cast("long"))
     bad = F.least(F.when(F.col("_block") != F.col("_turn"), F.col("_turn")), F.when(F.col("_n") < GAP_BLOCK, F.col("_block")))
-    by_lane = blocks.groupBy(*lane) if lane else blocks.groupBy(F.lit(0).alias("_one"))
-    open_ = by_lane.agg(F.coalesce(F.min(bad), F.max("_block") + 1).alias("_open"))
+    first_open = F.coalesce(F.min(bad), F.max("_block") + 1, F.lit(0).cast("long")).alias("_open")
+    if lane:
+        # a lane whose first blocks have no row at all is open at 0
+        found = blocks.groupBy(*lane).agg(first_open)
+        open_ = full.select(*lane).join(found, lane, "left").select(*lane, F.coalesce("_open", F.lit(0).cast("long")).alias("_open"))
+    else:
+        open_ = blocks.agg(first_open).select(F.lit(0).alias("_one"), "_open")
     inside = df.withColumn("_block", block)
     joined = (inside.join(open_, lane) if lane else inside.crossJoin(open_)).where("_block = _open")
     step = F.row_number().over(Window.partitionBy(*(lane or [F.lit(0)])).orderBy("_at")) - 1

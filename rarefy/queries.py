@@ -28,13 +28,17 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._extents: dict[tuple, tuple[int, ...]] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def extent(self, table: str, *columns: str) -> tuple[int, ...]:
-        row = self.table(table).agg(*(F.max(c).alias(c) for c in columns)).first()
-        return tuple(int(v) + 1 for v in row)
+        key = table, *columns
+        if key not in self._extents:
+            row = self.table(table).agg(*(F.max(c).alias(c) for c in columns)).first()
+            self._extents[key] = tuple(int(v) + 1 for v in row)
+        return self._extents[key]
 
     def tensor(self, table: str, coords: list[str], value, has_duplicates=True) -> Tensor:
         return R.from_df(self.table(table), coords, value, self.extent(table, *coords), has_duplicates=has_duplicates)
