@@ -52,6 +52,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-zA-Z!?][^>]*(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_DEPTH = 24
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
@@ -79,8 +80,9 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
     out: list[tuple[tuple, str, int]] = []
     path: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked = in_link = skip = 0
+    linked = skip = 0
     where: tuple | None = None
+    open_: dict[str, int] = {}
 
     def close():
         nonlocal linked, where
@@ -92,9 +94,9 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         linked, where = 0, None
 
     def pop(to: int):
-        nonlocal in_link, skip
+        nonlocal skip
         for name, _ in path[to:]:
-            in_link -= name == "a"
+            open_[name] -= 1
             skip -= name in _SKIPPED
         del path[to:]
 
@@ -102,9 +104,10 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         nonlocal linked, where
         if not skip and piece:
             if where is None and not piece.isspace():
-                where = tuple(path)
+                # of absurdly deep nesting the outer and inner ends tell enough
+                where = tuple(path) if len(path) <= 2 * _DEPTH else (*path[:_DEPTH], *path[-_DEPTH:])
             text.append(piece)
-            linked += in_link and len(piece.strip())
+            linked += len(piece.strip()) if open_.get("a") else 0
 
     at, n = 0, len(page)
     while at < n:
@@ -120,7 +123,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if name not in _INLINE:
             close()
         if m[1]:
-            for k in range(len(path) - 1, -1, -1):
+            for k in range(len(path) - 1, -1, -1) if open_.get(name) else ():
                 if path[k][0] == name:
                     pop(k)
                     break
@@ -131,7 +134,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             continue
         if name not in _INLINE:
             # a block ends an open paragraph with all that it left open
-            for k in range(len(path) - 1, -1, -1):
+            for k in range(len(path) - 1, -1, -1) if open_.get("p") else ():
                 if path[k][0] == "p":
                     pop(k)
                     break
@@ -141,7 +144,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if closing is not None and not any(x[0] in ("ul", "ol", "dl", "table") for x in path[closing + 1 :]):
             pop(closing)
         if name == "a":
-            while in_link:
+            while open_.get("a"):
                 pop(next(k for k in range(len(path) - 1, -1, -1) if path[k][0] == "a"))
         if m[3].rstrip().endswith("/") and name in ("svg", "iframe", "math"):
             continue
@@ -150,7 +153,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             at = end.end() if end else n
             continue
         path.append((name, _names(m[3]) if m[3] else ()))
-        in_link += name == "a"
+        open_[name] = open_.get(name, 0) + 1
         skip += name in _SKIPPED
     close()
     return out

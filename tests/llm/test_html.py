@@ -19,6 +19,7 @@ def test_blocks():
     assert shown("") == [] and shown("<script>never closed <p>x") == [] and shown("plain") == ["plain"]
     assert [p[-1][0] for p, _, _ in H.blocks("<p><b>open<p>next")] == ["b", "p"]
     assert len(shown("<div>" * 5000 + "deep")) == 1
+    assert len(shown("<div>x<b>y" * 20_000 + "</i></p></td>" * 20_000)) == 20_000
 
 
 def test_gradients(rng):
