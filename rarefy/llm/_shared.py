@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that nobody holds any more.
+
+    Spark removes them when the driver's garbage is collected, which may be long after their
+    result has been written; a multi-stage operator would keep all of its shuffles on disk. The
+    first round frees Python's handles, the second what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of ``materialize`` that nothing reads any more."""
     for df in frames:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialize, partitions, raw
+from ._shared import discard, documents, materialize, partitions, raw, release
 
 LENGTH = 50
 GRAM = 16
@@ -619,15 +619,22 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``k, th, places, spans`` of every document that repeats something; k and th name its row."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = n
     texts = docs.select(*_row_key(), raw("text").alias("t"))
     dealt = texts.mapInArrow(_deal(buckets, length, _hot(texts, length)), "bucket int, ids binary, hashes binary")
     found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length, n), "dest int, kind int, data binary"), "repeats")
+    del dealt
+    release(spark)
     differ = _dealt(found.where(f"kind = {_DIFFER}"), n, "dest").mapInArrow(_gather(_DIFFER), "k long, th long, entries binary")
     fragments = texts.join(differ, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length), "bucket int, ids binary, hashes binary")
     compared = _dealt(fragments, n, "bucket").mapInArrow(_compare(length, n), "dest int, kind int, data binary")
     every = found.where(f"kind <> {_DIFFER}").union(compared)
-    return _dealt(every, n, "dest").mapInArrow(_gather(_WHOLE, _SPAN), "k long, th long, places binary, spans binary")
+    gathered = _dealt(every, n, "dest").mapInArrow(_gather(_WHOLE, _SPAN), "k long, th long, places binary, spans binary")
+    out = materialize(gathered, "repeats-by-document")
+    del differ, fragments, compared, every, gathered
+    discard(found)
+    release(spark)
+    return out
 
 
 def _hot(texts: DataFrame, length: int) -> np.ndarray:
@@ -652,7 +659,8 @@ def _hot(texts: DataFrame, length: int) -> np.ndarray:
 
 
 def _dealt(df: DataFrame, n: int, by: str) -> DataFrame:
-    return df.repartition(n, by).sortWithinPartitions(by)
+    # one bucket for each task: a document's anchors of a bucket share its id then
+    return df.repartitionById(n, F.pmod(F.col(by), F.lit(n))).sortWithinPartitions(by)
 
 
 def _row_key():
