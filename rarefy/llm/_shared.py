@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Each row of ``docs`` as one value ``doc`` beside ``row``, a number that is stored with it.
+
+    The number names a row whatever its doc_id: null, repeated, or shared by several texts.
+    """
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    return materialize(docs.select(whole, F.monotonically_increasing_id().alias("row")), name)
+
+
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of plans that nobody holds any more.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, documents, materialize
+from ._shared import WORD, documents, materialize, numbered, raw
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -22,8 +22,8 @@ RANGE_ROWS = 8192
 SEED = "mix-1"
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    """doc_id, source (as the pair no_source, name: joins and windows see nulls as a value), size, key."""
+def _sized(docs: DataFrame, seed: str, *ties) -> DataFrame:
+    """doc_id, source (as the pair no_source, name: joins and windows see nulls as a value), size, key; then ``ties``."""
     name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
         "doc_id",
@@ -31,6 +31,7 @@ def _sized(docs: DataFrame, seed: str) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
         F.md5(name.cast("binary")).alias("key"),
+        *ties,
     )
 
 
@@ -70,7 +71,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     * equal keys (repeated ids) are ordered by id, then size: rows that still tie are equal;
     * the same rows always give the same mix; an empty table gives an empty result.
     """
-    rows = materialize(_sized(docs, seed), "sized")
+    return _taken(_sized(docs, seed), weights, share, epochs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _taken(sized: DataFrame, weights, share: float, epochs: int, ties=()) -> DataFrame:
+    """The rows of ``_sized`` with source_size, target and taken; ``ties`` go on ordering where key, id and size are equal."""
+    rows = materialize(sized, "sized")
     bits = max(0, (rows.count() // RANGE_ROWS)).bit_length()
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("part", F.shiftright(head, 32 - bits) if bits else F.lit(0).cast("long"))
@@ -79,28 +85,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     plan = targets(ranges.groupBy(*source).agg(F.sum("n").alias("source_size")), weights, share, epochs)
     before = F.sum("n").over(Window.partitionBy(*source).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.select(*source, "part", F.coalesce(before, F.lit(0)).alias("range_start")).join(plan, source)
-    within = Window.partitionBy(*source, "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*source, "part").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ranges, [*source, "part"])
     budget = F.floor(F.col("target") + 0.5).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1))).cast("long")).otherwise(F.lit(0))
     rest = F.col("budget") - F.col("rounds") * F.col("source_size") - F.col("range_start") - F.col("start")
     taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return placed.withColumn("budget", budget).withColumn("rounds", rounds).select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    return placed.withColumn("budget", budget).withColumn("rounds", rounds).withColumn("taken", taken.cast("long"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a document once for each epoch that takes words of it.
 
-    Documents that the budget doesn't reach go; the one at a source's cut stays whole.
+    Documents that the budget doesn't reach go; the one at a source's cut stays whole. Each row has
+    its own verdict, so rows without a doc_id or with a repeated one come out as often as their
+    ``taken`` says; those that ``mix`` leaves tied are ordered by a hash of their text.
     """
-    copies = F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).cast("int")
-    taken = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(copies.alias("copies")).where("copies > 0 and id is not null")
-    joined = docs.join(taken, docs["doc_id"] == taken["id"])
     # a document's columns travel as one value, so that no name of theirs can clash
-    rows = joined.select(F.explode(F.array_repeat(F.struct(*(docs[c] for c in docs.columns)), taken["copies"])).alias("r"))
-    return rows.select("r.*")
+    rows = numbered(docs, "mixed-rows")
+    ties = [F.xxhash64(raw("doc.text")).alias("tie"), F.col("row")]
+    sized = _sized(rows.select("doc.doc_id", "doc.source", "doc.text", "doc", "row"), SEED, *ties)
+    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = _taken(sized, WEIGHTS, SHARE, EPOCHS, ("tie", "row")).select("row", copies.alias("copies")).where("copies > 0")
+    return rows.join(taken, "row").select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("r")).select("r.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

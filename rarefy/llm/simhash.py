@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialize, partitions, raw
+from ._shared import documents, materialize, numbered, partitions, raw
 from .components import connected_components
 
 DISTANCE = 3
@@ -298,10 +298,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, run_rows: int = R
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the rows of its smallest ``doc_id`` stay."""
-    stays = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").select(docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """``docs`` without near copies: of each component one row of its smallest ``doc_id`` stays.
+
+    Rows without a doc_id are linked like any other and come after all ids; rows of one id are
+    ordered by a hash of their text. So a row that is repeated with its doc_id stays once.
+    """
+    rows = numbered(docs, "near-rows")
+    fps = fingerprints(rows.select(F.col("row").alias("doc_id"), "doc.text")).withColumnRenamed("doc_id", "row")
+    doc_id = F.col("doc.doc_id").cast("long")
+    order = F.struct(doc_id.isNull(), doc_id, F.xxhash64(raw("doc.text")), "row").alias("order")
+    fps = materialize(fps.join(rows.select("row", order), "row"), "fingerprints")
+    reps = fps.groupBy("fp").agg(F.min("order").alias("first"))
+    roots = connected_components(link_edges(reps.select("fp")))
+    # a root has no row among the star edges, and what isn't linked is its own root
+    linked = reps.join(roots, reps.fp == roots.node, "left")
+    stays = linked.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first")["row"].alias("row"))
+    return rows.join(stays.select("row"), "row", "left_semi").select("doc.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 
 from rarefy.llm import mixing as M
 
-from .helpers import HAVE, SF, docs, edges, table
+from .helpers import HAVE, SCHEMA, SF, docs, edges, table
 
 
 def water_level(sizes, weights, share=1.5, epochs=2):
@@ -59,3 +59,19 @@ def test_edges(spark):
     assert table(M.mix(docs(spark, []))).empty
     mixed = M.apply_mix(edges(spark))
     assert mixed.columns == edges(spark).columns and mixed.count() > 0
+
+
+def test_rows_without_id_come_out_as_taken(spark):
+    rows = [(None, f"only text {i} " + "w " * (i % 5), None, "no-ids", None) for i in range(40)]
+    rows += [(i if i % 2 else None, f"part {i} of this " + "w " * (i % 7), None, "some-ids", None) for i in range(60)]
+    rows += [(1000 + i % 20, f"again {i % 20}", None, "repeated", None) for i in range(60)]
+    given = spark.createDataFrame(rows, SCHEMA)
+    # which source a row of mix() has shows in source_size
+    mixed = table(M.mix(given))
+    copies = (-(-mixed.taken // mixed["size"].clip(lower=1))).groupby([mixed.source_size, mixed.doc_id.isna()]).sum()
+    out = table(M.apply_mix(given)).assign(n=1)
+    words = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("no-ids", "some-ids", "repeated")}
+    assert len(set(words.values())) == 3
+    got = out.n.groupby([out.source.map(words), out.doc_id.isna()]).sum()
+    assert got.to_dict() == {k: v for k, v in copies.items() if v}
+    assert (out.source == "no-ids").any()

@@ -93,3 +93,10 @@ def test_edges(spark):
     kept = S.keep_one(edges(spark))
     assert kept.columns == edges(spark).columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 7, 8, 9, 10]
+
+
+def test_rows_without_id_take_part(spark):
+    text = "the same long words in every copy of this text, over and over again"
+    given = docs(spark, [(None, text), (7, text), (None, "no twin of this one has an id"), (None, "no twin of this one has an id"), (8, "alone here"), (8, "alone here")])
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in S.keep_one(given).collect())
+    assert kept == [(-1, "no twin of this one has an id"), (7, text), (8, "alone here")]
