@@ -16,7 +16,7 @@ from rarefy.llm._shared import documents, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letter, or unlike every learned one."""
+    """Drops what op2_language calls und: documents without a letter."""
     return language.accept(docs)
 
 

@@ -189,28 +189,20 @@ def learn_split(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no language: no letter in the text, or no text."""
-    return _filter(docs, *learn_split(docs))
+    """``docs`` without the rows that ``identify`` calls ``und``: no letter in the text, or no text."""
+    return _filter(docs, learn_split(docs)[0])
 
 
-def _filter(docs: DataFrame, langs: list[str], profiles: np.ndarray) -> DataFrame:
-    """The rows themselves go through the scorer, so that no text is shuffled to meet its verdict."""
-    dims = profiles.shape[1] if len(langs) else DIMS
-    unit = profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
+def _filter(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """The rows themselves are looked at, so that no text is shuffled to meet its verdict."""
     at = docs.columns.index("text")
 
     def run(batches):
-        vectors = Vectors(dims)
         for b in batches:
             keep = []
             for text in b.column(at):
                 text = text.as_py()
-                codes, counts = letter_ngrams(text) if text else ((), ())
-                ok = len(codes) > 0 and len(langs) > 0
-                if ok:
-                    # below zero a text is unlike every language
-                    ok = bool((unit @ vectors.bundle(codes, counts)).max() > 0)
-                keep.append(ok)
+                keep.append(bool(text and langs and len(letter_ngrams(text)[0])))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,3 +55,12 @@ def test_edges(spark):
     kept = L.accept(edges(spark))
     assert kept.columns == edges(spark).columns
     assert not {1, 2, 3, 9} & {r.doc_id for r in kept.collect()}
+
+
+def test_accept_drops_what_op2_calls_und(spark):
+    train = [(4 * i, t, lang, None, None) for i, (t, lang) in enumerate([("the quick words", "en"), ("die schnellen wörter", "de")] * 8)]
+    words = ["".join(chr(first + (7 * i + 5 * j) % 24) for j in range(5)) for first in (0x3B1, 0x430, 0x4E00) for i in range(20)]
+    given = spark.createDataFrame(train + [(1000 + i, w, None, None, None) for i, w in enumerate(words + ["12 !", "", None])], edges(spark, False).schema)
+    scored = table(L.identify(given, *L.learn_split(given)))
+    assert (scored.score == 0).sum() > 3  # a cosine of zero or less isn't und
+    assert sorted(r.doc_id for r in L.accept(given).collect()) == sorted(scored[scored.lang_pred != "und"].doc_id)
