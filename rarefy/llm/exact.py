@@ -94,10 +94,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without exact copies: of equal texts the largest ``doc_id`` stays."""
+    """``docs`` without exact copies: of equal texts the largest ``doc_id`` stays.
+
+    The verdict is on a doc_id with its text. Rows that repeat both are one document and all stay,
+    and so do the rows of a text that has no doc_id at all; the near-dedup stage keeps one of them.
+    """
     verdict = deduplicate(docs, open_index(docs.sparkSession))
-    stays = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    stays = verdict.where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    kept = docs.join(stays, (docs["doc_id"] == stays["id"]) & (digest() == stays["sha"]), "left_semi")
     lone = verdict.where("doc_id is null and keep_id is null").select(F.unhex("text_sha256").alias("digest")).distinct()
     nameless = docs.where("doc_id is null").join(lone, digest() == lone["digest"], "left_semi")
     return kept.union(nameless)

@@ -41,3 +41,8 @@ def test_edges(spark):
     kept = E.keep_one(edges(spark))
     assert kept.columns == edges(spark).columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 2, 3, 4, 6, 6, 7, 8, 9, 10]
+
+
+def test_keep_one_judges_an_id_with_its_text(spark):
+    kept = E.keep_one(docs(spark, [(5, "a"), (5, "b"), (9, "b"), (7, "c"), (7, "c")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, "a"), (7, "c"), (7, "c"), (9, "b")]
