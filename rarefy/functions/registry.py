@@ -114,13 +114,55 @@ def _int_remainder(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0)).otherwise(F.when((m != 0) & ((m < 0) != (safe < 0)), m + safe).otherwise(m))
 
 
-def _int_power(a: Column, b: Column) -> Column:
-    return F.pow(a.cast("double"), b.cast("double")).cast("long")
+def _times_u64(a: Column, b: Column) -> Column:
+    """Product of decimals below 2 ** 64, modulo 2 ** 64; halves keep it within a decimal."""
+    half, whole = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (32, 64))
+    low = (a % half).cast("decimal(20,0)")
+    high = F.floor((a - low).cast("decimal(38,0)") / half).cast("decimal(20,0)")
+    b = b.cast("decimal(20,0)")
+    top = ((high * b).cast("decimal(38,0)") % half * half).cast("decimal(38,0)")
+    return ((top + (low * b).cast("decimal(38,0)")).cast("decimal(38,0)") % whole).cast("decimal(38,0)")
+
+
+def _power(c: list[Column], dtype: np.dtype, out: np.dtype) -> Column:
+    """Integers by repeated squaring; products overflow, or wrap in narrower types, as in multiplication."""
+    if dtype.kind == "c":
+        raise TypeError("not defined for complex numbers")
+    if dtype.kind == "f":
+        return ieee.power(*(x.cast("double") for x in c)).cast(spark_type(out))
+    kind = "decimal(38,0)" if dtype.name == "uint64" else "long"
+    times = _times_u64 if dtype.name == "uint64" else (lambda p, q: p * q) if dtype.itemsize == 8 else (lambda p, q: wrap(p * q, dtype).cast("long"))
+    a, n = c[0].cast(kind), c[1].cast("long")
+    start = F.struct(F.lit(1).cast(kind).alias("p"), a.alias("s"), n.alias("n"))
+
+    def step(t, _):
+        # the last square isn't needed, and might overflow
+        p = F.when(t["n"] % 2 == 1, times(t["p"], t["s"])).otherwise(t["p"])
+        s = F.when(t["n"] > 1, times(t["s"], t["s"])).otherwise(t["s"])
+        return F.struct(p.alias("p"), s.alias("s"), F.shiftright(t["n"], 1).alias("n"))
+
+    value = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), start, step, lambda t: t["p"])
+    return wrap(F.when(n < 0, F.raise_error(F.lit("integers have no negative integer powers")).cast(kind)).otherwise(value), out)
+
+
+def _asinh(v: Column) -> Column:
+    # SQL's formula loses small and negative values
+    a = F.abs(v)
+    small = F.log1p(a + a * a / (F.lit(1.0) + F.sqrt(a * a + 1)))
+    large = F.log(F.when(a > 1e8, a).otherwise(F.lit(1.0))) + F.lit(float(np.log(2)))
+    return F.when(F.isnan(v) | (v == 0), v).otherwise(ieee.copysign(F.when(a > 1e8, large).otherwise(small), v))
+
+
+def _acosh(v: Column) -> Column:
+    t = F.when(v >= 1, v - 1).otherwise(F.lit(0.0))
+    near = F.log1p(t + F.sqrt(t + t + t * t))
+    large = F.log(F.when(v > 1e8, v).otherwise(F.lit(1.0))) + F.lit(float(np.log(2)))
+    return F.when(F.isnan(v) | (v < 1), ieee.nan()).when(v > 1e8, large).otherwise(near)
 
 
 _put("floor_divide", _arithmetic(_int_floor, ieee.floor_divide))
 _put("remainder", _arithmetic(_int_remainder, ieee.remainder))
-_put("pow", _arithmetic(_int_power, ieee.power), np.power)
+_put("pow", _power, np.power)
 _put("negative", _arithmetic(lambda a: -a, lambda a: -a, lambda a: _complex(-a["re"], -a["im"])))
 _put("positive", lambda c, dtype, out: c[0])
 _put("square", _arithmetic(lambda a: a * a, lambda a: a * a, lambda a: _times(a, a)))
@@ -147,8 +189,8 @@ for _name, _f in {
 }.items():
     _put(_name, _float(_f))
 for _name, _numpy, _f in (
-    ("asin", np.arcsin, F.asin), ("acos", np.arccos, F.acos), ("atan", np.arctan, F.atan), ("asinh", np.arcsinh, F.asinh),
-    ("acosh", np.arccosh, F.acosh), ("atanh", np.arctanh, F.atanh), ("atan2", np.arctan2, F.atan2), ("hypot", np.hypot, F.hypot),
+    ("asin", np.arcsin, F.asin), ("acos", np.arccos, F.acos), ("atan", np.arctan, F.atan), ("asinh", np.arcsinh, _asinh),
+    ("acosh", np.arccosh, _acosh), ("atanh", np.arctanh, F.atanh), ("atan2", np.arctan2, F.atan2), ("hypot", np.hypot, F.hypot),
     ("copysign", np.copysign, ieee.copysign), ("logaddexp", np.logaddexp, ieee.logaddexp),
     ("log", np.log, lambda v: ieee.logarithm(F.log, v)), ("log2", np.log2, lambda v: ieee.logarithm(F.log2, v)),
     ("log10", np.log10, lambda v: ieee.logarithm(F.log10, v)), ("log1p", np.log1p, lambda v: ieee.logarithm(F.log1p, v, -1.0)),

@@ -175,7 +175,7 @@ def _masked(x: Tensor, mask: Tensor) -> Tensor:
         raise IndexError("a mask must be false where nothing is stored")
     chosen = mask.df.where("v").drop("v").join(x.df, x.coords, "left")
     chosen = chosen.select(*x.coords, F.coalesce("v", x.lit()).alias("v"))
-    placed, n = rank(chosen, [], x.coords)
+    placed, n = rank(chosen, x.shape)
     return x.new(placed.select(F.col("_rank").alias("d0"), "v"), (n,)).pruned()
 
 

@@ -1,7 +1,9 @@
 """Order: sorting, first extremes and distinct values, with cells that aren't stored.
 
-A lane of any length is ranked in ranges: rows are range-partitioned by (lane, key), numbered
-within their range, and moved on by the rows before it, so that no task holds a whole lane.
+Places are counted, not sorted out by sampled ranges: a value or coordinate has an order-preserving
+64-bit key, keys are counted by their leading bits, and each level's prefix sums move the next one on.
+What a row's place is depends on its lane and key alone, however the plan deals rows to tasks, and a
+window never sees more than 2 ** BLOCK_BITS keys.
 """
 
 from __future__ import annotations
@@ -12,40 +14,82 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ieee
+from ..functions.types import same
 from ..tensor import Tensor, normalize_axis
 from .elementwise import as_tensor
 
 #: Coordinates that one block of the first-gap search covers.
-GAP_BLOCK = 1 << 16
+GAP_BLOCK = 1 << 20
+#: Bits of a key that one level of the counting resolves.
+BLOCK_BITS = 22
+#: Copies of one value that are numbered in one row.
+COPIES = 1 << 16
 
 
-def rank(df: DataFrame, lane: list[str], keys: list) -> tuple[DataFrame, int]:
-    """Adds ``_rank``, the place in order of keys within the lane; and the number of rows.
+def preceding(counts: DataFrame, lane: list[str], bits: int = 64) -> DataFrame:
+    """Adds ``_before``: the sum of ``_n`` over the smaller ``_key`` of the same lane.
 
-    Two exchanges; what the second one needs of the ranges is a row for each lane and range. The
-    number of rows needs a job of its own and is only counted for a single lane.
+    Rows are unique by lane and ``_key``, a long of which ``bits`` low bits (and the sign) differ.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    ranged = df.repartitionByRange(n, *(F.col(c) for c in lane), *keys).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part", *lane).orderBy(*keys)
-    ranged = ranged.withColumn("_within", F.row_number().over(within) - 1)
-    sizes = ranged.groupBy("_part", *lane).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*lane) if lane else Window.partitionBy(F.lit(0))
-    before = before.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", *lane, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = ranged.join(starts, ["_part", *lane]).withColumn("_rank", F.col("_start") + F.col("_within"))
-    return placed.drop("_part", "_within", "_start"), (-1 if lane else df.count())
-
+    if bits <= BLOCK_BITS:
+        order = Window.partitionBy(*(lane or [F.lit(0)])).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)).cast("long"))
+    counts = counts.withColumn("_high", F.shiftright("_key", BLOCK_BITS))
+    order = Window.partitionBy(*lane, "_high").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_within", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    blocks = counts.groupBy(*lane, F.col("_high").alias("_key")).agg(F.sum("_n").alias("_n"))
+    starts = preceding(blocks, lane, bits - BLOCK_BITS).select(*lane, F.col("_key").alias("_high"), F.col("_before").alias("_start"))
+    placed = within.join(starts, [*lane, "_high"])
+    return placed.withColumn("_before", (F.col("_start") + F.col("_within")).cast("long")).drop("_high", "_within", "_start")
+
+
+def _bits(v: Column) -> Column:
+    """The 63 low bits of a non-negative double, as a long: larger numbers have larger ones."""
+    small = v < F.lit(2.0**-1022)
+    normal = F.when(small | (v == ieee.inf()), F.lit(1.0)).otherwise(v)
+    # the logarithm may miss by one beside a power of two; powers of two and their quotients are exact
+    guess = F.floor(F.log2(normal)).cast("long")
+    guess = F.greatest(F.lit(-1022), F.least(F.lit(1023), guess))
+    ratio = normal / F.pow(F.lit(2.0), guess.cast("double"))
+    exponent = guess + F.when(ratio >= 2, 1).when(ratio < 1, -1).otherwise(0)
+    part = F.when(ratio >= 2, ratio / 2).when(ratio < 1, ratio * 2).otherwise(ratio)
+    found = F.shiftleft(exponent + 1023, 52) + ((part - 1) * F.lit(2.0**52)).cast("long")
+    tiny = (F.when(small, v).otherwise(F.lit(0.0)) * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    return F.when(v == ieee.inf(), F.lit(0x7FF << 52)).when(small, tiny).otherwise(found)
+
+
+def ordinal(v: Column, dtype: np.dtype) -> Column:
+    """A long that is ordered as the values are; NaN is above all, and -0.0 is 0.0."""
+    if dtype.kind == "c" or dtype.fields:
+        raise TypeError("these cells have no order")
+    if dtype.kind == "f":
+        v = v.cast("double")
+        size = _bits(F.abs(F.when(F.isnan(v), F.lit(0.0)).otherwise(v)))
+        return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -size).otherwise(size)
+    if dtype.name == "uint64":
+        return (v.cast("decimal(38,0)") - F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("long")
+    return v.cast("int").cast("long") if dtype.kind == "b" else v.cast("long")
+
+
+def rank(df: DataFrame, shape) -> tuple[DataFrame, int]:
+    """Adds ``_rank``, the place of a cell in C order among the rows; and the number of rows, which takes a job."""
+    from .shape import _linear
 
-def _nan_last(v: Column, x: Tensor, descending: bool) -> list[Column]:
-    if x.dtype.kind != "f":
-        return [v.desc() if descending else v.asc()]
-    return [F.isnan(v).asc(), v.desc() if descending else v.asc()]
+    size = int(np.prod(shape, dtype=object))
+    if size >= 1 << 63:
+        raise ValueError("cells can't be numbered by 63 bits")
+    counts = df.withColumn("_key", _linear(shape)).withColumn("_n", F.lit(1))
+    placed = preceding(counts, [], max(1, size.bit_length()))
+    return placed.withColumnRenamed("_before", "_rank").drop("_key", "_n"), df.count()
 
 
 def sort(x, *, axis=-1, descending=False, stable=False) -> Tensor:
-    """Values along an axis in order, NaN last; cells that aren't stored lie between smaller and larger ones."""
+    """Values along an axis in order, NaN last; cells that aren't stored lie between smaller and larger ones.
+
+    Equal values are counted before they are placed, so a value that a lane is full of is one row
+    per task until its copies are numbered, by blocks that are dealt out.
+    """
     if stable:
         raise ValueError("a stable sort isn't supported")
     x = as_tensor(x)
@@ -53,53 +97,36 @@ def sort(x, *, axis=-1, descending=False, stable=False) -> Tensor:
         raise ValueError("a 0-D tensor has no axis")
     axis = normalize_axis(axis, x.ndim)
     lane = [f"d{i}" for i in range(x.ndim) if i != axis]
-    n, v, f = x.shape[axis], F.col("v"), x.lit()
-    # ranks among the values before the fill, and after it counted from the end
+    v, f = F.col("v"), x.lit()
     nan = F.isnan(v) if x.dtype.kind == "f" else F.lit(False)
     fill_nan = x.dtype.kind == "f" and bool(np.isnan(x.fill_value))
-    ahead = (~nan if fill_nan else (v > f if descending else v <= f) & ~nan)
-    placed, _ = rank(x.df.withColumn("_behind", (~ahead).cast("int")), lane, [F.col("_behind").asc(), *_nan_last(v, x, descending)])
-    stored = x.df.groupBy(*lane).agg(F.count(F.lit(1)).alias("_c")) if lane else x.df.agg(F.count(F.lit(1)).alias("_c"))
+    key = ordinal(v, x.dtype)
+    if descending:
+        key = F.when(nan, F.lit((1 << 63) - 1)).otherwise(F.bitwise_not(key))
+    counts = x.df.groupBy(*lane, "v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = preceding(counts.withColumn("_key", key), lane)
+    # values behind the fill are placed from the end of the lane
+    ahead = ~nan if fill_nan else (v > f if descending else v <= f) & ~nan
+    stored = (counts.groupBy(*lane) if lane else counts).agg(F.sum("_n").alias("_c"))
     placed = placed.join(stored, lane) if lane else placed.crossJoin(stored)
-    moved = F.when(F.col("_behind") == 0, F.col("_rank")).otherwise(F.col("_rank") + F.lit(n) - F.col("_c"))
-    coords = [(moved if i == axis else F.col(f"d{i}")).cast("long").alias(f"d{i}") for i in range(x.ndim)]
-    return x.new(placed.select(*coords, "v")).pruned()
+    start = F.col("_before") + F.when(ahead, F.lit(0).cast("long")).otherwise(F.lit(x.shape[axis]) - F.col("_c"))
+    rows = placed.select(*(F.col(c) if c in lane else start.alias(c) for c in x.coords), "v", "_n").where(~same(v, x.fill_value, x.dtype))
+    full = F.call_function("div", F.col("_n") - 1, F.lit(COPIES).cast("long"))
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), full)))
+    blocks = blocks.repartition(*x.coords, "_block")
+    last = F.least(F.lit(COPIES).cast("long"), F.col("_n") - F.col("_block") * COPIES) - 1
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    at = F.col(f"d{axis}") + F.col("_block") * COPIES + F.col("_copy")
+    return x.new(copies.select(*(at.alias(c) if c == f"d{axis}" else F.col(c) for c in x.coords), "v"))
 
 
-def _first_gap(df: DataFrame, lane: list[str]) -> DataFrame:
-    """Per lane the smallest coordinate ``_at`` without a row, among lanes with rows.
+def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:
+    """One pass over the cells and two exchanges: blocks of coordinates, then lanes.
 
-    Blocks of coordinates are counted first; only the first block that isn't full is looked into.
-    With k full blocks in a lane it is one of the first k + 1, so that no more are put in order:
-    a lane of very scattered cells has few full blocks, and one without gaps has few blocks.
+    Where the best stored value doesn't beat the fill, the first coordinate without a cell counts.
+    A block knows how long its run of stored cells from its start is; a lane needs its first block
+    that isn't full, and the numbers of its full ones, a GAP_BLOCK-th of its stored cells.
     """
-    block = F.call_function("div", F.col("_at"), F.lit(GAP_BLOCK).cast("long"))
-    blocks = df.groupBy(*lane, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    full = (blocks.groupBy(*lane) if lane else blocks).agg(F.count_if(F.col("_n") == GAP_BLOCK).alias("_full"))
-    blocks = (blocks.join(full, lane) if lane else blocks.crossJoin(full)).where("_block <= _full")
-    turn = F.row_number().over((Window.partitionBy(*lane) if lane else Window.partitionBy(F.lit(0))).orderBy("_block")) - 1
-    blocks = blocks.withColumn("_turn", turn.cast("long"))
-    bad = F.least(F.when(F.col("_block") != F.col("_turn"), F.col("_turn")), F.when(F.col("_n") < GAP_BLOCK, F.col("_block")))
-    first_open = F.coalesce(F.min(bad), F.max("_block") + 1, F.lit(0).cast("long")).alias("_open")
-    if lane:
-        # a lane whose first blocks have no row at all is open at 0
-        found = blocks.groupBy(*lane).agg(first_open)
-        open_ = full.select(*lane).join(found, lane, "left").select(*lane, F.coalesce("_open", F.lit(0).cast("long")).alias("_open"))
-    else:
-        open_ = blocks.agg(first_open).select(F.lit(0).alias("_one"), "_open")
-    inside = df.withColumn("_block", block)
-    joined = (inside.join(open_, lane) if lane else inside.crossJoin(open_)).where("_block = _open")
-    step = F.row_number().over(Window.partitionBy(*(lane or [F.lit(0)])).orderBy("_at")) - 1
-    joined = joined.withColumn("_step", step + F.col("_open") * GAP_BLOCK)
-    found = (joined.groupBy(*lane) if lane else joined.groupBy(F.lit(0).alias("_one"))).agg(
-        F.coalesce(F.min(F.when(F.col("_at") != F.col("_step"), F.col("_step"))), F.max("_step") + 1).alias("_gap")
-    )
-    # a lane whose open block has no row at all begins its gap there
-    out = open_.join(found, lane or ["_one"], "left")
-    return out.select(*lane, F.coalesce("_gap", F.col("_open") * GAP_BLOCK).alias("_gap"))
-
-
-def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:
     from .shape import _linear
 
     x = as_tensor(x)
@@ -114,22 +141,28 @@ def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:
         lane = [f"d{i}" for i in kept]
     if n == 0:
         raise ValueError("an empty lane has no extreme")
-    v, f = F.col("v"), x.lit()
-    nan = F.isnan(v) if x.dtype.kind == "f" else F.lit(False)
-    # a NaN wins either way; among equals the first
-    score = F.struct(nan.cast("int").alias("nan"), v.alias("v"))
-    rows = x.df.select(*lane, at.alias("_at"), "v", score.alias("_s"))
+    f = x.lit()
+    nan = F.isnan("v") if x.dtype.kind == "f" else F.lit(False)
     fill_nan = x.dtype.kind == "f" and bool(np.isnan(x.fill_value))
-    best_of = F.max(F.struct("_s.nan", "_s.v", (-F.col("_at")).alias("i"))) if largest else F.min(F.struct((-F.col("_s.nan")).alias("nan"), F.col("_s.v").alias("v"), F.col("_at").alias("i")))
-    best = (rows.groupBy(*lane) if lane else rows.groupBy(F.lit(0).alias("_one"))).agg(best_of.alias("_b"), F.count(F.lit(1)).alias("_c"))
-    gap = _first_gap(rows.select(*lane, "_at"), lane)
-    joined = best.join(gap, lane) if lane else best.crossJoin(gap)
+    size = F.lit(GAP_BLOCK).cast("long")
+    rows = x.df.select(*lane, at.alias("_at"), "v", nan.cast("int").alias("_nan")).withColumn("_block", F.call_function("div", F.col("_at"), size))
+    turn = F.row_number().over(Window.partitionBy(*lane, "_block").orderBy("_at")) - 1
+    rows = rows.withColumn("_run", F.col("_at") == F.col("_block") * size + turn)
+    # a NaN wins either way; among equals the first
+    best = F.struct("_nan", "v", (-F.col("_at")).alias("i")) if largest else F.struct((-F.col("_nan")).alias("_nan"), "v", F.col("_at").alias("i"))
+    pick = F.max if largest else F.min
+    blocks = rows.groupBy(*lane, "_block").agg(pick(best).alias("_b"), F.count(F.lit(1)).alias("_n"), F.count_if("_run").alias("_run"))
+    open_ = F.min(F.when(F.col("_n") < size, F.struct("_block", "_run"))).alias("_open")
+    full = F.sort_array(F.collect_list(F.when(F.col("_n") == size, F.col("_block")))).alias("_full")
+    lanes = blocks.groupBy(*lane) if lane else blocks.groupBy(F.lit(0).alias("_one"))
+    lanes = lanes.agg(pick("_b").alias("_b"), F.sum("_n").alias("_c"), open_, full)
+    first = F.aggregate("_full", F.lit(0).cast("long"), lambda k, b: F.when(b == k, k + 1).otherwise(k))
+    gap = first * size + F.when(F.col("_open._block") == first, F.col("_open._run")).otherwise(F.lit(0))
     i = -F.col("_b.i") if largest else F.col("_b.i")
-    is_nan = F.col("_b.nan") != 0
+    is_nan = F.col("_b._nan") != 0
     beats = F.lit(False) if fill_nan else (is_nan | (F.col("_b.v") > f if largest else F.col("_b.v") < f))
     ties = is_nan if fill_nan else (F.col("_b.v") == f) & ~is_nan
-    full = F.col("_c") == n
-    value = F.when(full | beats, i).when(ties, F.least(i, F.col("_gap"))).otherwise(F.col("_gap"))
+    value = F.when((F.col("_c") == n) | beats, i).when(ties, F.least(i, gap)).otherwise(gap)
     if axis is None:
         shape = (1,) * x.ndim if keepdims else ()
         coords = [F.lit(0).cast("long").alias(f"d{k}") for k in range(len(shape))]
@@ -139,7 +172,7 @@ def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:
     else:
         shape = tuple(x.shape[k] for k in kept)
         coords = [F.col(f"d{k}").alias(f"d{j}") for j, k in enumerate(kept)]
-    return Tensor(joined.select(*coords, value.cast("long").alias("v")), shape, 0, "int64").pruned()
+    return Tensor(lanes.select(*coords, value.cast("long").alias("v")), shape, 0, "int64").pruned()
 
 
 def argmax(x, *, axis=None, keepdims=False) -> Tensor:
@@ -180,4 +213,4 @@ def unique_values(x) -> np.ndarray:
     return unique_counts(x).values
 
 
-__all__ = ["UniqueCounts", "argmax", "argmin", "rank", "sort", "unique_counts", "unique_counts_df", "unique_values"]
+__all__ = ["UniqueCounts", "argmax", "argmin", "ordinal", "preceding", "rank", "sort", "unique_counts", "unique_counts_df", "unique_values"]

@@ -10,9 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ieee
 from ..functions.types import cast, literal, spark_type
@@ -85,8 +86,14 @@ def _powers(m: Column, fill) -> Column:
 
 
 def prod(x, *, axis=None, dtype=None, keepdims=False) -> Tensor:
+    """Products of floats are aggregated by Spark; those of integers are exact and wrap as NumPy's do, batch by batch."""
     x = as_tensor(x)
     out = _sum_type(x.dtype, dtype)
+    n = math.prod(x.shape[i] for i in _axes(x, axis))
+    if out.kind in "iu":
+        bits = 8 * out.itemsize
+        power = lambda f, m: np.array([pow(int(f), int(k), 1 << bits) for k in m], np.uint64).astype(out)
+        return _folded(x, np.multiply, axis, keepdims, out, power(x.fill_value, [n])[0], power)
     fill = _lane_fill(x, axis, lambda f, n: np.power(out.type(f), n) if n else out.type(1))
     finish = lambda s: cast(s * _powers(F.col("m"), x.fill_value), "float64", out)
     return _reduce(x, axis, keepdims, [F.product(_v(x, "float64"))], finish, out, fill)
@@ -227,10 +234,10 @@ def nanmean(x, axis=None, keepdims=False, dtype=None, out=None) -> Tensor:
 
 
 def by_ufunc(x, method, axis=(0,), keepdims=False, dtype=None, **kwargs) -> Tensor:
-    """A ufunc's reduction; a binary ufunc without a form of its own folds each lane in Python.
+    """A ufunc's reduction; a binary ufunc without a form of its own is folded in Arrow batches.
 
-    The folding form is for idempotent or otherwise order-free ufuncs; the fill value is taken
-    once in a lane that isn't full.
+    Such a ufunc must be associative, commutative and idempotent for the fill value, which is taken
+    once in a lane that isn't full; otherwise the result would be dense, which is a ValueError.
     """
     x = as_tensor(x)
     more = {} if dtype is None else {"dtype": dtype}
@@ -254,29 +261,81 @@ def by_ufunc(x, method, axis=(0,), keepdims=False, dtype=None, **kwargs) -> Tens
         finish = lambda s: F.when(odd, getattr(s, op)(F.lit(f))).otherwise(s).cast(spark_type(x.dtype))
         fill = _lane_fill(x, axis, lambda f, n: f if n and (method is not np.bitwise_xor or n % 2) else x.dtype.type(0))
         return _reduce(x, axis, keepdims, [bits[method](F.col("v").cast("long"))], finish, x.dtype, fill)
-    return _folded(x, method, axis, keepdims)
-
-
-def _folded(x: Tensor, method, axis, keepdims: bool) -> Tensor:
+    f = x.fill_value
+    with np.errstate(all="ignore"):
+        again = method(f, f)
+    if not (again == f or (again != again and f != f)):
+        raise ValueError(f"{method} over a fill value of {f} would give a dense result")
     out = method.reduce(np.zeros(1, x.dtype)).dtype
+    return _folded(x, method, axis, keepdims, out, f, lambda f, m: np.full(len(m), f, out))
 
-    @F.pandas_udf(spark_type(out))
-    def fold(v: pd.Series) -> float:
-        return method.reduce(v.to_numpy()).item()
 
-    # Pandas aggregates don't mix with others
-    @F.pandas_udf("long")
-    def stored(v: pd.Series) -> int:
-        return len(v)
+def _folded(x: Tensor, method, axis, keepdims: bool, out: np.dtype, fill, missing) -> Tensor:
+    """Reduces by any associative and commutative ufunc, in Arrow batches.
 
-    fill = x.fill_value
-
-    @F.pandas_udf(spark_type(out))
-    def with_fill(s: pd.Series, m: pd.Series) -> pd.Series:
-        a = s.to_numpy()
-        return pd.Series(np.where(m.to_numpy() > 0, method(a, fill), a).astype(out))
-
-    return _reduce(x, axis, keepdims, [fold("v")], lambda s: with_fill(s, F.col("m")), out, fill, stored("v"))
+    A batch is folded lane by lane before the exchange, so of a lane there is one row per batch in
+    it, and what arrives is folded as a stream in order of lanes: no task holds a lane. missing:
+    what the m > 0 cells without a row add, from (fill value, array of m).
+    """
+    if x.dtype.kind == "c" or out.kind == "c":
+        raise TypeError("not defined for complex numbers")
+    axes = _axes(x, axis)
+    kept = [i for i in range(x.ndim) if i not in axes]
+    n, value, own = math.prod(x.shape[i] for i in axes), spark_type(out), x.fill_value
+    lane = [f"d{i}" for i in kept] or ["_all"]
+    arrow = {"uint64": pa.decimal128(20, 0)}.get(out.name)
+    stored = {"uint8": "int16", "uint16": "int32", "uint32": "int64", "float16": "float32"}.get(out.name, out.name)
+
+    def fold(batches, first: bool):
+        """Rows (lane…, v, c); those of the last lane of a batch wait for the next one."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([c.to_numpy() for c in b.columns[: len(lane)]])
+            v = np.array(b.column(len(lane)).to_pylist(), out) if arrow else b.column(len(lane)).to_numpy(zero_copy_only=False).astype(out)
+            c = np.ones(len(v), np.int64) if first else b.column(len(lane) + 1).to_numpy()
+            if held is not None:
+                keys, v, c = np.hstack([held[0], keys]), np.r_[held[1], v], np.r_[held[2], c]
+            order = np.lexsort(keys[::-1])
+            keys, v, c = keys[:, order], v[order], c[order]
+            start = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            with np.errstate(all="ignore"):
+                keys, v, c = keys[:, start], method.reduceat(v, start).astype(out), np.add.reduceat(c, start)
+            if first:
+                yield keys, v, c
+            else:
+                yield keys[:, :-1], v[:-1], c[:-1]
+                held = keys[:, -1:], v[-1:], c[-1:]
+        if held is not None:
+            yield held
+
+    def batch(keys, v, more, names):
+        v = pa.array([int(a) for a in v], arrow) if arrow else pa.array(v.astype(stored))
+        return pa.RecordBatch.from_arrays([*map(pa.array, keys), v, *map(pa.array, more)], [*lane, "v", *names])
+
+    def partial(batches):
+        for keys, v, c in fold(batches, True):
+            yield batch(keys, v, [c], ["c"])
+
+    def final(batches):
+        for keys, v, c in fold(batches, False):
+            with np.errstate(all="ignore"):
+                open_ = c < n
+                v[open_] = method(v[open_], missing(own, n - c[open_])).astype(out)
+            yield batch(keys, v, [], [])
+
+    kind = T.StructType([*(T.StructField(c, T.LongType()) for c in lane), T.StructField("v", value)])
+    rows = x.df.select(*([F.col(c) for c in lane] if kept else [F.lit(0).cast("long").alias("_all")]), _v(x, out).alias("v"))
+    folded = rows.mapInArrow(partial, T.StructType([*kind, T.StructField("c", T.LongType())]))
+    folded = folded.repartition(*lane).sortWithinPartitions(*lane).mapInArrow(final, kind)
+    if keepdims:
+        shape = tuple(1 if i in axes else s for i, s in enumerate(x.shape))
+        coords = [F.lit(0).cast("long").alias(f"d{i}") if i in axes else F.col(f"d{i}") for i in range(x.ndim)]
+    else:
+        shape = tuple(x.shape[i] for i in kept)
+        coords = [F.col(f"d{i}").alias(f"d{j}") for j, i in enumerate(kept)]
+    return Tensor(folded.select(*coords, "v"), shape, fill, out).pruned()
 
 
 builtin_max = __builtins__["max"] if isinstance(__builtins__, dict) else __builtins__.max

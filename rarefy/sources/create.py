@@ -15,6 +15,10 @@ from ..plans import layout as layouts
 from ..tensor import Tensor, names
 
 
+#: Rounds of the permutation behind random, and how often it is repeated at most.
+ROUNDS, CYCLE = 6, 64
+
+
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -200,22 +204,33 @@ empty, empty_like = zeros, zeros_like
 
 
 def _scatter(i, n: int, seed: int):
-    """A bijection of range(n), evaluated row by row: a few rounds of multiply-add modulo n."""
-    r = np.random.default_rng(seed)
-    c = i.cast("decimal(38,0)")
-    for _ in range(3):
-        a = 1
-        while n > 1:
-            a = int(r.integers(1, min(n, 1 << 31)))
-            if math.gcd(a, n) == 1:
-                break
-        b = int(r.integers(0, min(n, 1 << 62)))
-        c = (c * F.lit(a) + F.lit(str(b)).cast("decimal(38,0)")) % F.lit(str(n)).cast("decimal(38,0)")
-    return c.cast("long")
+    """A pseudorandom permutation of range(n), evaluated row by row.
+
+    A Feistel network over a grid of a columns and b rows, with a * b just above n: each round moves
+    a row by a hash of its column and a column by a hash of its row. What lands beyond n is permuted
+    again until it lies within; at most a cells lie beyond, so up to 4,096 cells CYCLE rounds always
+    do, and above that a place needs them with a probability below (1/64) ** CYCLE.
+    """
+    a = math.isqrt(max(n, 1) - 1) + 1
+    b = -(-max(n, 1) // a)
+    keys = F.lit(np.random.default_rng(seed).integers(1 << 62, size=ROUNDS).tolist()).cast("array<bigint>")
+    columns, rows, end = (F.lit(m).cast("long") for m in (a, b, n))
+
+    def permuted(at):
+        def one_round(s, k):
+            x = F.pmod(s["x"] + F.pmod(F.xxhash64(s["y"], k), columns), columns)
+            return F.struct(x.alias("x"), F.pmod(s["y"] + F.pmod(F.xxhash64(x, k + 1), rows), rows).alias("y"))
+
+        start = F.struct((at % columns).alias("x"), F.call_function("div", at, columns).alias("y"))
+        return F.aggregate(keys, start, one_round, lambda s: s["y"] * columns + s["x"])
+
+    # the cells of the grid beyond n are walked over
+    walk = F.sequence(F.lit(1), F.lit(CYCLE))
+    return F.aggregate(walk, permuted(i), lambda at, _: F.when(at < end, at).otherwise(permuted(at)))
 
 
 def random(shape, density=None, nnz=None, random_state=None, data_rvs=None, format="coo", fill_value=None, idx_dtype=None, **kwargs):  # noqa: A002
-    """Exactly nnz cells at distinct places, made where they are stored; the same seed gives the same tensor.
+    """Exactly nnz cells at distinct, uniformly drawn places, made where they are stored; the same seed gives the same tensor.
 
     data_rvs: a driver function n -> values; without it values are uniform in [0, 1).
     """
