@@ -1,21 +1,26 @@
 """Removal of repeated passages through suffix arrays.
 
 A byte is removed where a string of ``LENGTH`` bytes covers it that also starts in a document
-with a smaller id. Suffix arrays of fragments decide that; to get together the fragments that can
-share such a string, every document is anchored first:
+with a smaller id. Suffix arrays decide that, over fragments of texts; hashes only choose which
+fragments have to be looked at, and deal them so that fragments with a common string meet:
 
 1. In every window of LENGTH bytes the 16-byte gram with the smallest hash is an anchor, so equal
-   strings have equal anchors at equal places. What can match around an anchor is its context:
-   the LENGTH - 16 bytes before and the LENGTH bytes from it on.
-2. Anchors are dealt by hash. Equal contexts are one fragment, in the name of their smallest id,
-   already before the shuffle: a passage or copy that a third of all documents have is one entry
-   per task. The other documents of a fragment repeat all of it.
-   Anchors with very many contexts (the edges of such a passage) deal every string around them by
-   its own hash instead, and strings are joined before the shuffle in the same way.
-3. Fragments that share an anchor but differ are cut from the texts and sorted by a two-stage
-   suffix array: only suffixes smaller than their successor are sorted directly, the others are
-   induced by one scan over the buckets. Adjacent common prefixes of LENGTH or more give the
-   runs of equal strings, and the smallest id of a run says which fragments repeat it.
+   strings have equal anchors at equal places. A string reaches at least SIDE bytes to the left of
+   its anchor or more than that to the right; so two documents that share one also share the key of
+   a side: the hash of the anchor with SIDE bytes before it, or with as many and one behind it.
+2. Keys are dealt by hash, those of a chunk of documents joined before the shuffle: a passage that a
+   third of all documents have is one entry per chunk. A side whose key has only one document can
+   share nothing; the others come back to their documents as candidates.
+3. The fragment around each candidate side, all strings of LENGTH bytes on that side, is cut from its
+   text and dealt by its key. Equal fragments of a chunk, compared byte by byte, travel as one, with
+   the smallest id. Keys with very many different fragments (the edges of a common passage) deal
+   each string of a fragment by its own hash instead.
+4. A two-stage suffix array sorts the fragments of a bucket: only suffixes smaller than their
+   successor are sorted directly, the others are induced by one scan over the buckets. Adjacent
+   common prefixes of LENGTH or more give the runs of equal strings, and the smallest id of a run
+   says which fragments repeat it.
+
+Hash collisions cost time and nothing else: no two strings count as equal without their bytes.
 """
 
 from __future__ import annotations
@@ -31,12 +36,16 @@ from ._shared import discard, documents, materialize, partitions, raw, release
 
 LENGTH = 50
 GRAM = 16
-#: Anchors that a map task holds before it deals them out.
-CHUNK_ANCHORS = 1 << 20
-#: Fragments that one suffix array sorts; a larger group of one anchor is sorted place by place.
+#: Anchors that a map task holds before it deals them out, and fragments.
+CHUNK_ANCHORS, CHUNK_FRAGMENTS = 1 << 20, 1 << 17
+#: Fragments that one suffix array sorts. A larger group of one key is sorted string by string, in
+#: parts by the strings' hash.
 SORT_FRAGMENTS = 1 << 14
-#: Documents of the sample that tells hot anchors, and how many different contexts make one hot.
-SAMPLE, HOT_CONTEXTS = 5000, 50
+#: Bytes of text for a bucket: what a task holds at once, whatever the number of partitions.
+BUCKET_BYTES = 1 << 25
+#: A key is dealt by strings if so many different fragments have it, and it is among the HOT_KEYS
+#: with most: a list of bounded size. The others are sorted where they are, at any size.
+HOT_FRAGMENTS, HOT_KEYS = 1 << 13, 1 << 16
 _U = np.uint64
 _MIX = [_U(int.from_bytes(hashlib.sha256(b"context-%d" % i).digest()[:8], "little") | 1) for i in range(16)]
 #: A null id is larger than every other one.
@@ -193,8 +202,15 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _bounds(at: np.ndarray, n, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
+def _sides(length: int) -> tuple[int, int]:
+    """Bytes beside an anchor that a string on either side takes in at least: before it, and behind it."""
+    left = (length - GRAM + 1) // 2
+    return left, length - GRAM + 1 - left
+
+
+def _width(length: int) -> int:
+    """Bytes of a fragment: all strings that share the smaller side's key."""
+    return length + max(_sides(length)) - 1
 
 
 def _hashed(data: bytes, at: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -214,20 +230,38 @@ def _hashed(data: bytes, at: np.ndarray, width: int, salt: int = 0) -> np.ndarra
 
 
 def contexts(data: bytes, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A hash of what surrounds each anchor; texts that end within it differ from longer ones."""
+    """A hash of all that lies within reach of a string around each anchor."""
     before = length - GRAM
-    out = _hashed(bytes(before) + data + bytes(length + 8), at, before + length)
-    start, end = _bounds(at, len(data), length)
-    out += ((at - start) * 1024 + (end - at)).astype(_U) * _MIX[13]
-    return out ^ (out >> _U(29))
+    return _hashed(bytes(before) + data + bytes(length + 8), at, before + length)
 
 
-def strings(data: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all strings that hold one of the anchors, with 128 bits of hash."""
-    start = np.unique((at[:, None] - np.arange(length - GRAM + 1)).ravel())
-    start = start[(start >= 0) & (start <= len(data) - length)]
-    padded = data + bytes(8)
-    return start, _hashed(padded, start, length), _hashed(padded, start, length, 1)
+def keys(data: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the left and the right side of each anchor; 0 where the text has no string on that side."""
+    left, right = _sides(length)
+    padded = bytes(left) + data + bytes(right + 8)
+    out = _hashed(padded, at, left + GRAM) | _U(1), _hashed(padded, at + left, GRAM + right, 1) | _U(1)
+    out[0][at < left] = 0
+    out[1][at + GRAM + right > len(data)] = 0
+    return out
+
+
+def fragments(data: bytes, code: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each code (place of an anchor * 2 + 1 for its right side): where its fragment begins, the
+    first and last start of a string in it, and its bytes (zeros elsewhere).
+
+    Places count from length - GRAM bytes before the text.
+    """
+    left, right = _sides(length)
+    before, width = length - GRAM, _width(length)
+    at, side = (code >> 1).astype(np.int64), code & 1
+    begin = np.where(side == 1, at + before - left + 1, at)
+    starts = np.where(side == 1, left, before - left + 1)
+    lo = np.maximum(0, before - begin)
+    hi = np.minimum(starts - 1, len(data) + before - length - begin)
+    padded = np.frombuffer(bytes(before) + data + bytes(width), np.uint8)
+    text = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    column = np.arange(width)
+    return begin, lo, hi, np.where((column >= lo[:, None]) & (column < (hi + length)[:, None]), text, 0).astype(np.uint8)
 
 
 # ---------------------------------------------------------------- packing arrays into rows
@@ -267,13 +301,15 @@ def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary())])
-_FOUND = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-_WHOLE, _DIFFER, _SPAN = 0, 1, 2
-
-
-#: What is found of a document: places of anchors; anchors to compare; spans of bytes.
-_ENTRY = {_WHOLE: np.dtype([("at", "<u4")]), _DIFFER: np.dtype([("at", "<u4"), ("h", "<u8")]), _SPAN: np.dtype([("from", "<u4"), ("to", "<u4")])}
+_DEALT = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("hashes", pa.binary())])
+_DEALT_SQL = "bucket long, ids binary, hashes binary"
+_FOUND = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("load", pa.int64()), ("data", pa.binary())])
+_FOUND_SQL = "dest long, kind int, load long, data binary"
+#: What is found: sides to compare and spans of bytes, of a document; and keys with many fragments.
+_SIDE, _SPAN, _HOT = 0, 1, 2
+_ENTRY = {_SIDE: np.dtype([("code", "<u4")]), _SPAN: np.dtype([("from", "<u4"), ("to", "<u4")])}
+#: In place of a code: the entry stands for documents that are candidates already.
+_NO_CODE = 0xFFFFFFFF
 
 
 class _ByDocument:
@@ -302,40 +338,37 @@ class _ByDocument:
         start, end = _runs(dest)
         parts = [_pack(_delta(k[s:e]), th[s:e], *(c[s:e] for c in columns)) for s, e in zip(start, end)]
         kinds = np.full(len(start), self.kind, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(dest[start].astype(np.int32)), pa.array(kinds), pa.array(parts, pa.binary())], schema=_FOUND)
+        loads = np.zeros(len(start), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(dest[start].astype(np.int64)), pa.array(kinds), pa.array(loads), pa.array(parts, pa.binary())], schema=_FOUND)
 
 
-def _gather(*kinds: int):
-    """Of rows by destination, one row for each document: (k, th, entries of each kind)."""
-    names = {_WHOLE: "places", _DIFFER: "entries", _SPAN: "spans"}
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), *((names[i], pa.binary()) for i in kinds)])
+def _gather(kind: int):
+    """Of rows by destination, one row for each document: (k, th, its entries)."""
+    entry = _ENTRY[kind]
+    types = [t[0].str for t in entry.fields.values()]
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("entries", pa.binary())])
 
     def run(batches):
         for _, rows in _by_bucket(batches):
-            found: dict[tuple, list] = {}
-            for at, kind in enumerate(kinds):
-                entry = _ENTRY[kind]
-                types = [t[0].str for t in entry.fields.values()]
-                parts = [_unpack(r[1], "<i8", "<i8", *types) for r in rows if r[0] == kind]
-                if not parts:
-                    continue
-                k = np.concatenate([np.cumsum(p[0]) for p in parts])
-                th, *columns = (np.concatenate([p[i] for p in parts]) for i in range(1, 2 + len(types)))
-                order = np.lexsort((columns[0], th, k))
-                k, th = k[order], th[order]
-                entries = np.empty(len(k), entry)
-                for name, c in zip(entry.names, columns):
-                    entries[name] = c[order]
-                data, width = entries.tobytes(), entry.itemsize
-                start, end = _runs(k, th)
-                for s, e, *key in zip(start.tolist(), end.tolist(), k[start].tolist(), th[start].tolist()):
-                    found.setdefault(tuple(key), [None] * len(kinds))[at] = data[s * width : e * width]
-            columns = zip(*((*key, *parts) for key, parts in found.items()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            parts = [_unpack(r[-1], "<i8", "<i8", *types) for r in rows]
+            k = np.concatenate([np.cumsum(p[0]) for p in parts])
+            th, *columns = (np.concatenate([p[i] for p in parts]) for i in range(1, 2 + len(types)))
+            order = np.lexsort((columns[0], th, k))
+            k, th = k[order], th[order]
+            entries = np.empty(len(k), entry)
+            for name, c in zip(entry.names, columns):
+                entries[name] = c[order]
+            data, width = entries.tobytes(), entry.itemsize
+            start, end = _runs(k, th)
+            held = [data[s * width : e * width] for s, e in zip(start.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(k[start]), pa.array(th[start]), pa.array(held, pa.binary())], schema=schema)
 
     return run
 
 
+_GATHERED_SQL = "k long, th long, entries binary"
+
+
 def _ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(new)
     return start, np.r_[start[1:], len(new)]
@@ -352,67 +385,72 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _ends(new)
 
 
-def _deal(buckets: int, length: int, hot: np.ndarray):
-    """Map side: the anchors of whole texts by bucket; equal contexts of a chunk are joined.
+def _batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.types)], schema=_DEALT)
+
+
+def _deal(buckets: int, length: int):
+    """Map side: the sides of whole texts by bucket of their key; those of a chunk with one key are joined.
 
-    hot: hashes of anchors with very many different contexts (sorted). The strings that hold one
-    are dealt themselves, each by its own hash, in a second range of buckets: those that many
-    documents have are joined here, and the others spread. Places of documents that repeat
-    something of a smaller id need no partner any more; they travel under a negative bucket.
+    Sides whose key several documents of the chunk have are candidates; they travel under a negative
+    bucket, and one entry without a code tells the key's bucket, with the number of different contexts.
     """
 
     def dealt(held):
         ids, ths = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        place = np.empty(len(held), np.int64)
         by_id = np.lexsort((ths, ids))
-        place[by_id] = np.arange(len(held))
-        ids, ths = ids[by_id], ths[by_id]
-        for first, base in ((2, 0), (5, buckets)):
-            doc = np.repeat(place, [len(x[first]) for x in held])
-            if len(doc):
-                yield from joined(ids, ths, doc, *(np.concatenate([x[first + i] for x in held]) for i in range(3)), base)
-
-    def joined(ids, ths, doc, at, h, c, base):
-        order = np.lexsort((doc << 32 | at, c, h))
-        doc, at, h, c = doc[order], at[order].astype("<u4"), h[order], c[order]
-        start, end = _runs(h, c)
-        repeats = ids[doc] > np.repeat(ids[doc[start]], end - start)
-        again = np.flatnonzero(repeats)
-        again = again[np.lexsort((at[again], doc[again]))]
+        # rows that repeat an id with its text are one document
+        by_id = by_id[np.r_[True, (ids[by_id][1:] != ids[by_id][:-1]) | (ths[by_id][1:] != ths[by_id][:-1])]]
+        held, ids, ths = [held[i] for i in by_id], ids[by_id], ths[by_id]
+        doc = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        at = np.concatenate([x[2] for x in held]).astype("<u4") << 1
+        key, context = (np.concatenate([x[i] for x in held]) for i in (3, 5))
+        doc, at, context = np.tile(doc, 2), np.r_[at, at | 1], np.tile(context, 2)
+        key = np.r_[key, np.concatenate([x[4] for x in held])]
+        order = np.flatnonzero(key)
+        order = order[np.argsort(key[order], kind="stable")]
+        doc, at, key, context = doc[order], at[order], key[order], context[order]
+        start, end = _runs(key)
+        if not len(start):
+            return
+        # entries of a key are in order of ids only on either side, hence the extremes
+        k = ids[doc]
+        low, high = np.minimum.reduceat(k, start), np.maximum.reduceat(k, start)
+        several = np.repeat(low < high, end - start)
+        again = np.flatnonzero(several)
         if len(again):
-            yield -1 - base - int(ids[doc[again[0]]] % buckets), _pack(_delta(ids[doc[again]]), ths[doc[again]], at[again]), b""
-        first = np.flatnonzero(~repeats)
-        bucket = (h[first] >> _U(20)) % _U(buckets)
-        order = np.lexsort((at[first], doc[first], bucket))
-        first, bucket = first[order], bucket[order]
+            x = again[np.lexsort((at[again], doc[again]))]
+            yield -1 - int(k[x[0]] % buckets), _pack(_delta(k[x]), ths[doc[x]], at[x]), b""
+        g = np.flatnonzero(low < high)
+        order = again[np.lexsort((context[again], key[again]))]
+        new = np.ones(len(order), np.int64)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
+        load = np.add.reduceat(new, np.cumsum(np.r_[0, (end - start)[g]])[:-1]) if len(g) else new
+        one = np.flatnonzero(~several)
+        k, th = np.r_[k[one], low[g]], np.r_[ths[doc[one]], load]
+        at, key = np.r_[at[one], np.full(len(g), _NO_CODE, "<u4")], np.r_[key[one], key[start[g]]]
+        bucket = (key >> _U(20)) % _U(buckets)
+        order = np.lexsort((at, k, bucket))
+        k, th, at, key, bucket = k[order], th[order], at[order], key[order], bucket[order]
         for s, e in zip(*_runs(bucket)):
-            x = first[s:e]
-            yield base + int(bucket[s]), _pack(_delta(ids[doc[x]]), ths[doc[x]], at[x]), _pack(h[x], c[x])
+            yield int(bucket[s]), _pack(_delta(k[s:e]), th[s:e], at[s:e]), _pack(key[s:e])
 
     def run(batches):
         held: list[tuple] = []
         size = 0
-
-        def flush():
-            columns = zip(*dealt(held))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _DEALT.types)], schema=_DEALT)
-
         for b in batches:
             for k, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 data = text.as_buffer().to_pybytes()
-                at, h = anchors(data, length)
+                at, _ = anchors(data, length)
                 if not len(at):
                     continue
-                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-                lone = strings(data, at[known], length)
-                at, h = at[~known], h[~known]
-                held.append((k, th, at, h, contexts(data, at, length), *lone))
-                size += len(at) + len(lone[0])
+                held.append((k, th, at, *keys(data, at, length), contexts(data, at, length)))
+                size += len(at)
                 if size >= CHUNK_ANCHORS:
-                    yield flush()
+                    yield _batch(dealt(held))
                     held, size = [], 0
-        if held:
-            yield flush()
+        if held and (rows := list(dealt(held))):
+            yield _batch(rows)
 
     return run
 
@@ -431,106 +469,141 @@ def _by_bucket(batches):
         yield now, rows
 
 
-def _settle(buckets: int, length: int, destinations: int):
-    """Reduce side: who repeats a whole context or string, and which fragments must be compared."""
+def _settle(buckets: int, length: int):
+    """Reduce side: which sides share their key with another document, and keys with many fragments."""
 
     def run(batches):
-        kinds = [_ByDocument(kind, destinations) for kind in (_WHOLE, _DIFFER, _SPAN)]
+        sides = _ByDocument(_SIDE, buckets)
         for bucket, rows in _by_bucket(batches):
-            yield from settle(bucket, rows, *kinds)
-        for kind in kinds:
-            yield from kind.rows()
-
-    def settle(bucket, rows, whole, differ, spans):
-        parts = [_unpack(r[0], "<i8", "<i8", "<u4") for r in rows]
-        k = np.concatenate([np.cumsum(p[0]) for p in parts])
-        th, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        one_string = bucket >= buckets or bucket < -buckets
-        if bucket < 0:
-            yield from spans.add(k, th, at, at + np.uint32(length)) if one_string else whole.add(k, th, at)
-            return
-        h, c = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", "<u8") for r in rows)))
-        order = np.lexsort((k, c, h))
-        k, th, at, h, c = (x[order] for x in (k, th, at, h, c))
-        start, end = _runs(h, c)
-        low = np.repeat(k[start], end - start)
-        again = k > low
-        if one_string:
-            yield from spans.add(k[again], th[again], at[again], at[again] + np.uint32(length))
-            return
-        yield from whole.add(k[again], th[again], at[again])
-        # anchors with several contexts, of several documents
-        s, e = _runs(h)
-        first = np.zeros(len(h), np.int64)
-        first[start] = 1
-        mixed = (np.add.reduceat(first, s) > 1) & (np.minimum.reduceat(low, s) < np.maximum.reduceat(low, s))
-        x = np.repeat(mixed, e - s) & ~again
-        yield from differ.add(k[x], th[x], at[x], h[x])
+            parts = [_unpack(r[0], "<i8", "<i8", "<u4") for r in rows]
+            k = np.concatenate([np.cumsum(p[0]) for p in parts])
+            th, code = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            if bucket < 0:
+                yield from sides.add(k, th, code)
+                continue
+            key = np.concatenate([_unpack(r[1], "<u8")[0] for r in rows])
+            order = np.argsort(key, kind="stable")
+            k, th, code, key = k[order], th[order], code[order], key[order]
+            start, end = _runs(key)
+            known = code == _NO_CODE
+            shared = np.minimum.reduceat(k, start) < np.maximum.reduceat(k, start)
+            shared |= np.logical_or.reduceat(known, start)
+            hit = np.repeat(shared, end - start) & ~known
+            yield from sides.add(k[hit], th[hit], code[hit])
+            load = np.add.reduceat(np.where(known, th, 1), start)
+            many = np.flatnonzero(shared & (load >= HOT_FRAGMENTS))
+            if len(many):
+                n = len(many)
+                names = [x.tobytes() for x in key[start[many]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, _HOT, np.int32)), pa.array(load[many]), pa.array(names, pa.binary())], schema=_FOUND)
+        yield from sides.rows()
 
     return run
 
 
-def _cut(buckets: int, length: int):
-    """Cuts the fragments around given anchors from texts, and deals them by bucket."""
-    before = length - GRAM
-    width = before + length
+def _merged(key, k, th, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and the starts in it of runs that are equal byte for byte, each in order of ids."""
+    width = text.shape[1]
+    padded = np.zeros((len(key), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = text
+    words = padded.view(_U)
+    mixed = ((words ^ (words >> _U(32))) * _MIX[15] * np.array([_MIX[j % 12] for j in range(words.shape[1])])).sum(axis=1, dtype=_U)
+    mixed ^= (lo * 1024 + hi).astype(_U) * _MIX[13]
+    order = np.lexsort((th, k, mixed, key))
+    words, key, lo, hi = words[order], key[order], lo[order], hi[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def _strings(begin, lo, hi, text, length: int) -> tuple[np.ndarray, ...]:
+    """Every string of the fragments as a fragment of its own: (fragment, begin, text, key)."""
+    count = np.maximum(0, hi - lo + 1)
+    of = np.repeat(np.arange(len(lo)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[of]
+    alone = np.zeros((len(of), text.shape[1] + 8), np.uint8)
+    alone[:, :length] = text[of[:, None], start[:, None] + np.arange(length)]
+    key = _hashed(alone.tobytes(), np.arange(len(of)) * alone.shape[1], length) | _U(1) if len(of) else np.empty(0, _U)
+    return of, begin[of] + start, alone[:, : text.shape[1]], key
+
+
+def _cut(buckets: int, length: int, hot: np.ndarray):
+    """Cuts the fragments of given sides from texts, and deals them by bucket of their key.
+
+    Of equal fragments of a chunk those with the smallest id travel; a larger id repeats all of it.
+    hot: keys (sorted) whose fragments are dealt string by string.
+    """
+    width = _width(length)
 
     def dealt(held):
-        k, th, at, h, n = (np.concatenate([x[i] for x in held]) for i in range(5))
-        text = np.concatenate([x[5] for x in held])
-        start, end = _bounds(at, n, length)
-        bucket = (h >> _U(20)) % _U(buckets)
-        order = np.lexsort((at, th, k, h, bucket))
-        for s, e in zip(*_runs(bucket[order])):
-            x = order[s:e]
-            spans = [(at - start)[x].astype("<u4"), (end - at)[x].astype("<u4")]
-            ids = _pack(_delta(k[x]), th[x], at[x].astype("<u4"), *spans)
-            yield int(bucket[x[0]]), ids, _pack(h[x], np.ascontiguousarray(text[x]).view(f"V{width}").ravel())
+        k, th, key, begin, lo, hi, text = (np.concatenate([x[i] for x in held]) for i in range(7))
+        if not len(k):
+            return
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            split = hot[at] == key
+            if split.any():
+                of, b, alone, own = _strings(begin[split], lo[split], hi[split], text[split], length)
+                of, zero = np.flatnonzero(split)[of], np.zeros(len(of), np.int64)
+                parts = (k[of], th[of], own, b, zero, zero, alone)
+                k, th, key, begin, lo, hi, text = (np.concatenate([x[~split], y]) for x, y in zip((k, th, key, begin, lo, hi, text), parts))
+        order, start = _merged(key, k, th, lo, hi, text)
+        low = np.repeat(k[order[start]], np.diff(np.r_[start, len(order)]))
+        again = order[k[order] > low]
+        if len(again):
+            again = again[np.lexsort((begin[again], th[again], k[again]))]
+            ends = [(begin + lo)[again].astype("<u4"), (begin + hi)[again].astype("<u4")]
+            yield -1 - int(k[again[0]] % buckets), _pack(_delta(k[again]), th[again], *ends), b""
+        x = order[k[order] == low]
+        bucket = (key[x] >> _U(20)) % _U(buckets)
+        by = np.lexsort((begin[x], k[x], key[x], bucket))
+        x, bucket = x[by], bucket[by]
+        for s, e in zip(*_runs(bucket)):
+            y = x[s:e]
+            ids = _pack(_delta(k[y]), th[y], begin[y].astype("<u4"), lo[y].astype("<u2"), hi[y].astype("<u2"))
+            yield int(bucket[s]), ids, _pack(key[y], np.ascontiguousarray(text[y]).view(f"V{width}").ravel())
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
-
-        def flush():
-            columns = zip(*dealt(held))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _DEALT.types)], schema=_DEALT)
-
+        size, seen = 0, set()
         for b in batches:
             for k, th, text, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                if (k, th) in seen:
+                    continue
+                seen.add((k, th))
                 data = text.as_buffer().to_pybytes()
-                entries = np.frombuffer(entries, _ENTRY[_DIFFER])
-                at, h = entries["at"].astype(np.int64), entries["h"].astype(_U)
-                padded = np.frombuffer(bytes(before) + data + bytes(length), np.uint8)
-                fragments = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
-                m = len(at)
-                held.append((np.full(m, k), np.full(m, th), at, h, np.full(m, len(data)), fragments))
-                size += m
-                if size >= SORT_FRAGMENTS * 4:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                codes = np.unique(np.frombuffer(entries, _ENTRY[_SIDE])["code"])
+                for at in range(0, len(codes), CHUNK_FRAGMENTS):
+                    code = codes[at : at + CHUNK_FRAGMENTS]
+                    both = keys(data, (code >> 1).astype(np.int64), length)
+                    key, (begin, lo, hi, pieces) = np.where(code & 1, both[1], both[0]), fragments(data, code, length)
+                    x = np.flatnonzero(hi >= lo)  # close to an end of the text there may be no string
+                    held.append((np.full(len(x), k), np.full(len(x), th), key[x], begin[x], lo[x], hi[x], pieces[x]))
+                    size += len(x)
+                    if size >= CHUNK_FRAGMENTS:
+                        yield _batch(dealt(held))
+                        held, size, seen = [], 0, {(k, th)}
+        if held and (rows := list(dealt(held))):
+            yield _batch(rows)
 
     return run
 
 
-def _repeated_by_suffix_array(k, left, right, text, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fragment the first and last start (a column of text) of a string that a smaller id has; -1 if none."""
-    before = length - GRAM
+def _sorted_strings(low, lo, hi, text, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fragment the first and last start of a string that a smaller id than ``low`` has; -1 if none."""
     m, width = text.shape
     column = np.arange(width + 1)
     t = np.zeros((m, width + 1), np.uint16)
     t[:, :width] = text
     t[:, :width] += 1
-    t[np.arange(m), before + right] = 0  # a separator ends every fragment
-    used = (column >= (before - left)[:, None]) & (column <= (before + right)[:, None])
+    t[np.arange(m), hi + length] = 0  # a separator ends every fragment
+    used = (column >= lo[:, None]) & (column <= (hi + length)[:, None])
     fragment, start = np.nonzero(used)
-    # what counts are strings of full length around the anchor
-    order, common = suffix_array(t[used], length, start + length <= (before + right)[fragment])
+    order, common = suffix_array(t[used], length, start <= hi[fragment])
     fragment, start = fragment[order], start[order]
     s, e = _ends(common < length)
-    low = np.repeat(np.minimum.reduceat(k[fragment], s), e - s)
-    hit = k[fragment] > low
+    least = np.repeat(np.minimum.reduceat(low[fragment], s), e - s)
+    hit = low[fragment] > least
     return _first_last(m, width, fragment[hit], start[hit])
 
 
@@ -541,126 +614,119 @@ def _first_last(m: int, width: int, fragment: np.ndarray, start: np.ndarray) ->
     return np.where(last < 0, -1, first), last
 
 
-def _repeated_by_place(k, left, right, text, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for the fragments of one anchor: equal strings lie at the same place, so places are sorted in turn.
+def _slices(key: np.ndarray):
+    """Slices of whole keys (sorted) with SORT_FRAGMENTS fragments at most, where a key allows."""
+    at = 0
+    for s, e in zip(*_runs(key)):
+        if e - at > SORT_FRAGMENTS and s > at:
+            yield at, s
+            at = s
+        if e - at > SORT_FRAGMENTS:
+            yield at, e
+            at = e
+    if at < len(key):
+        yield at, len(key)
+
+
+def _repeated(key, low, lo, hi, text, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_sorted_strings`` over any number of fragments, in order of keys: strings only occur under one key.
 
-    For an anchor with very many different contexts; memory is a few times the fragments.
+    A key of too many fragments is taken apart: its strings are sorted in slices by their own hash.
     """
-    before = length - GRAM
-    found = []
-    for o in range(before + 1):
-        x = np.flatnonzero((left >= before - o) & (o + length <= before + right))
-        if not len(x):
+    first, last = np.full(len(key), -1), np.full(len(key), -1)
+    for s, e in _slices(key):
+        if e - s <= SORT_FRAGMENTS:
+            first[s:e], last[s:e] = _sorted_strings(low[s:e], lo[s:e], hi[s:e], text[s:e], length)
             continue
-        strings = np.zeros((len(x), -(-length // 8) * 8), np.uint8)
-        strings[:, :length] = text[x, o : o + length]
-        words = strings.view(_U)
-        order = np.lexsort(tuple(words.T))
-        words, x = words[order], x[order]
-        s, e = _runs(*words.T)
-        low = np.repeat(np.minimum.reduceat(k[x], s), e - s)
-        hit = x[k[x] > low]
-        found.append((hit, np.full(len(hit), o)))
-    fragment, start = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-    return _first_last(len(k), text.shape[1], fragment, start)
-
-
-def _compare(length: int, destinations: int):
-    before = length - GRAM
-
-    def groups(h):
-        """Slices of whole anchors with SORT_FRAGMENTS fragments at most, where an anchor allows."""
-        at = 0
-        for s, e in zip(*_runs(h)):
-            if e - at > SORT_FRAGMENTS and s > at:
-                yield at, s
-                at = s
-            if e - at > SORT_FRAGMENTS:
-                yield at, e
-                at = e
-        if at < len(h):
-            yield at, len(h)
+        step = max(1, SORT_FRAGMENTS // 8)
+        hits: list[list] = [[], []]
+        for o in range(text.shape[1] - length + 1):
+            # equal strings hold the key's anchor at one place, so each place is a set of its own
+            own = np.flatnonzero((lo[s:e] <= o) & (hi[s:e] >= o)) + s
+            names = [_strings(np.zeros(len(x), np.int64), np.full(len(x), o), np.full(len(x), o), text[x], length)[3] for x in np.split(own, list(range(step, len(own), step)))]
+            name = np.concatenate(names)
+            order = np.argsort(name, kind="stable")
+            own, name = own[order], name[order]
+            for p, q in _slices(name):
+                x = own[p:q]
+                alone = np.zeros((q - p, text.shape[1]), np.uint8)
+                alone[:, :length] = text[x, o : o + length]
+                zero = np.zeros(q - p, np.int64)
+                found = x[_sorted_strings(low[x], zero, zero, alone, length)[1] >= 0]
+                hits[0].append(found)
+                hits[1].append(np.full(len(found), o))
+        first[s:e], last[s:e] = _first_last(e - s, text.shape[1], np.concatenate(hits[0]) - s, np.concatenate(hits[1]))
+    return first, last
+
+
+def _compare(length: int, buckets: int):
+    """Reduce side: the spans of every document that a smaller id has too."""
+    before, width = length - GRAM, _width(length)
 
     def run(batches):
-        spans = _ByDocument(_SPAN, destinations)
-        for _, rows in _by_bucket(batches):
-            parts = [_unpack(r[0], "<i8", "<i8", "<u4", "<u4", "<u4") for r in rows]
+        spans = _ByDocument(_SPAN, buckets)
+        for bucket, rows in _by_bucket(batches):
+            if bucket < 0:
+                parts = [_unpack(r[0], "<i8", "<i8", "<u4", "<u4") for r in rows]
+                k = np.concatenate([np.cumsum(p[0]) for p in parts])
+                th, first, last = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+                yield from spans.add(k, th, first - np.uint32(before), last - np.uint32(before) + np.uint32(length))
+                continue
+            parts = [_unpack(r[0], "<i8", "<i8", "<u4", "<u2", "<u2") for r in rows]
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
-            th, at, left, right = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 5))
-            h, text = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", f"V{before + length}") for r in rows)))
-            text = text.view(np.uint8).reshape(len(h), -1)
-            order = np.lexsort((k, h))
-            k, th, at, left, right, h, text = (x[order] for x in (k, th, at, left, right, h, text))
-            for s, e in groups(h):
-                part = [x[s:e] for x in (k, left, right, text)]
-                big = e - s > SORT_FRAGMENTS
-                first, last = (_repeated_by_place if big else _repeated_by_suffix_array)(*part, length)
-                hit = np.flatnonzero(last >= 0)
-                base = at[s + hit] - before
-                yield from spans.add(k[s + hit], th[s + hit], base + first[hit], base + last[hit] + length)
+            th, begin, lo, hi = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 5))
+            key, text = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", f"V{width}") for r in rows)))
+            text = text.view(np.uint8).reshape(len(key), width)
+            order, start = _merged(key, k, th, lo, hi, text)
+            one = order[start]
+            low = k[one]
+            first, last = _repeated(key[one], low, lo[one], hi[one], text[one], length)
+            of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+            k, th, begin = k[order], th[order], begin[order] - before
+            # a larger id than the fragment's smallest repeats all of it, that one what the array found
+            more = k > low[of]
+            first, last = np.where(more, lo[one][of], first[of]), np.where(more, hi[one][of], last[of])
+            hit = last >= 0
+            yield from spans.add(k[hit], th[hit], (begin + first)[hit], (begin + last + length)[hit])
         yield from spans.rows()
 
     return run
 
 
-def _removed(places: bytes | None, spans: bytes | None, n: int, length: int) -> np.ndarray:
-    """Which bytes of a text the found repeats cover."""
-    edge = np.zeros(n + 1, np.int64)
-    if places:
-        a, z = _bounds(np.frombuffer(places, "<u4").astype(np.int64), n, length)
-        edge += np.bincount(a, minlength=n + 1) - np.bincount(z, minlength=n + 1)
-    if spans:
-        entries = np.frombuffer(spans, _ENTRY[_SPAN])
-        edge += np.bincount(entries["from"], minlength=n + 1) - np.bincount(entries["to"], minlength=n + 1)
+def _removed(spans: bytes, n: int) -> np.ndarray:
+    """Which bytes of a text the found spans cover."""
+    entries = np.frombuffer(spans, _ENTRY[_SPAN])
+    edge = np.bincount(entries["from"], minlength=n + 1) - np.bincount(entries["to"], minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k, th, places, spans`` of every document that repeats something; k and th name its row."""
+    """``k, th, entries`` of every document that repeats something; k and th name its row."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = n
+    # buckets are as large as a task can hold; a partition goes through several of them, one by one
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = n * max(1, -(-size // (n * BUCKET_BYTES)))
     texts = docs.select(*_row_key(), raw("text").alias("t"))
-    dealt = texts.mapInArrow(_deal(buckets, length, _hot(texts, length)), "bucket int, ids binary, hashes binary")
-    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length, n), "dest int, kind int, data binary"), "repeats")
+    dealt = texts.mapInArrow(_deal(buckets, length), _DEALT_SQL)
+    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length), _FOUND_SQL), "candidates")
     del dealt
     release(spark)
-    differ = _dealt(found.where(f"kind = {_DIFFER}"), n, "dest").mapInArrow(_gather(_DIFFER), "k long, th long, entries binary")
-    fragments = texts.join(differ, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length), "bucket int, ids binary, hashes binary")
-    compared = _dealt(fragments, n, "bucket").mapInArrow(_compare(length, n), "dest int, kind int, data binary")
-    every = found.where(f"kind <> {_DIFFER}").union(compared)
-    gathered = _dealt(every, n, "dest").mapInArrow(_gather(_WHOLE, _SPAN), "k long, th long, places binary, spans binary")
-    out = materialize(gathered, "repeats-by-document")
-    del differ, fragments, compared, every, gathered
+    hot = found.where(f"kind = {_HOT}").orderBy(F.desc("load"), "data").limit(HOT_KEYS).select("data").collect()
+    hot = np.sort(np.frombuffer(b"".join(r.data for r in hot), "<u8"))
+    sides = _dealt(found.where(f"kind = {_SIDE}"), n, "dest").mapInArrow(_gather(_SIDE), _GATHERED_SQL)
+    cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot), _DEALT_SQL)
+    compared = _dealt(cut, n, "bucket").mapInArrow(_compare(length, buckets), _FOUND_SQL)
+    out = materialize(_dealt(compared, n, "dest").mapInArrow(_gather(_SPAN), _GATHERED_SQL), "repeats-by-document")
+    del sides, cut, compared
     discard(found)
     release(spark)
     return out
 
 
-def _hot(texts: DataFrame, length: int) -> np.ndarray:
-    """Anchors with different contexts in a hundredth of the documents or more, judged by a sample.
-
-    Whether an anchor is taken for hot changes the way its strings are compared, not the result,
-    so a sample of SAMPLE documents will do. There are fewer of them than a document has anchors,
-    times a hundred.
-    """
-
-    def run(batches):
-        for b in batches:
-            for t in b.column(0):
-                data = t.as_buffer().to_pybytes()
-                at, h = anchors(data, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(contexts(data, at, length).view("<i8"))], ["h", "c"])
-
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("k", "th"), F.lit(every)) == 0)
-    seen = sample.select("t").mapInArrow(run, "h long, c long").distinct().groupBy("h").count().where(F.col("count") >= HOT_CONTEXTS)
-    return np.sort(np.array([r.h for r in seen.select("h").collect()], np.int64).view(_U))
-
-
 def _dealt(df: DataFrame, n: int, by: str) -> DataFrame:
-    # one bucket for each task: a document's anchors of a bucket share its id then
-    return df.repartitionById(n, F.pmod(F.col(by), F.lit(n))).sortWithinPartitions(by)
+    # a bucket's rows are neighbours; a document's anchors of a bucket share its id then
+    return df.repartitionById(n, F.pmod(F.col(by), F.lit(n)).cast("int")).sortWithinPartitions(by)
 
 
 def _row_key():
@@ -686,11 +752,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, t, places, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for doc_id, t, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 data = t.as_buffer().to_pybytes()
                 out, kept = np.zeros(len(data), bool), data
-                if places or spans:
-                    out = _removed(places, spans, len(data), length)
+                if spans:
+                    out = _removed(spans, len(data))
                     kept = np.frombuffer(data, np.uint8)[~out].tobytes()
                 runs = int(np.count_nonzero(out[1:] & ~out[:-1]) + (len(out) > 0 and out[0]))
                 row = [doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()]
@@ -699,7 +765,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     texts = docs.select(F.col("doc_id").cast("long"), *_row_key(), raw("text").alias("t"))
-    joined = texts.join(find_repeats(docs, length), ["k", "th"], "left").select("doc_id", "t", "places", "spans")
+    joined = texts.join(find_repeats(docs, length), ["k", "th"], "left").select("doc_id", "t", "entries")
     return joined.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
     )

@@ -76,29 +76,40 @@ def texts(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize("chunk", [40, 1 << 20])
-def test_against_all_strings(spark, rng, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, fragments, sort, bucket", [(40, 50, 1 << 14, 1 << 25), (1 << 20, 1 << 17, 1 << 14, 300), (1 << 20, 1 << 17, 5, 1 << 25)])
+def test_against_all_strings(spark, rng, monkeypatch, chunk, fragments, sort, bucket):
     monkeypatch.setattr(X, "CHUNK_ANCHORS", chunk)
+    monkeypatch.setattr(X, "CHUNK_FRAGMENTS", fragments)
+    monkeypatch.setattr(X, "SORT_FRAGMENTS", sort)
+    monkeypatch.setattr(X, "BUCKET_BYTES", bucket)
     rows = list(enumerate(texts(rng)))
     got = table(X.remove_repeats(docs(spark, rows).repartition(3)))
     check(got, [(i, t.encode()) for i, t in rows])
 
 
-def test_both_ways_to_compare_agree(rng):
-    data = [t.encode() for t in texts(rng, 40)]
-    padded = [bytes(34) + d + bytes(50) for d in data if len(d) >= 50]
-    k, left, right, text = [], [], [], []
-    for i, (p, d) in enumerate(zip(padded, (d for d in data if len(d) >= 50))):
-        at, _ = X.anchors(d)
-        for a in at:
-            k.append(i)
-            left.append(min(34, a))
-            right.append(min(50, len(d) - a))
-            text.append(np.frombuffer(p, np.uint8)[a : a + 84])
-    args = [np.array(x) for x in (k, left, right)] + [np.stack(text), 50]
-    every, place = X._repeated_by_suffix_array(*args), X._repeated_by_place(*args)
-    # the first also meets strings at other places of an anchor's context
-    assert (every[1] >= place[1]).all() and ((place[1] < 0) | (every[0] <= place[0])).all()
+@pytest.mark.parametrize("length", [24, 25, 64])
+def test_other_lengths(spark, rng, length):
+    rows = list(enumerate(texts(rng, 30)))
+    check(table(X.remove_repeats(docs(spark, rows).repartition(2), length)), [(i, t.encode()) for i, t in rows], length)
+
+
+def test_equal_hashes_decide_nothing(spark, rng, monkeypatch):
+    """With hashes that nearly all collide the result is the same: bytes decide."""
+    plain_hash = X._hashed
+    monkeypatch.setattr(X, "_hashed", lambda *a: plain_hash(*a) & np.uint64(3 << 20))
+    rows = [t.encode() for t in texts(rng, 25)]
+    dealt = [(i, i, data, np.sort(np.r_[X.anchors(data)[0] * 2, X.anchors(data)[0] * 2 + 1]).astype("<u4")) for i, data in enumerate(rows) if len(data) >= 50]
+    batch = X.pa.RecordBatch.from_arrays([X.pa.array(c, t) for c, t in zip(zip(*((k, th, d, c.tobytes()) for k, th, d, c in dealt)), (X.pa.int64(), X.pa.int64(), X.pa.binary(), X.pa.binary()))], ["k", "th", "t", "entries"])
+    cut = list(X._cut(2, 50, np.empty(0, "<u8"))([batch]))
+    cut = X.pa.Table.from_batches(cut).sort_by("bucket").to_batches()
+    found = [b for b in X._compare(50, 1)(cut)]
+    spans = {}
+    for b in X._gather(X._SPAN)(found):
+        spans |= dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+    expected = plain(list(enumerate(rows)))
+    for i, data in enumerate(rows):
+        gone = int(X._removed(spans[i], len(data)).sum()) if i in spans else 0
+        assert gone == expected[i][1]
 
 
 @pytest.mark.skipif(not HAVE, reason="no test tables here")
@@ -120,14 +131,21 @@ def test_edges(spark):
     assert table(X.remove_repeats(docs(spark, []))).empty
 
 
-def test_hot_anchors_change_nothing(spark, rng, monkeypatch):
+def test_hot_keys_change_nothing(spark, rng, monkeypatch):
     """A passage between different neighbours, with its edges dealt string by string."""
-    monkeypatch.setattr(X, "HOT_CONTEXTS", 2)
     letters = [chr(c) for c in range(97, 123)]
     word = lambda k: "".join(letters[i] for i in rng.integers(0, 26, k))
     passage = word(90)
     rows = [(i, word(int(rng.integers(0, 60))) + passage + word(int(rng.integers(0, 60)))) for i in range(30)]
     rows += [(100 + i, t) for i, t in enumerate(texts(rng, 30))]
     df = docs(spark, rows).repartition(3)
-    assert len(X._hot(df.selectExpr("doc_id AS k", "1L AS th", "cast(text AS binary) AS t"), 50)) > 0
+    seen = []
+    monkeypatch.setattr(X, "HOT_FRAGMENTS", 3)
+    cut = X._cut
+    monkeypatch.setattr(X, "_cut", lambda buckets, length, hot: seen.append(len(hot)) or cut(buckets, length, hot))
+    check(table(X.remove_repeats(df)), [(i, t.encode()) for i, t in rows])
+    assert seen[0] > 10
+    # beyond the list of hot keys, large groups are taken apart where they are sorted
+    monkeypatch.setattr(X, "HOT_KEYS", 1)
+    monkeypatch.setattr(X, "SORT_FRAGMENTS", 2)
     check(table(X.remove_repeats(df)), [(i, t.encode()) for i, t in rows])
