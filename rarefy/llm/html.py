@@ -29,14 +29,18 @@ PATH_BUCKETS, WORD_BUCKETS, FIGURES = 128, 32, 8
 INPUT = PATH_BUCKETS + WORD_BUCKETS + FIGURES
 HIDDEN = 20
 PAGES, EPOCHS, BATCH, SEED = 960, 10, 32, 5
-#: Blocks of one batch at inference, padding included: what bounds its memory.
-BATCH_BLOCKS = 1 << 15
+#: Blocks that are read together at inference, padding included, and those of them that have their
+#: vectors at one time: what bounds the memory of pages of any length.
+BATCH_BLOCKS, STEP_BLOCKS = 1 << 15, 1 << 12
 
 # ---------------------------------------------------------------- blocks
 
-#: Elements whose content is no text of the page.
-_SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "canvas", "audio", "video"}
-_RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: Elements whose content is never shown as text of the page, or belongs to a form's fields. What is
+#: in others, like formulas, drawings and fallbacks of media, is left to the network.
+_SKIPPED = {"script", "style", "template", "iframe", "head", "title", "select", "textarea"}
+_RAW = {"script", "style", "textarea", "title", "iframe"}
+#: What a head holds; the start of any other element ends it, as its end tag may be left out.
+_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Inline elements; all others border a block.
 _INLINE = {
@@ -46,13 +50,12 @@ _INLINE = {
 #: An open element of the left closes when one of the right begins.
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"},
-    "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"},
+    "th": {"td", "th", "tr"}, "option": {"option"},
 }
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-zA-Z!?][^>]*(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_DEPTH = 24
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
@@ -71,17 +74,76 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(tag path, text, characters in links) of every block with text, in page order.
+class Path:
+    """An element's place: itself and all elements that it lies in, at any depth.
+
+    Places are nodes of a tree that pages share, so that equal places are read once. PLACES of them
+    are kept; later ones belong to their page.
+    """
+
+    __slots__ = ("parent", "tag", "names", "depth", "inner", "sums")
+    kept = 0
+
+    def __init__(self, parent: Path | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.tag, self.names = parent, tag, names
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.inner: dict | None = None
+        self.sums: np.ndarray | None = None
+
+    def child(self, tag: str, names: tuple[str, ...]) -> Path:
+        found = self.inner.get((tag, names)) if self.inner is not None else None
+        if found is None:
+            found = Path(self, tag, names)
+            if Path.kept < PLACES:
+                Path.kept += 1
+                self.inner = self.inner if self.inner is not None else {}
+                self.inner[tag, names] = found
+        return found
+
+    def vector(self) -> np.ndarray:
+        """Tags, the outer ones for less and less, and all names, hashed."""
+        node, above = self, []
+        while node.sums is None and node.parent is not None:
+            above.append(node)
+            node = node.parent
+        sums = node.sums if node.sums is not None else np.zeros((2, PATH_BUCKETS), np.float32)
+        for node in reversed(above):
+            sums = sums * _FADE
+            sums[0, _bucket(node.tag, PATH_BUCKETS)] += 1
+            for w in node.names:
+                sums[1, _bucket("." + w, PATH_BUCKETS)] += 1
+            # of a page's own places a few will do: the others are a few steps away
+            if node.depth % 32 == 0 or Path.kept < PLACES:
+                node.sums = sums
+        return np.minimum(sums[0] + sums[1], 2)
+
+
+#: Places that pages share, and how much less the tag of the next outer element counts; names don't fade.
+PLACES = 1 << 15
+_FADE = np.array([[0.85], [1.0]], np.float32)
+_ROOT = Path(None, "", ())
+
+
+def _root() -> Path:
+    """A tree of places for a new page; a full one makes way."""
+    global _ROOT
+    if Path.kept >= PLACES:
+        _ROOT, Path.kept = Path(None, "", ()), 0
+    return _ROOT
+
+
+def blocks(page: str) -> list[tuple[Path, str, int]]:
+    """(place, text, characters in links) of every block with text, in page order.
 
     Character references are decoded, white space is one space, ends are trimmed. Tags that are
-    never closed, closed twice or out of order do no harm.
+    never closed, closed twice or out of order do no harm. Elements may be nested to any depth.
     """
-    out: list[tuple[tuple, str, int]] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path, str, int]] = []
+    path: list[tuple[str, Path]] = []
+    root = _root()
     text: list[str] = []
     linked = skip = 0
-    where: tuple | None = None
+    where: Path | None = None
     open_: dict[str, int] = {}
 
     def close():
@@ -102,10 +164,11 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
 
     def words(piece: str):
         nonlocal linked, where
+        if path and path[-1][0] == "head" and piece and not piece.isspace():
+            pop(len(path) - 1)
         if not skip and piece:
             if where is None and not piece.isspace():
-                # of absurdly deep nesting the outer and inner ends tell enough
-                where = tuple(path) if len(path) <= 2 * _DEPTH else (*path[:_DEPTH], *path[-_DEPTH:])
+                where = path[-1][1] if path else root
             text.append(piece)
             linked += len(piece.strip()) if open_.get("a") else 0
 
@@ -122,6 +185,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         name = m[2].lower()
         if name not in _INLINE:
             close()
+        if not m[1] and path and path[-1][0] == "head" and name not in _HEAD:
+            pop(len(path) - 1)
         if m[1]:
             for k in range(len(path) - 1, -1, -1) if open_.get(name) else ():
                 if path[k][0] == name:
@@ -146,13 +211,13 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if name == "a":
             while open_.get("a"):
                 pop(next(k for k in range(len(path) - 1, -1, -1) if path[k][0] == "a"))
-        if m[3].rstrip().endswith("/") and name in ("svg", "iframe", "math"):
+        if m[3].rstrip().endswith("/") and (name in ("svg", "iframe", "math") or open_.get("svg") or open_.get("math")):
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        path.append((name, _names(m[3]) if m[3] else ()))
+        path.append((name, (path[-1][1] if path else root).child(name, _names(m[3]) if m[3] else ())))
         open_[name] = open_.get(name, 0) + 1
         skip += name in _SKIPPED
     close()
@@ -166,29 +231,19 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode()) % buckets
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH_BUCKETS)
-    for depth, (tag, names) in enumerate(reversed(path)):
-        # names of outer elements count like inner ones; tags a little less with distance
-        v[_bucket(tag, PATH_BUCKETS)] += 1 / (1 + 0.2 * depth)
-        for w in names:
-            v[_bucket("." + w, PATH_BUCKETS)] += 1
-    return np.minimum(v, 2)
-
-
-def vectors(page_blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
-    """One row for each block: tag path, words, figures."""
-    x = np.zeros((len(page_blocks), INPUT))
-    for i, (path, text, linked) in enumerate(page_blocks):
+def vectors(page_blocks: list[tuple[Path, str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
+    """One row for each block (of a part of a page): place, words, figures."""
+    part = page_blocks[start:end]
+    x = np.zeros((len(part), INPUT))
+    for i, (path, text, linked) in enumerate(part):
         words = text.split()
-        x[i, :PATH_BUCKETS] = _path_vector(path)
+        x[i, :PATH_BUCKETS] = path.vector()
         hashed = np.fromiter((_bucket(w.lower(), WORD_BUCKETS) for w in words), np.int64, len(words))
         x[i, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = np.bincount(hashed, minlength=WORD_BUCKETS) / len(words)
         n = len(text)
         x[i, -FIGURES:] = (
             np.log1p(len(words)) / 4, np.log1p(n) / 6, min(1.0, linked / n), text[-1] in ".!?:;…", sum(map(text.count, ",.")) / n * 10,
-            i / len(page_blocks), text[0].isupper(), "©" in text,
+            (start + i) / len(page_blocks), text[0].isupper(), "©" in text,
         )
     return x
 
@@ -200,20 +255,37 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _read(x, mask, w, u, b):
-    """One direction over (steps, pages, inputs); what the backward pass needs."""
+def _step(z, c, size):
+    i, f, o = (_sigmoid(z[:, k * size : (k + 1) * size]) for k in range(3))
+    g = np.tanh(z[:, 3 * size :])
+    new = f * c + i * g
+    return i, f, o, g, new, np.tanh(new)
+
+
+def _read(x, mask, w, u, b, state=None):
+    """One direction over (steps, pages, inputs), from a state on: outputs and the last state."""
+    steps, pages, _ = x.shape
+    size = u.shape[0]
+    h, c = state or (np.zeros((pages, size)), np.zeros((pages, size)))
+    put, out = x @ w + b, np.zeros((steps, pages, size))
+    for s in range(steps):
+        _, _, o, _, new, t = _step(put[s] + h @ u, c, size)
+        m = mask[s][:, None]
+        out[s] = h = np.where(m, o * t, h)
+        c = np.where(m, new, c)
+    return out, (h, c)
+
+
+def _trace(x, mask, w, u, b):
+    """As _read, with what the backward pass needs of every step."""
     steps, pages, _ = x.shape
     size = u.shape[0]
     h, c = np.zeros((pages, size)), np.zeros((pages, size))
     put = x @ w + b
     trace = []
     for s in range(steps):
-        z = put[s] + h @ u
-        i, f, o = (_sigmoid(z[:, k * size : (k + 1) * size]) for k in range(3))
-        g = np.tanh(z[:, 3 * size :])
+        i, f, o, g, new, t = _step(put[s] + h @ u, c, size)
         m = mask[s][:, None]
-        new = f * c + i * g
-        t = np.tanh(new)
         trace.append((h, c, i, f, o, g, t))
         h, c = np.where(m, o * t, h), np.where(m, new, c)
         trace[-1] += (h,)
@@ -259,8 +331,8 @@ class Labeller:
 
     def _both(self, x, mask):
         p = self.p
-        hf, tf = _read(x, mask, p["wf"], p["uf"], p["bf"])
-        hb, tb = _read(x[::-1], mask[::-1], p["wb"], p["ub"], p["bb"])
+        hf, tf = _trace(x, mask, p["wf"], p["uf"], p["bf"])
+        hb, tb = _trace(x[::-1], mask[::-1], p["wb"], p["ub"], p["bb"])
         return np.concatenate([hf, hb[::-1]], axis=2), tf, tb
 
     def scores(self, x, mask):
@@ -298,8 +370,11 @@ class Labeller:
                     self.p[k] = self.p[k] - now * one[k] / (1 - 0.9**t) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; pages of similar length share a batch."""
+    def label(self, pages: list) -> list[np.ndarray]:
+        """Whether each block of each page (its blocks, or their vectors) is main text.
+
+        Pages of similar length share a batch, and a batch is read a few steps at a time.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         at = 0
@@ -307,16 +382,29 @@ class Labeller:
             end = at + 1
             while end < len(order) and len(pages[order[end]]) * (end - at + 1) <= BATCH_BLOCKS:
                 end += 1
-            x, mask = _padded([pages[k] for k in order[at:end]])
-            s = self.scores(x, mask)
+            odds = self._odds([pages[k] for k in order[at:end]])
             for j, k in enumerate(order[at:end]):
-                out[k] = s[: len(pages[k]), j] > 0.5
+                out[k] = odds[: len(pages[k]), j] > 0
             at = end
         return out
 
+    def _odds(self, pages: list) -> np.ndarray:
+        """The output's log-odds (steps, pages): each direction adds its share, chunk by chunk, and keeps its state."""
+        p, steps = self.p, max(map(len, pages))
+        chunk = max(1, STEP_BLOCKS // len(pages))
+        out = np.full((steps, len(pages)), self.p["a"][0])
+        for turn, w, u, b, v in ((1, "wf", "uf", "bf", p["v"][:HIDDEN]), (-1, "wb", "ub", "bb", p["v"][HIDDEN:])):
+            state = None
+            for s in range(0, steps, chunk)[::turn]:
+                e = min(steps, s + chunk)
+                x, mask = _padded([g[s:e] if isinstance(g, np.ndarray) else vectors(g, s, e) for g in pages], e - s)
+                h, state = _read(x[::turn], mask[::turn], p[w], p[u], p[b], state)
+                out[s:e] += h[::turn] @ v + (x @ p["s"] if turn > 0 else 0)
+        return out
+
 
-def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, xs))
+def _padded(xs: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    steps = steps or max(map(len, xs))
     x, mask = np.zeros((steps, len(xs), INPUT)), np.zeros((steps, len(xs)), bool)
     for k, v in enumerate(xs):
         x[: len(v), k] = v
@@ -463,7 +551,8 @@ def training_pages(n: int = PAGES, seed: int = SEED):
         elif k < 0.6:
             main = f"<main{attributes(_MAIN_NAMES) if r.random() < 0.4 else ''}>{body}</main>"
         else:
-            main = f'<{r.choice(("div", "div", "section"))} {r.choice(("class", "class", "id"))}="{r.choice(_MAIN_NAMES)}">{body}</div>'
+            tag = r.choice(("div", "div", "section"))
+            main = f'<{tag} {r.choice(("class", "class", "id"))}="{r.choice(_MAIN_NAMES)}">{body}</{tag}>'
         if r.random() < 0.2:
             main = f"<main>{main}</main>"
         before = [boiler(x) for x in ("notice", "header", "menu", "form", "advert", "sidebar", "menu") if r.random() < (0.75 if x == "menu" else 0.35)]
@@ -497,19 +586,25 @@ def trained() -> Labeller:
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page: its main blocks in page order, one a line.
 
-    Null and empty pages, and pages without main text, give an empty text. Pages of any length are
-    read whole. Repeated rows give equal results; other columns are ignored.
+    Null and empty pages, and pages without main text, give an empty text. Pages are read whole, at
+    any length and depth of nesting; a task holds the blocks of one page, or of BATCH_BLOCKS in
+    short ones. Scripts, styles, templates, frames, heads and form fields have no text; all else is
+    for the network to tell. Repeated rows give equal results; other columns are ignored.
     """
     model = model or trained()
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [blocks(x.as_buffer().to_pybytes().decode("utf-8", "replace")) for x in part.column(2)]
-                labels = model.label([vectors(f) for f in found])
-                texts = ["\n".join(t for (_, t, _), y in zip(f, label) if y) for f, label in zip(found, labels)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            found, size, at = [], 0, 0
+            for i, x in enumerate(b.column(2)):
+                found.append(blocks(x.as_buffer().to_pybytes().decode("utf-8", "replace")))
+                size += len(found[-1]) + 1
+                if size >= BATCH_BLOCKS or i == b.num_rows - 1:
+                    labels = model.label(found)
+                    texts = ["\n".join(t for (_, t, _), y in zip(f, label) if y) for f, label in zip(found, labels)]
+                    part = b.slice(at, len(found))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                    found, size, at = [], 0, i + 1
 
     return pages.select("page_id", "url", raw("html").alias("h")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

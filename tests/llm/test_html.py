@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -17,11 +21,56 @@ def test_blocks():
     assert shown("<title>no</title><ul><li>a<li>b</ul><td>c<td>d") == ["a", "b", "c", "d"]
     assert shown("<div title='a > b'>x</div></p></div></b>y<") == ["x", "y<"]
     assert shown("") == [] and shown("<script>never closed <p>x") == [] and shown("plain") == ["plain"]
-    assert [p[-1][0] for p, _, _ in H.blocks("<p><b>open<p>next")] == ["b", "p"]
+    assert [p.tag for p, _, _ in H.blocks("<p><b>open<p>next")] == ["b", "p"]
+    assert shown("<html><head><title>t</title><meta x><h1>no end tags</h1><p>y") == ["no end tags", "y"]
+    assert shown("<head><title>t</title>stray text") == ["stray text"]
+    assert shown("<p>a <math><mi>x</mi></math> <object>o</object></p><noscript>n</noscript>") == ["a", "x", "o", "n"]
+    assert shown("<svg><path d='x'/><text>label</text></svg><select><option>no</select><textarea>no</textarea>z") == ["label", "z"]
     assert len(shown("<div>" * 5000 + "deep")) == 1
     assert len(shown("<div>x<b>y" * 20_000 + "</i></p></td>" * 20_000)) == 20_000
 
 
+def test_places(monkeypatch):
+    """The whole path counts, at any depth; kept places change nothing."""
+    deep = H.blocks("<nav class=menu>" + "<div>" * 300 + "x")[0][0]
+    other = H.blocks("<div>" * 301 + "x")[0][0]
+    assert deep.depth == 301 and (deep.vector() != other.vector()).any()
+    page = "".join(f"<div class=c{i % 50}><p>x{i}" for i in range(400))
+    first = H.vectors(H.blocks(page))
+    monkeypatch.setattr(H, "PLACES", 10)
+    assert np.allclose(H.vectors(H.blocks(page)), first, atol=1e-5)
+    found = H.blocks(page)
+    assert np.allclose(np.r_[H.vectors(found, 0, 150), H.vectors(found, 150)], first, atol=1e-5)
+
+
+LONG = """
+import resource, sys
+from rarefy.llm import html as H
+page = "<nav><a href=/>m</a></nav><article>" + "<p>ten chars." * 400_000
+found = H.blocks(page)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+label = H.Labeller().label([found])[0]
+assert len(label) == 400_001
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_very_long_page_in_bounded_memory():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", LONG], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 1000
+
+
+def test_steps_change_nothing(rng, monkeypatch):
+    model = H.Labeller()
+    pages = [rng.normal(size=(n, H.INPUT)) for n in (1, 7, 30, 31)]
+    whole = [model.scores(*H._padded([p]))[:, 0] for p in pages]
+    monkeypatch.setattr(H, "STEP_BLOCKS", 12)
+    odds = model._odds(pages)
+    for k, p in enumerate(pages):
+        assert np.allclose(H._sigmoid(odds[: len(p), k]), whole[k])
+
+
 def test_gradients(rng):
     model = H.Labeller()
     x, mask = H._padded([rng.normal(size=(4, H.INPUT)), rng.normal(size=(2, H.INPUT))])
