@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import discard, documents, materialize, partitions, raw, release
+from ._shared import discard, documents, materialize, partitions, raw
 
 LENGTH = 50
 GRAM = 16
@@ -297,6 +297,19 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _pack_text(text: np.ndarray) -> bytes:
+    """Rows of bytes, one after the other: neighbours share words."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(text).tobytes())
+
+
+def _unpack_text(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, width)
+
+
 def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
@@ -308,6 +321,8 @@ _FOUND_SQL = "dest long, kind int, load long, data binary"
 #: What is found: sides to compare and spans of bytes, of a document; and keys with many fragments.
 _SIDE, _SPAN, _HOT = 0, 1, 2
 _ENTRY = {_SIDE: np.dtype([("code", "<u4")]), _SPAN: np.dtype([("from", "<u4"), ("to", "<u4")])}
+#: In place of a side: a fragment is one string.
+_STRING = 2
 #: In place of a code: the entry stands for documents that are candidates already.
 _NO_CODE = 0xFFFFFFFF
 
@@ -501,6 +516,19 @@ def _settle(buckets: int, length: int):
     return run
 
 
+def _keys_of(text: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
+    """The keys of fragments, from their bytes; a string that is dealt on its own is its own key."""
+    left, right = _sides(length)
+    m, width = text.shape
+    flat, row = text.tobytes() + bytes(width + 8), np.arange(m) * width
+    out = np.empty(m, _U)
+    for own, at, size, salt in ((0, length - GRAM - left, left + GRAM, 0), (1, left - 1, GRAM + right, 1), (_STRING, 0, length, 0)):
+        x = np.flatnonzero(side == own)
+        if len(x):
+            out[x] = _hashed(flat, row[x] + at, size, salt) | _U(1)
+    return out
+
+
 def _merged(key, k, th, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, and the starts in it of runs that are equal byte for byte, each in order of ids."""
     width = text.shape[1]
@@ -517,14 +545,13 @@ def _merged(key, k, th, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strings(begin, lo, hi, text, length: int) -> tuple[np.ndarray, ...]:
-    """Every string of the fragments as a fragment of its own: (fragment, begin, text, key)."""
+    """Every string of the fragments as a fragment of its own: (fragment, begin, text)."""
     count = np.maximum(0, hi - lo + 1)
     of = np.repeat(np.arange(len(lo)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[of]
-    alone = np.zeros((len(of), text.shape[1] + 8), np.uint8)
+    alone = np.zeros((len(of), text.shape[1]), np.uint8)
     alone[:, :length] = text[of[:, None], start[:, None] + np.arange(length)]
-    key = _hashed(alone.tobytes(), np.arange(len(of)) * alone.shape[1], length) | _U(1) if len(of) else np.empty(0, _U)
-    return of, begin[of] + start, alone[:, : text.shape[1]], key
+    return of, begin[of] + start, alone
 
 
 def _cut(buckets: int, length: int, hot: np.ndarray):
@@ -536,17 +563,16 @@ def _cut(buckets: int, length: int, hot: np.ndarray):
     width = _width(length)
 
     def dealt(held):
-        k, th, key, begin, lo, hi, text = (np.concatenate([x[i] for x in held]) for i in range(7))
+        k, th, side, begin, lo, hi, text = (np.concatenate([x[i] for x in held]) for i in range(7))
         if not len(k):
             return
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            split = hot[at] == key
-            if split.any():
-                of, b, alone, own = _strings(begin[split], lo[split], hi[split], text[split], length)
-                of, zero = np.flatnonzero(split)[of], np.zeros(len(of), np.int64)
-                parts = (k[of], th[of], own, b, zero, zero, alone)
-                k, th, key, begin, lo, hi, text = (np.concatenate([x[~split], y]) for x, y in zip((k, th, key, begin, lo, hi, text), parts))
+        key = _keys_of(text, side, length)
+        split = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+        if split.any():
+            of, b, alone = _strings(begin[split], lo[split], hi[split], text[split], length)
+            of, zero, lone = np.flatnonzero(split)[of], np.zeros(len(of), lo.dtype), np.full(len(of), _STRING, side.dtype)
+            parts = (k[of], th[of], lone, b, zero, zero, alone, _keys_of(alone, lone, length))
+            k, th, side, begin, lo, hi, text, key = (np.concatenate([x[~split], y]) for x, y in zip((k, th, side, begin, lo, hi, text, key), parts))
         order, start = _merged(key, k, th, lo, hi, text)
         low = np.repeat(k[order[start]], np.diff(np.r_[start, len(order)]))
         again = order[k[order] > low]
@@ -555,13 +581,12 @@ def _cut(buckets: int, length: int, hot: np.ndarray):
             ends = [(begin + lo)[again].astype("<u4"), (begin + hi)[again].astype("<u4")]
             yield -1 - int(k[again[0]] % buckets), _pack(_delta(k[again]), th[again], *ends), b""
         x = order[k[order] == low]
-        bucket = (key[x] >> _U(20)) % _U(buckets)
-        by = np.lexsort((begin[x], k[x], key[x], bucket))
+        bucket = ((key[x] >> _U(20)) % _U(buckets)).astype(np.int64)
+        by = np.lexsort((begin[x], th[x], k[x], bucket))
         x, bucket = x[by], bucket[by]
         for s, e in zip(*_runs(bucket)):
             y = x[s:e]
-            ids = _pack(_delta(k[y]), th[y], begin[y].astype("<u4"), lo[y].astype("<u2"), hi[y].astype("<u2"))
-            yield int(bucket[s]), ids, _pack(key[y], np.ascontiguousarray(text[y]).view(f"V{width}").ravel())
+            yield int(bucket[s]), _pack(_delta(k[y]), th[y], begin[y].astype("<u4"), *(c[y].astype("u1") for c in (lo, hi, side))), _pack_text(text[y])
 
     def run(batches):
         held: list[tuple] = []
@@ -575,10 +600,9 @@ def _cut(buckets: int, length: int, hot: np.ndarray):
                 codes = np.unique(np.frombuffer(entries, _ENTRY[_SIDE])["code"])
                 for at in range(0, len(codes), CHUNK_FRAGMENTS):
                     code = codes[at : at + CHUNK_FRAGMENTS]
-                    both = keys(data, (code >> 1).astype(np.int64), length)
-                    key, (begin, lo, hi, pieces) = np.where(code & 1, both[1], both[0]), fragments(data, code, length)
+                    begin, lo, hi, pieces = fragments(data, code, length)
                     x = np.flatnonzero(hi >= lo)  # close to an end of the text there may be no string
-                    held.append((np.full(len(x), k), np.full(len(x), th), key[x], begin[x], lo[x], hi[x], pieces[x]))
+                    held.append((np.full(len(x), k), np.full(len(x), th), (code & 1)[x], begin[x], lo[x], hi[x], pieces[x]))
                     size += len(x)
                     if size >= CHUNK_FRAGMENTS:
                         yield _batch(dealt(held))
@@ -643,8 +667,8 @@ def _repeated(key, low, lo, hi, text, length: int) -> tuple[np.ndarray, np.ndarr
         for o in range(text.shape[1] - length + 1):
             # equal strings hold the key's anchor at one place, so each place is a set of its own
             own = np.flatnonzero((lo[s:e] <= o) & (hi[s:e] >= o)) + s
-            names = [_strings(np.zeros(len(x), np.int64), np.full(len(x), o), np.full(len(x), o), text[x], length)[3] for x in np.split(own, list(range(step, len(own), step)))]
-            name = np.concatenate(names)
+            pieces = [np.pad(text[x, o : o + length], ((0, 0), (0, 8))) for x in np.split(own, list(range(step, len(own), step)))]
+            name = np.concatenate([_keys_of(x, np.full(len(x), _STRING), length) for x in pieces])
             order = np.argsort(name, kind="stable")
             own, name = own[order], name[order]
             for p, q in _slices(name):
@@ -672,11 +696,11 @@ def _compare(length: int, buckets: int):
                 th, first, last = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
                 yield from spans.add(k, th, first - np.uint32(before), last - np.uint32(before) + np.uint32(length))
                 continue
-            parts = [_unpack(r[0], "<i8", "<i8", "<u4", "<u2", "<u2") for r in rows]
+            parts = [_unpack(r[0], "<i8", "<i8", "<u4", "u1", "u1", "u1") for r in rows]
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
-            th, begin, lo, hi = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 5))
-            key, text = (np.concatenate(x) for x in zip(*(_unpack(r[1], "<u8", f"V{width}") for r in rows)))
-            text = text.view(np.uint8).reshape(len(key), width)
+            th, begin, lo, hi, side = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 6))
+            text = np.concatenate([_unpack_text(r[1], width) for r in rows])
+            key = _keys_of(text, side, length)
             order, start = _merged(key, k, th, lo, hi, text)
             one = order[start]
             low = k[one]
@@ -710,17 +734,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(*_row_key(), raw("text").alias("t"))
     dealt = texts.mapInArrow(_deal(buckets, length), _DEALT_SQL)
     found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length), _FOUND_SQL), "candidates")
-    del dealt
-    release(spark)
     hot = found.where(f"kind = {_HOT}").orderBy(F.desc("load"), "data").limit(HOT_KEYS).select("data").collect()
     hot = np.sort(np.frombuffer(b"".join(r.data for r in hot), "<u8"))
     sides = _dealt(found.where(f"kind = {_SIDE}"), n, "dest").mapInArrow(_gather(_SIDE), _GATHERED_SQL)
     cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot), _DEALT_SQL)
     compared = _dealt(cut, n, "bucket").mapInArrow(_compare(length, buckets), _FOUND_SQL)
     out = materialize(_dealt(compared, n, "dest").mapInArrow(_gather(_SPAN), _GATHERED_SQL), "repeats-by-document")
-    del sides, cut, compared
     discard(found)
-    release(spark)
     return out
 
 
@@ -744,8 +764,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
       character; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    if not GRAM + 8 <= length <= 500:
-        raise ValueError("length must lie between 24 and 500 bytes")
+    if not GRAM + 8 <= length <= 200:
+        raise ValueError("length must lie between 24 and 200 bytes")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * text
 
