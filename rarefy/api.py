@@ -33,7 +33,7 @@ from numpy import (  # noqa: F401
 )
 
 from .functions import registry as _registry
-from .operators.elementwise import astype, clip, elemwise, interp, round, where  # noqa: A004, F401
+from .operators.elementwise import astype, clip, elemwise, interp, round, side_by_side, where  # noqa: A004, F401
 from .operators.index import argwhere, diagonal, diagonalize, nonzero, take, tril, triu  # noqa: F401
 from .operators.linalg import dot, einsum, kron, matmul, outer, tensordot, vecdot  # noqa: F401
 from .operators.order import argmax, argmin, sort, unique_counts, unique_values  # noqa: F401

@@ -131,6 +131,27 @@ def elemwise(func, *args, dtype=None, **kwargs):
     return result.pruned()
 
 
+def side_by_side(x, **functions) -> DataFrame:
+    """Several functions of one tensor's stored cells: the coordinates, then a column for each, in one projection.
+
+    A function is a name or NumPy function of one operand, or (function, operands…) with scalars and
+    ``...`` for the cell. Results that equal a fill value aren't pruned.
+    """
+    x, columns = as_tensor(x), []
+    for name, func in functions.items():
+        func, *operands = func if isinstance(func, tuple) else (func, ...)
+        entry = registry.find(func)
+        if entry is None and isinstance(func, str):
+            raise ValueError(f"unknown function {func!r}")
+        args = [x if a is ... else a for a in operands]
+        numpy_func = entry.numpy if entry is not None else func
+        out = _result_dtype(numpy_func, args)
+        dtypes = [x.dtype if a is x else _scalar_type(a, [x]) for a in args]
+        cells = [F.col("v") if a is x else literal(a, d) for a, d in zip(args, dtypes)]
+        columns.append(_column(numpy_func, entry, cells, dtypes, out, {}).alias(name))
+    return x.df.select(*x.coords, *columns)
+
+
 def _operand(a):
     if hasattr(a, "toarray") and hasattr(a, "tocoo"):
         from ..sources.io import from_scipy
@@ -276,4 +297,4 @@ def interp(x, xp, fp, left=None, right=None, period=None) -> Tensor:
     return elemwise(functools.partial(np.interp, xp=np.asarray(xp), fp=np.asarray(fp), left=left, right=right, period=period), as_tensor(x), dtype="float64")
 
 
-__all__ = ["as_tensor", "astype", "clip", "elemwise", "expand", "interp", "round", "where"]
+__all__ = ["as_tensor", "astype", "clip", "elemwise", "expand", "interp", "round", "side_by_side", "where"]

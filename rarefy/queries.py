@@ -19,6 +19,10 @@ from .operators.order import unique_counts_df
 from .plans import layout
 from .tensor import Tensor
 
+round_ = round
+
+#: What counts as a large lot: a tenth of the quantities, at every scale.
+LARGE = 45
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -123,7 +127,7 @@ def query(sql: str | None = None):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLE_SQL[f.__name__] = sql.format(**SQL)
+            ORACLE_SQL[f.__name__] = sql.format(**SQL, LARGE=LARGE)
         return f
 
     return register
@@ -205,6 +209,114 @@ def streaming_accumulate(t):
     return t.spark.table(name)
 
 
+class _Triplets:
+    """What SciPy's matrices offer, for from_scipy_sparse: coordinates, values and a shape."""
+
+    def __init__(self, x: Tensor):
+        (self.row, self.col), self.data = x.collected()
+        self.shape, self.dtype = x.shape, x.dtype
+
+    def tocoo(self):
+        return self
+
+    def toarray(self):
+        out = np.zeros(self.shape, self.dtype)
+        out[self.row, self.col] = self.data
+        return out
+
+
+_CONVERSIONS = (
+    "COO.from_numpy", "COO.from_iter", "COO.from_scipy_sparse", "GCXS.from_numpy", "GCXS.from_iter", "GCXS.from_coo", "DOK.from_numpy", "DOK.from_coo", "asCOO", "asarray", "todok", "copy",
+    "from_constituent_arrays", "buffers", "astype", "resize", "maybe_densify",
+)
+
+
+@query("SELECT n.*, f AS via FROM {N} n, (VALUES " + ", ".join(f"('{c}')" for c in _CONVERSIONS) + ") x(f)")
+def conversions(t):
+    """A small tensor (nations x regions) by way of every constructor and conversion, back as cells."""
+    n = t.N
+    dense, (coords, data) = n.todense(), n.collected()
+    pairs = [(tuple(map(int, c)), v) for c, v in zip(coords.T, data)]
+    indptr = np.r_[0, np.cumsum(np.bincount(coords[0], minlength=n.shape[0]))]
+    found = {
+        "COO.from_numpy": R.COO.from_numpy(dense), "COO.from_iter": R.COO.from_iter(pairs, shape=n.shape), "COO.from_scipy_sparse": R.COO.from_scipy_sparse(_Triplets(n)),
+        "GCXS.from_numpy": R.GCXS.from_numpy(dense), "GCXS.from_iter": R.GCXS.from_iter(dict(pairs), shape=n.shape), "GCXS.from_coo": R.GCXS.from_coo(n), "DOK.from_numpy": R.DOK.from_numpy(dense).to_coo(),
+        "DOK.from_coo": R.DOK.from_coo(n).to_coo(), "asCOO": R.asCOO(n.todok()), "asarray": R.asarray(dense, format="csr"), "todok": n.todok().asformat("coo"), "copy": n.copy().asformat("gcxs").todok().to_coo(),
+        "from_constituent_arrays": R.from_constituent_arrays(format="csr", arrays=(indptr, coords[1], data), shape=n.shape), "buffers": R.GCXS((data, coords[1], indptr), shape=n.shape, compressed_axes=(0,)),
+        "astype": n.astype("float32").astype("int32"), "resize": n.resize(n.shape[0] + 3, n.shape[1]).resize(*n.shape), "maybe_densify": R.asarray(n.maybe_densify()),
+    }
+    return _tagged({k: x.astype("int32") for k, x in found.items()}, "via")
+
+
+@query(
+    "SELECT * FROM (VALUES ('zeros', 0, 0.0::DOUBLE, '(3, 4)', 'float64'), ('ones', 0, 1.0, '(3, 4)', 'float64'), ('empty', 0, 0.0, '(3, 4)', 'float64'), ('full', 0, 7.0, '(3, 4)', 'int64')) "
+    "UNION ALL SELECT n, 0, f, '(' || {n0} || ', ' || {n1} || ')', 'int32' FROM (VALUES ('zeros_like', 0.0::DOUBLE), ('ones_like', 1.0), ('empty_like', 0.0), ('full_like', 5.0)) x(n, f) "
+    "UNION ALL SELECT 'eye', 5, 0.0, '(5, 6)', 'float64' UNION ALL SELECT 'dok', 2, 0.0, '(3, 4)', 'float64'"
+)
+def constructors(t):
+    """What each constructor makes: stored cells, fill value, shape and type."""
+    n, dok = t.N, R.DOK((3, 4))
+    dok[0, 1], dok[2, 3], dok[1, 1] = 2.5, 1.0, 0.0
+    made = {
+        "zeros": R.zeros((3, 4)), "ones": R.ones((3, 4)), "empty": R.empty((3, 4)), "full": R.full((3, 4), 7), "zeros_like": R.zeros_like(n), "ones_like": R.ones_like(n),
+        "empty_like": R.empty_like(n), "full_like": R.full_like(n, 5), "eye": R.eye(5, 6, k=1), "dok": dok,
+    }
+    rows = [(k, x.nnz, float(x.fill_value), str(tuple(map(int, x.shape))), str(x.dtype)) for k, x in made.items()]
+    return t.spark.createDataFrame(rows, "col0 string, col1 int, col2 double, col3 string, col4 string")
+
+
+@query("SELECT 20000 AS cells, 20000 AS places, true AS inside, true AS spread, true AS repeats")
+def random_cells(t):
+    """Places drawn without repetition, evenly over rows; the same seed draws the same."""
+    x, again = (R.random((400, 500), density=0.1, random_state=11) for _ in range(2))
+    rows = x.df.groupBy("d0").count().agg(F.stddev("count").alias("s"), F.min("count").alias("low"), F.max("count").alias("high"))
+    spread = rows.select((F.col("s").between(4.0, 9.5) & (F.col("low") > 15) & (F.col("high") < 90)).alias("spread"))
+    same = x.df.join(again.df.withColumnRenamed("v", "w"), ["d0", "d1"]).agg((F.count_if(F.col("v") == F.col("w")) == 20000).alias("repeats"))
+    counted = x.df.agg(
+        F.count("*").cast("int").alias("cells"), F.count_distinct("d0", "d1").cast("int").alias("places"),
+        F.bool_and(F.col("d0").between(0, 399) & F.col("d1").between(0, 499) & (F.col("v") >= 0) & (F.col("v") < 1)).alias("inside"),
+    )
+    return counted.crossJoin(spread).crossJoin(same)
+
+
+_FACTS = {
+    "ndim": "2", "size": "125", "len": "25", "nnz": "25", "nbytes": "500", "dtype": "int32", "format": "coo", "device": "cpu", "to_device": "coo", "dense": "(25, 5)", "can_cast": "True False",
+    "result_type": "float64", "broadcast_shapes": "(4, 3)", "equivalent": "True False", "isdtype": "True False", "finfo": "2.220446049250313e-16", "iinfo": "127", "constants": "2.718 3.142 inf nan None",
+    "types": "bool int8 int16 int32 int64 uint8 uint16 uint32 uint64 float16 float32 float64 complex64 complex128", "format_to_string": "csr", "normalize_axis": "2", "zero_fill": "ok ValueError",
+    "same_fill": "ok ValueError", "html": "Format Data type Shape Fill value Size", "scalar": "25 25.0 True", "namespace": "rarefy.api", "argwhere": "(25, 2)",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _FACTS.items()) + ") x(name, value)")
+def metadata(t):
+    """Properties and helpers that answer on the driver."""
+    import re
+
+    from .tensor import normalize_axis
+
+    n, text = t.N, lambda *xs: " ".join(map(str, xs))
+
+    def outcome(f):
+        try:
+            f()
+        except ValueError:
+            return "ValueError"
+        return "ok"
+
+    kinds = "bool int8 int16 int32 int64 uint8 uint16 uint32 uint64 float16 float32 float64 complex64 complex128".split()
+    one = R.full((1,), 25, "int64")
+    facts = {
+        "ndim": n.ndim, "size": n.size, "len": len(n), "nnz": n.nnz, "nbytes": n.nbytes, "dtype": n.dtype, "format": n.format, "device": n.device, "to_device": n.to_device("cpu").format, "dense": R.asnumpy(n).shape,
+        "can_cast": text(R.can_cast(n, "int64"), R.can_cast(n, "int8")), "result_type": R.result_type(n, np.float64(1)), "broadcast_shapes": R.broadcast_shapes((4, 1), (3,)),
+        "equivalent": text(bool(R.equivalent(0.0, -0.0, loose=True)), bool(R.equivalent(0.0, -0.0))), "isdtype": text(R.isdtype(n.dtype, "integral"), R.isdtype(n.dtype, "real floating")),
+        "finfo": float(R.finfo(R.float64).eps), "iinfo": R.iinfo(R.int8).max, "constants": text(round_(R.e, 3), round_(R.pi, 3), R.inf, R.nan, R.newaxis), "types": text(*(np.dtype(getattr(R, k)).name for k in kinds)),
+        "format_to_string": R.format_to_string(R.CSR), "normalize_axis": normalize_axis(-1, 3), "zero_fill": text(outcome(lambda: R.check_zero_fill_value(n)), outcome(lambda: R.check_zero_fill_value(n + 1))),
+        "same_fill": text(outcome(lambda: R.check_consistent_fill_value([n, n])), outcome(lambda: R.check_consistent_fill_value([n, n + 1]))), "html": text(*re.findall("<th>(.*?)</th>", n._repr_html_())),
+        "scalar": text(int(one[0]), float(one.sum()), bool(one.any())), "namespace": n.__array_namespace__().__name__, "argwhere": R.argwhere(n).shape,
+    }
+    return t.spark.createDataFrame([(k, str(v)) for k, v in facts.items()], "name string, value string")
+
+
 # ---------------------------------------------------------------- shapes
 
 
@@ -302,6 +414,42 @@ def diff(t):
     return R.diff(t.E, axis=2)
 
 
+@query("SELECT d1 AS d0, d0 AS d1, 0::BIGINT AS d2, v, 'matrix_transpose' AS f FROM {S} UNION ALL SELECT d1, d0, 0, v, 'mT' FROM {S} UNION ALL SELECT d2, d1, d0, v::DOUBLE, 'swapaxes' FROM {E}")
+def transposes(t):
+    flat = {"matrix_transpose": R.matrix_transpose(t.S), "mT": t.S.mT}
+    return _tagged({**{k: R.expand_dims(x, 2) for k, x in flat.items()}, "swapaxes": t.E.swapaxes(0, 2).astype("float64")}, "f")
+
+
+@query("SELECT range AS d0, d1, w AS v FROM range({n0}), (SELECT d1, sum(v)::BIGINT AS w FROM {N} GROUP BY d1)")
+def broadcast_arrays(t):
+    n = t.N
+    return R.broadcast_arrays(n, n.sum(axis=0))[1]
+
+
+@query(
+    "SELECT d1 AS d0, d0 AS d1, v, 'transpose' AS f FROM {S} UNION ALL SELECT (d0 * {q1} + d1) % {q1}, (d0 * {q1} + d1) // {q1}, v, 'reshape' FROM {S} UNION ALL SELECT 0, d0 * {q1} + d1, v, 'flatten' FROM {S} "
+    "UNION ALL SELECT d0 - 1, d1, v, 'slice' FROM {S} WHERE d0 BETWEEN 1 AND 5 UNION ALL SELECT 0, d1, v, 'row' FROM {S} WHERE d0 = 3 UNION ALL SELECT 0, d1, sum(v), 'sum' FROM {S} GROUP BY d1 "
+    "UNION ALL SELECT d0, d1, v, 'axes' FROM {S}"
+)
+def compressed(t):
+    """The compressed layout through shapes, slices and sums."""
+    x = t.S.asformat("gcxs", compressed_axes=(0,))
+    wide = {"flatten": x.flatten(), "row": x[3], "sum": x.sum(axis=0)}
+    found = {"transpose": x.transpose(), "reshape": x.reshape(x.shape[0], x.shape[1]).T.reshape(x.shape[1], x.shape[0]), "slice": x[1:6], "axes": x.change_compressed_axes((1,)).tocoo()}
+    return _tagged({**found, **{k: R.expand_dims(v, 0) for k, v in wide.items()}}, "f")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 9), (1, 1, 9), (2, 1, 9), (4, 0, 7), (3, 4, 8)) x(d0, d1, v)")
+def dok_assignments(t):
+    """The mutable builder: a region, zipped places, a cell, and the fill value taking cells out."""
+    x = R.DOK((5, 5), dtype="int32")
+    x[:3, 1:3] = 9
+    x[[4, 3], [0, 4]] = np.array([7, 8])
+    x[:, 2] = 0
+    assert x[1, 1] == 9 and x[[0, 4], [1, 0]].todense().tolist() == [9, 7] and x[3:].todense().shape == (2, 5)
+    return x.reshape((25,)).reshape((5, 5)).to_coo()
+
+
 # ---------------------------------------------------------------- indexing
 
 
@@ -466,20 +614,101 @@ def round(t):  # noqa: A001
     return R.round(t.S / 8, 1)
 
 
+def _rounded(df: DataFrame, *exact: str) -> DataFrame:
+    """Columns but coordinates (and those named) to nine places, where libraries may differ in the last bit."""
+    return df.select(*(F.col(c) if c in ("d0", "d1", "d2", *exact) else F.round(c, 9).alias(c) for c in df.columns))
+
+
+def _nine(**columns: str) -> str:
+    return ", ".join(f"round({c}, 9) AS {name}" for name, c in columns.items())
+
+
 @query(
-    "SELECT d0, d1, round(ln(1 + v), 9) AS log1p, round(sqrt(v), 9) AS sqrt, round(atan(v), 9) AS atan, round(sin(v), 9) AS sin, "
-    "round(tanh(v), 9) AS tanh, round(exp(v / 100) - 1, 9) AS expm1 FROM {S}"
-)
+    "SELECT d0, d1, " + _nine(log1p="ln(1 + v)", sqrt="sqrt(v)", atan="atan(v)", sin="sin(v)", tanh="tanh(v)", log="ln(v)", log2="log2(v)", log10="log10(v)", reciprocal="1 / v", square="v * v",
+    acosh="acosh(v)", hypot="sqrt(v * v + 9)", power="pow(v, 1.5)") + " FROM {S} WHERE v <> 0"
+)
 def unary_math(t):
+    """One projection, whatever the number of functions."""
+    named = {n: n for n in ("log1p", "sqrt", "atan", "sin", "tanh", "log", "log2", "log10", "reciprocal", "square", "acosh")}
+    return _rounded(R.side_by_side(t.S.pruned(), hypot=("hypot", ..., 3.0), power=("pow", ..., 1.5), **named))
+
+
+@query(
+    "SELECT d0, d1, " + _nine(cos="cos(x)", tan="tan(x)", asin="asin(x)", acos="acos(x)", sinh="sinh(x)", cosh="cosh(x)", asinh="asinh(x)", atanh="atanh(x)", exp="exp(x)", expm1="exp(x) - 1",
+    atan2="atan2(x, 0.5)", copysign="-abs(x)", logaddexp="ln(exp(x) + exp(3.0))") + " FROM (SELECT d0, d1, (v - 60) / 10000 AS x FROM {S} WHERE v <> 0 AND v <> 60)"
+)
+def trigonometry(t):
     s = t.S
-    parts = {"log1p": R.log1p(s), "sqrt": R.sqrt(s), "atan": R.atan(s), "sin": R.sin(s), "tanh": R.tanh(s), "expm1": R.expm1(s / 100)}
-    out = None
-    for name, x in parts.items():
-        df = x.df.select("d0", "d1", F.round("v", 9).alias(name))
-        out = df if out is None else out.join(df, ["d0", "d1"])
+    x = R.where((s != 0) & (s != 60), (s - 60) / 10000, 0.0)
+    named = {n: n for n in ("cos", "tan", "asin", "acos", "sinh", "cosh", "asinh", "atanh", "exp", "expm1")}
+    return _rounded(R.side_by_side(x, atan2=("atan2", ..., 0.5), copysign=("copysign", ..., -1.0), logaddexp=("logaddexp", ..., 3.0), **named))
+
+
+_ODD = "(SELECT d0, d1, CASE WHEN v = 1 THEN '-inf'::DOUBLE WHEN v = 2 THEN 'inf'::DOUBLE WHEN v = 3 THEN 'nan'::DOUBLE ELSE v - 4.5 END AS v FROM {D} WHERE v <> 0)"
+
+
+@query("SELECT d0, d1, isnan(v) AS isnan, isinf(v) AS isinf, isfinite(v) AS isfinite, v = 'inf'::DOUBLE AS isposinf, v = '-inf'::DOUBLE AS isneginf, NOT isnan(v) AND v < 0 AS signbit FROM " + _ODD)
+def tests_of_values(t):
+    """Cells of every kind: infinities, NaN, negative and positive numbers."""
+    d = t.D
+    x = R.where(d == 1, -np.inf, R.where(d == 2, np.inf, R.where(d == 3, np.nan, R.where(d != 0, d - 4.5, 0.0))))
+    return R.side_by_side(x, **{n: n for n in ("isnan", "isinf", "isfinite", "isposinf", "isneginf", "signbit")})
+
+
+@query("SELECT d0, d1, sign(x)::BIGINT AS sign, ceil(x)::BIGINT AS ceil, floor(x)::BIGINT AS floor, trunc(x)::BIGINT AS trunc, round_even(x, 0)::BIGINT AS rint, round(x, 9) AS nextafter FROM (SELECT d0, d1, (v - 60) / 7 AS x FROM {S} WHERE v <> 0 AND v <> 60)")
+def rounding(t):
+    s = t.S
+    x = R.where((s != 0) & (s != 60), (s - 60) / 7, 0.0)
+    out = R.side_by_side(x, nextafter=(np.nextafter, ..., 1e9), **{n: n for n in ("sign", "ceil", "floor", "trunc", "rint")})
+    return out.select("d0", "d1", *(F.col(n).cast("long").alias(n) for n in ("sign", "ceil", "floor", "trunc", "rint")), F.round("nextafter", 9).alias("nextafter"))
+
+
+@query("SELECT d0, d1, abs(v - 60) AS abs, 60 - v AS negative, v - 60 AS positive, (v - 60) * (v - 60) AS square, sign(v - 60)::BIGINT AS sign, v * v * v * v * v * v * v AS seventh FROM {I} WHERE v <> 0 AND v <> 60")
+def integer_arithmetic(t):
+    i = t.I
+    x = R.where((i != 0) & (i != 60), i - 60, 0)
+    seventh = R.side_by_side(i, seventh=("pow", ..., 7))
+    return R.side_by_side(x, **{n: n for n in ("abs", "negative", "positive", "square", "sign")}).join(seventh, ["d0", "d1"])
+
+
+@query("SELECT d0, v | 4 AS bitwise_or, v & 2 AS bitwise_and, xor(v, 7) AS bitwise_xor, -v - 1 AS bitwise_invert, v * 8 AS left_shift, v // 2 AS right_shift FROM {L} WHERE v <> 0")
+def bits(t):
+    scalars = {"bitwise_or": 4, "bitwise_and": 2, "bitwise_xor": 7}
+    out = R.side_by_side(t.L.pruned(), bitwise_invert="bitwise_not", left_shift=("bitwise_left_shift", ..., 3), right_shift=("bitwise_right_shift", ..., 1), **{n: (n, ..., k) for n, k in scalars.items()})
+    return out
+
+
+@query(
+    "SELECT d0, d1, v < 25 AS less, v <= 25 AS less_equal, v > 25 AS greater, v >= 25 AS greater_equal, v = 25 AS equal, v <> 25 AS not_equal, greatest(v, 25) AS maximum, least(v, 25) AS minimum, "
+    "greatest(v, 25) AS fmax, least(v, 25) AS fmin FROM {I}"
+)
+def comparisons(t):
+    return R.side_by_side(t.I, **{n: (n, ..., 25) for n in ("less", "less_equal", "greater", "greater_equal", "equal", "not_equal", "maximum", "minimum", "fmax", "fmin")})
+
+
+@query("SELECT d0, d1, a OR b AS v, 'or' AS f FROM {{P}} WHERE a OR b UNION ALL SELECT d0, d1, true, 'xor' FROM {{P}} WHERE a <> b UNION ALL SELECT d0, d1, true, 'and' FROM {{P}} WHERE a AND b UNION ALL SELECT d0, d1, false, 'not' FROM {{P}} WHERE a".replace("{{P}}", "(SELECT d0, d1, v > 20 AS a, v < 30 AND v <> 0 AS b FROM {I})"))
+def logical_functions(t):
+    i = t.I
+    a, b = i > 20, (i < 30) & (i != 0)
+    found = {"or": R.logical_or(a, b), "xor": R.logical_xor(a, b), "and": R.logical_and(a, b), "not": R.logical_not(a)}
+    return _tagged(found, "f")
+
+
+def _tagged(tensors: dict[str, Tensor], name: str) -> DataFrame:
+    """The cells of several tensors, one under the other."""
+    parts = [x.df.withColumn(name, F.lit(k)) for k, x in tensors.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+@query("SELECT d0, d1, v AS real, 2 * v AS imag, -2 * v AS conj, round(v * sqrt(5), 9) AS abs FROM {S} WHERE v <> 0")
+def complex_parts(t):
+    x = t.S.pruned() * (1 + 2j)
+    return R.side_by_side(x, real="real", imag="imag", conj="conj", abs="abs").select("d0", "d1", "real", "imag", F.col("conj.im").alias("conj"), F.round("abs", 9).alias("abs"))
+
+
 @query("SELECT d0, d1, v / 0.0::DOUBLE AS v FROM {S} WHERE v <> 0")
 def divide_by_zero(t):
     """IEEE: infinities, and NaN as the fill value."""
@@ -564,9 +793,9 @@ def min_axis(t):
     return R.where(i != 0, i - 60, 0).min(axis=0)
 
 
-@query("SELECT d0, true AS v FROM {I} WHERE v > 190 GROUP BY d0")
+@query("SELECT d1 AS d0, true AS v FROM {I} WHERE v > 48 GROUP BY d1")
 def any_axis(t):
-    return (t.I > 190).any(axis=1)
+    return (t.I > 48).any(axis=0)
 
 
 @query("SELECT d0, false AS v FROM {I} WHERE v >= 10 GROUP BY d0")
@@ -594,28 +823,28 @@ def std_axis(t):
 
 def _with_nan(t):
     s = t.S
-    return R.where(s > 150, np.nan, s)
+    return R.where(s > 45, np.nan, s)
 
 
-@query("SELECT d0, coalesce(sum(v) FILTER (v <= 150), 0) AS v FROM {S} GROUP BY d0 HAVING coalesce(sum(v) FILTER (v <= 150), 0) <> 0")
+@query("SELECT d0, coalesce(sum(v) FILTER (v <= 45), 0) AS v FROM {S} GROUP BY d0 HAVING coalesce(sum(v) FILTER (v <= 45), 0) <> 0")
 def nansum(t):
     return R.nansum(_with_nan(t), axis=1)
 
 
-@query("SELECT d0, coalesce(sum(v) FILTER (v <= 150), 0) / ({q1} - count(*) FILTER (v > 150))::DOUBLE AS v FROM {S} GROUP BY d0 HAVING coalesce(sum(v) FILTER (v <= 150), 0) <> 0")
+@query("SELECT d0, coalesce(sum(v) FILTER (v <= 45), 0) / ({q1} - count(*) FILTER (v > 45))::DOUBLE AS v FROM {S} GROUP BY d0 HAVING coalesce(sum(v) FILTER (v <= 45), 0) <> 0")
 def nanmean(t):
     return R.nanmean(_with_nan(t), axis=1)
 
 
-@query("SELECT d0, max(v) FILTER (v <= 150) AS v FROM {S} GROUP BY d0")
+@query("SELECT d0, max(v) FILTER (v <= 45) AS v FROM {S} GROUP BY d0")
 def nanmax(t):
     return R.nanmax(_with_nan(t), axis=1)
 
 
-@query("SELECT d1 AS d0, min(v - 200) FILTER (v <= 150) AS v FROM {S} GROUP BY d1 HAVING count(*) FILTER (v <= 150) > 0")
+@query("SELECT d1 AS d0, CASE WHEN count(*) = {s0} AND count(*) FILTER (v <= 45) = 0 THEN 'nan'::DOUBLE ELSE least(0, min(v - 200) FILTER (v <= 45)) END AS v FROM {S} GROUP BY d1 HAVING count(*) = {s0} OR count(*) FILTER (v <= 45) > 0")
 def nanmin(t):
     s = t.S
-    return R.nanmin(R.where(s > 150, np.nan, R.where(s != 0, s - 200, 0.0)), axis=0)
+    return R.nanmin(R.where(s > 45, np.nan, R.where(s != 0, s - 200, 0.0)), axis=0)
 
 
 @query("SELECT d0, d1, product(1 + v % 2) FILTER (v % 3 <> 0) AS v FROM {E} GROUP BY d0, d1 HAVING coalesce(product(1 + v % 2) FILTER (v % 3 <> 0), 1) <> 1")
@@ -727,19 +956,35 @@ def outer(t):
     return R.outer(n.sum(axis=1), n.sum(axis=0))
 
 
+def _dense(n: int) -> np.ndarray:
+    return np.arange(n)[:, None] % np.array([2, 3, 5]) + 0.0
+
+
+_DENSE_SQL = "(SELECT d0, k AS d1, sum(v * (d1 % m)) AS v FROM {S}, (VALUES (0::BIGINT, 2), (1, 3), (2, 5)) x(k, m) GROUP BY ALL HAVING sum(v * (d1 % m)) <> 0)"
+
+
+@query(" UNION ALL ".join(f"SELECT *, '{k}' AS f FROM {_DENSE_SQL}" for k in ("coo", "csr", "csc", "gcxs")) + f" UNION ALL SELECT d1, d0, v, 'dense first' FROM {_DENSE_SQL} UNION ALL SELECT *, 'tensordot' FROM {_DENSE_SQL}")
+def products_with_dense(t):
+    """Each layout times a dense matrix from the driver, and the other way round."""
+    s = t.S
+    m = _dense(s.shape[1])
+    found = {f: s.asformat(f) @ m for f in ("coo", "csr", "csc", "gcxs")}
+    return _tagged({**found, "dense first": m.T @ s.T, "tensordot": R.tensordot(s, m, axes=1)}, "f")
+
+
 # ---------------------------------------------------------------- whole workloads
 
 
 def _graph(t) -> Tensor:
     """Suppliers that share a large lot of a part, as an undirected graph."""
-    i = (t.I > 150).astype("int64")
+    i = (t.I > LARGE).astype("int64")
     a = (R.dot(i, i.T) > 0).astype("int64")
     n = a.shape[0]
     return a * (1 - R.eye(n, dtype="int64"))
 
 
 _A = (
-    "(SELECT DISTINCT a.d0, b.d0 AS d1 FROM (SELECT * FROM {I} WHERE v > 150) a JOIN (SELECT * FROM {I} WHERE v > 150) b USING (d1) WHERE a.d0 <> b.d0)"
+    "(SELECT DISTINCT a.d0, b.d0 AS d1 FROM (SELECT * FROM {I} WHERE v > {LARGE}) a JOIN (SELECT * FROM {I} WHERE v > {LARGE}) b USING (d1) WHERE a.d0 <> b.d0)"
 )
 
 
@@ -750,6 +995,30 @@ def triangles(t):
     return total.df.agg(F.coalesce(F.max("v"), F.lit(0)).alias("v")).select(F.call_function("div", F.col("v"), F.lit(6).cast("long")).alias("triangles"))
 
 
+ROUNDS = 3
+
+
+def _hits_sql() -> str:
+    """Rounds of authorities and hubs, each scaled to a sum of 1."""
+    parts = [f"a AS {_A}", "h0 AS (SELECT DISTINCT d0, 1.0::DOUBLE AS v FROM a)"]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"u{k} AS (SELECT a.d1 AS d0, sum(h.v) AS v FROM a JOIN h{k - 1} h USING (d0) GROUP BY a.d1)")
+        parts.append(f"w{k} AS (SELECT a.d0, sum(u.v) AS v FROM a JOIN u{k} u ON a.d1 = u.d0 GROUP BY a.d0)")
+        parts.append(f"h{k} AS (SELECT d0, v / (SELECT sum(v) FROM w{k}) AS v FROM w{k})")
+    return "WITH " + ", ".join(parts) + f" SELECT d0, round(v, 9) AS v FROM h{ROUNDS}"
+
+
+@query(_hits_sql())
+def hits(t):
+    """Hubs after a few rounds of mutual reinforcement, two products each; scaled to a sum of 1 at the end, as scale doesn't matter before."""
+    a = _graph(t).astype("float64").enable_caching()
+    hubs = R.where(a.sum(axis=1) > 0, 1.0, 0.0)
+    for _ in range(ROUNDS):
+        hubs = a @ (hubs @ a)
+    total = hubs.sum().df.select(F.col("v").alias("total"))
+    return hubs.df.crossJoin(total).select("d0", F.round(F.col("v") / F.col("total"), 9).alias("v"))
+
+
 @query("WITH a AS " + _A + ", h AS (SELECT d1 AS d0, count(*) AS v FROM a GROUP BY d1) SELECT d0, sum(w)::BIGINT AS v FROM (SELECT a.d0, h.v AS w FROM a JOIN h ON a.d1 = h.d0) GROUP BY d0")
 def hits_step(t):
     """One round of hubs and authorities, unnormalised."""
@@ -770,12 +1039,18 @@ def mttkrp(t):
     return R.einsum("uts,tr,sr->ur", e, types, days)
 
 
-@query("SELECT s.d0, s.d1, s.v * sum(a.v * b.v) AS v FROM {S} s JOIN {S} a ON a.d0 = s.d0 JOIN {S} b ON b.d1 = s.d1 AND b.d0 = a.d1 WHERE s.v > 150 GROUP BY s.d0, s.d1, s.v")
+_BY_LINE = "(SELECT {0}, {1}, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    f"SELECT s.d0, s.d1, s.v * sum(a.v * b.v) AS v FROM {{S}} s JOIN {_BY_LINE.format('l_suppkey AS d0', 'l_linenumber AS k')} a USING (d0) "
+    f"JOIN {_BY_LINE.format('l_linenumber AS k', 'l_partkey AS d1')} b USING (k, d1) WHERE s.v > {LARGE} GROUP BY s.d0, s.d1, s.v"
+)
 def sddmm(t):
-    """A product sampled where a third matrix has cells: what lies elsewhere is never made."""
+    """A product of suppliers x line numbers and line numbers x parts, sampled where a third matrix has cells: what lies elsewhere is never made."""
     s = t.S
-    n = min(s.shape)
-    return R.einsum("ij,ik,kj->ij", R.where(s > 150, s, 0.0), s[:, :n], s[:n])
+    a, b = t.tensor("lineitem", ["l_suppkey", "l_linenumber"], "l_quantity"), t.tensor("lineitem", ["l_linenumber", "l_partkey"], "l_quantity")
+    return R.einsum("ij,ik,kj->ij", R.where(s > LARGE, s, 0.0), a, b)
 
 
 @query("SELECT d0, sum(x) AS v FROM (SELECT s.d0, s.v * w.v AS x FROM {S} s JOIN (SELECT d1, sum(v) AS v FROM {S} GROUP BY d1) w USING (d1) UNION ALL SELECT d0, v FROM {S}) GROUP BY d0")

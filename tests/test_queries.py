@@ -1,4 +1,4 @@
-"""Every registered tensor query against its SQL, on the smallest tables."""
+"""Every registered tensor query against its SQL, on small tables; and that none is empty on larger ones."""
 
 import os
 
