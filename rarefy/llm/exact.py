@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, partitions, raw, scratch
+from ._shared import at_end, documents, materialize, partitions, raw, scratch
 
 
 class DigestIndex:
@@ -49,14 +49,17 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """``digests`` (rows with a digest) with the index's columns.
+    def lookup(self, groups: DataFrame) -> DataFrame:
+        """``digest, keep_id, group_size`` of the groups (one row per digest): ids from the index, sizes from the groups.
 
-        The files are read as plain Parquet here: both sides are then exchanged, and adaptive
-        execution can split the partition of a digest that very many rows have.
+        The index's files are read bucket by bucket, without an exchange or a sort of them.
         """
-        stored = self.spark.read.schema(self.rows().schema).parquet(self.path)
-        return digests.join(stored.hint("merge"), "digest")
+        return groups.select("digest", "group_size").hint("merge").join(self.rows().select("digest", "keep_id"), "digest")
+
+    def drop(self) -> None:
+        """Takes the table out of the catalog and empties its folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.range(0).write.mode("overwrite").parquet(self.path)
 
 
 def digest(column: str = "text"):
@@ -69,8 +72,13 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 
 def open_index(spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None) -> DigestIndex:
+    """An index by name and path; without them a new one, which goes with the ``scratch_tables`` around it."""
+    new = name is None and path is None
     name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
-    return DigestIndex(spark, name, path or f"{scratch(spark)}/{name}", buckets or partitions(spark))
+    index = DigestIndex(spark, name, path or f"{scratch(spark)}/{name}", buckets or partitions(spark))
+    if new:
+        at_end(index.drop)
+    return index
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -78,13 +86,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     * of equal texts in one batch the row with the largest ``doc_id`` stays; a text that the index
       had before keeps its earlier row, and all rows of the batch with it are dropped;
+    * group_size counts the rows of this batch with the text, whatever the index had before;
     * null texts equal empty ones; a null ``doc_id`` stays only if its whole group has none;
     * rows repeated with their ``doc_id`` are one document and share its verdict;
     * an empty table adds nothing and gives an empty result; other columns are ignored.
     """
-    index.append(groups_of(docs))
-    rows = docs.select("doc_id", digest().alias("digest"))
-    return index.lookup(rows).select(
+    groups = materialize(groups_of(docs), "groups")
+    index.append(groups)
+    # both sides of the last join are exchanged, so that adaptive execution can split a digest that very many rows have
+    verdict = materialize(index.lookup(groups), "verdicts")
+    return docs.select("doc_id", digest().alias("digest")).join(verdict.hint("merge"), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -96,8 +107,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without exact copies: of equal texts the largest ``doc_id`` stays.
 
-    The verdict is on a doc_id with its text. Rows that repeat both are one document and all stay,
-    and so do the rows of a text that has no doc_id at all; the near-dedup stage keeps one of them.
+    * the verdict is on a doc_id with its text: rows that repeat both are one document and all stay,
+      and so do the rows of a text that has no doc_id at all (near dedup keeps one of them);
+    * null texts equal empty ones; ties between ids can't arise;
+    * an empty table stays empty; columns keep their names and order, whatever they are.
     """
     verdict = deduplicate(docs, open_index(docs.sparkSession))
     stays = verdict.where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct()

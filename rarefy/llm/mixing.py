@@ -9,10 +9,10 @@ epochs as the budget holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, documents, materialize, numbered, raw
+from ._shared import WORD, documents, materialize, numbered, partitions, raw
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -24,7 +24,8 @@ SEED = "mix-1"
 
 def _sized(docs: DataFrame, seed: str, *ties) -> DataFrame:
     """doc_id, source (as the pair no_source, name: joins and windows see nulls as a value), size, key; then ``ties``."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # rows without an id have a key by their text: they don't crowd in one place
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(raw("text"))))
     return docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
@@ -35,30 +36,47 @@ def _sized(docs: DataFrame, seed: str, *ties) -> DataFrame:
     )
 
 
+def _running(rows: DataFrame, keys: list, sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds, for each (name, column) of sums, the column's sum over the rows before this one in order of the (unique) keys.
+
+    Rows are range-partitioned and sorted, and stored with their place, so that the ranges are the
+    same for all that comes; a window goes over one range, and one over a row per range.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, name).withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_{x}") for x, c in sums.items()))
+    starts = ranges.select("_range", *(F.coalesce(F.sum(f"_{x}").over(earlier), F.lit(0)).alias(f"_{x}") for x in sums))
+    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(x) for x, c in sums.items()))
+    # a row per partition
+    return summed.join(F.broadcast(starts), "_range").select(*rows.columns, *((F.col(x) + F.col(f"_{x}")).alias(x) for x in sums))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """Adds ``target`` to one row per source (no_source, name, source_size).
 
     Sources in code-point order, null last, have the weights in turn. The level at which
     sum(min(epochs * size, level * weight)) is the shared total comes from running sums over the
-    sources in the order in which a rising level fills them: no loop, one pass over a table of
-    sources.
+    sources in the order in which a rising level fills them. Sources may be as many as hosts are:
+    both orders are ranges, and what is global is three sums and a minimum.
     """
-    by_name = Window.orderBy("no_source", F.col("name").cast("binary"))
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), turn + 1)
+    code_point = F.col("name").cast("binary")
+    ranked = _running(sizes, ["no_source", code_point], {"turn": F.lit(1)}, "sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
     cap = (F.col("source_size") * epochs).cast("double")
-    fill = Window.orderBy("full_at", "no_source", F.col("name").cast("binary"))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = sizes.withColumn("weight", weight).withColumn("full_at", cap / F.col("weight"))
-    out = out.withColumn("below", F.coalesce(F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * epochs)
-    out = out.withColumn("open_weight", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    total = F.sum("source_size").over(everything) * F.lit(share)
-    out = out.withColumn("level", (total - F.col("below")) / F.col("open_weight"))
-    # the first source that its level doesn't fill sets the level for all; levels rise until there
-    level = F.min(F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "level"))).over(everything)["level"]
+    out = ranked.withColumn("weight", weight.cast("long")).drop("turn").withColumn("full_at", cap / F.col("weight"))
+    out = _running(out, ["full_at", "no_source", code_point], {"below": F.col("source_size"), "filled": F.col("weight")}, "levels")
+    totals = out.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    out = out.crossJoin(F.broadcast(totals))  # one row
+    level = (F.col("words") * F.lit(share) - F.col("below") * epochs) / (F.col("weights") - F.col("filled"))
     out = out.withColumn("level", level)
+    # the first source that its level doesn't fill sets the level for all; levels rise until there
+    first = out.agg(F.min(F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "level"))).alias("first")).select(F.col("first.level").alias("first_level"))
+    out = out.crossJoin(F.broadcast(first))
     return out.withColumn(
-        "target", F.when(F.col("level").isNull(), cap).otherwise(F.least(cap, F.col("level") * F.col("weight")))
+        "target", F.when(F.col("first_level").isNull(), cap).otherwise(F.least(cap, F.col("first_level") * F.col("weight")))
     ).select("no_source", "name", "source_size", "target")
 
 
@@ -68,7 +86,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     * size counts words; null and empty texts have none and nothing is taken of them;
     * a null source is a source of its own, last in order; target is a fraction of a word at times,
       and the cut is made at the nearest whole word, so the document at the cut is taken in part;
-    * equal keys (repeated ids) are ordered by id, then size: rows that still tie are equal;
+    * a null id has a key by its text; equal keys (repeated ids) are ordered by id, then size: rows
+      that still tie are equal;
     * the same rows always give the same mix; an empty table gives an empty result.
     """
     return _taken(_sized(docs, seed), weights, share, epochs).select("doc_id", "size", "source_size", "target", "taken")
@@ -99,7 +118,9 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Documents that the budget doesn't reach go; the one at a source's cut stays whole. Each row has
     its own verdict, so rows without a doc_id or with a repeated one come out as often as their
-    ``taken`` says; those that ``mix`` leaves tied are ordered by a hash of their text.
+    ``taken`` says; those that ``mix`` leaves tied are ordered by a hash of their text. Null and
+    empty texts have no words and go; null sources are a source; an empty table stays empty; columns
+    keep their names and order, whatever they are.
     """
     # a document's columns travel as one value, so that no name of theirs can clash
     rows = numbered(docs, "mixed-rows")
@@ -117,7 +138,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from rarefy.llm import exact as E
+from rarefy.llm._shared import scratch_tables
 
 from .helpers import HAVE, SF, docs, edges, table
 
@@ -46,3 +47,19 @@ def test_edges(spark):
 def test_keep_one_judges_an_id_with_its_text(spark):
     kept = E.keep_one(docs(spark, [(5, "a"), (5, "b"), (9, "b"), (7, "c"), (7, "c")]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, "a"), (7, "c"), (7, "c"), (9, "b")]
+
+
+def test_sizes_of_later_batches(spark):
+    index = E.open_index(spark)
+    table(E.deduplicate(docs(spark, [(1, "a"), (2, "a"), (9, "c")]), index))
+    got = table(E.deduplicate(docs(spark, [(3, "a"), (4, "a"), (5, "a"), (6, "b")]), index)).set_index("doc_id")
+    assert got.group_size.to_dict() == {3: 3, 4: 3, 5: 3, 6: 1}
+    assert got.keep_id.to_dict() == {3: 2, 4: 2, 5: 2, 6: 6} and got.kept.to_dict() == {3: False, 4: False, 5: False, 6: True}
+
+
+def test_scratch_tables_go(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    with scratch_tables():
+        assert E.keep_one(docs(spark, [(1, "a"), (2, "a")])).count() == 1
+        assert {t.name for t in spark.catalog.listTables()} != before
+    assert {t.name for t in spark.catalog.listTables()} == before
