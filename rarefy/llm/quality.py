@@ -1,12 +1,14 @@
 """Quality classification by co-training two views of a document.
 
 One classifier sees the text alone, the other the metadata alone (source, language, length).
-Both start from the same labelled documents. In each round, each labels the unlabelled documents
-of a pool of which it is surest, and these join the other one's training set. In the end both
-are calibrated on labelled documents that neither was trained on, and their log-odds are combined.
-
-Training uses a sample of ``LABELLED`` labelled and ``POOL`` unlabelled documents at most, the
-first by a hash of their ids; every document is scored.
+Both start from the same labelled documents. In each round, each scores all unlabelled documents,
+and those of which it is surest join the other one's training set, with their pseudo-labels. In the
+end both are calibrated on labelled documents that neither was trained on, and their log-odds are
+combined.
+
+The labelled documents are a sample of ``LABELLED`` at most, the first by a hash of their ids among
+those that the corpus has; the unlabelled ones are all the others. What reaches the driver are the
+views of the labelled sample and of ``HANDED`` documents per round, view and class.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, raw
+from ._shared import discard, documents, materialize, raw
 from .language import held_out
 
-LABELLED, POOL = 6000, 6000
+LABELLED = 6000
 ROUNDS = 5
 #: Pseudo-labels that a view hands over per round and class, and how sure it must be.
 HANDED, SURE = 100, 0.95
@@ -60,27 +62,28 @@ def text_view(data: bytes) -> np.ndarray:
     return out
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def meta_view(source: bytes | None, lang: bytes | None, n_chars: int | None) -> np.ndarray:
     """One-hot (hashed) source and language, length on a log scale in steps, and what is missing."""
     out = np.zeros(META)
-    out[0 if source is None else 1 + zlib.crc32(source.encode()) % 47] = 1
-    out[48 if lang is None else 49 + zlib.crc32(lang.encode()) % 15] = 1
+    out[0 if source is None else 1 + zlib.crc32(source) % 47] = 1
+    out[48 if lang is None else 49 + zlib.crc32(lang) % 15] = 1
     out[64 if n_chars is None or n_chars < 0 else 65 + min(30, int(2 * np.log2(1 + n_chars)))] = 1
     return out
 
 
-def _views(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Both views of every row as bytes, with columns that are kept."""
+def views(docs: DataFrame) -> DataFrame:
+    """``doc_id, tv, mv`` of every row: both views as 32-bit floats, made once for all rounds."""
 
     def run(batches):
         for b in batches:
-            t = [text_view(x.as_buffer().to_pybytes()).astype("<f4").tobytes() for x in b.column(0)]
-            m = [meta_view(*row).astype("<f4").tobytes() for row in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(m, pa.binary()), *b.columns[4:]], ["tv", "mv", *keep])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                t = [text_view(x.as_buffer().to_pybytes()).astype("<f4").tobytes() for x in part.column(1)]
+                m = [meta_view(*row).astype("<f4").tobytes() for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "tv", "mv"])
 
-    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    source = docs.select(raw("text").alias("t"), "source", "lang", F.col("n_chars").cast("long"), *keep)
-    return source.mapInArrow(run, "tv binary, mv binary" + kept)
+    rows = docs.select(F.col("doc_id").cast("long"), raw("text").alias("t"), F.col("source").cast("binary"), F.col("lang").cast("binary"), F.col("n_chars").cast("long"))
+    return rows.mapInArrow(run, "doc_id long, tv binary, mv binary")
 
 
 class Logistic:
@@ -140,35 +143,37 @@ class CoTrained:
         self.prior = prior
         self.models: list = []
 
-    def fit(self, views, y, pool, rounds: int = ROUNDS) -> CoTrained:
-        """views and pool: (text, metadata) matrices; every third labelled row calibrates."""
-        third = np.arange(len(y)) % 3 == 2
-        if len(set(y[third])) < 2 or len(set(y[~third])) < 2:
+    def fit(self, views, y, surest, rounds: int = ROUNDS) -> CoTrained:
+        """views: (text, metadata) matrices of the labelled rows.
+
+        surest(models, gates): of the unlabelled documents not handed over yet, for each view those
+        that its gated log-odds are surest of, as (text rows, metadata rows, labels). Two thirds of
+        the labelled rows train, a sixth calibrates the views, for the rounds and in the end, and a
+        sixth their sum. Where a sixth lacks a class, both do its work; where these do, there is no model.
+        """
+        turn = np.arange(len(y)) % 6
+        train, rest = turn < 4, turn >= 4
+        if len(set(y[rest])) < 2 or len(set(y[train])) < 2:
             return self
-        x = [v[~third] for v in views]
-        sets = [(v, y[~third]) for v in x]
-        free = np.ones(len(pool[0]), bool)
+        scale, last = (turn == k if len(set(y[turn == k])) == 2 else rest for k in (4, 5))
+        sets = [(v[train], y[train]) for v in views]
         models = [Logistic().fit(*s) for s in sets]
         for _ in range(rounds):
-            handed = []
-            for k, m in enumerate(models):
-                at = np.flatnonzero(free)
-                # sure by calibrated odds: a strongly regularised view is shy otherwise
-                odds = Platt().fit(m.odds(views[k][third]), y[third])(m.odds(pool[k][at]))
-                sure = np.log(SURE / (1 - SURE))
-                best = np.argsort(-np.abs(odds), kind="stable")
-                picked = np.concatenate([best[odds[best] > sure][:HANDED], best[odds[best] < -sure][:HANDED]])
-                handed.append((1 - k, at[picked], (odds[picked] > 0).astype(float)))
-            if not any(len(p) for _, p, _ in handed):
+            # sure by calibrated odds: a strongly regularised view is shy otherwise
+            gates = [Platt().fit(m.odds(v[scale]), y[scale]) for m, v in zip(models, views)]
+            handed = surest(models, gates)
+            if not any(len(label) for *_, label in handed):
                 break
-            for k, p, label in handed:
-                sets[k] = np.concatenate([sets[k][0], pool[k][p]]), np.concatenate([sets[k][1], label])
-                free[p] = False
+            for k, rows in enumerate(handed):
+                # what one view is sure of teaches the other
+                own, (x, label) = 1 - k, sets[1 - k]
+                if len(rows[2]):
+                    sets[own] = np.concatenate([x, rows[own]]), np.concatenate([label, rows[2]])
             models = [Logistic().fit(*s) for s in sets]
-        base = np.log(y[third].mean() / (1 - y[third].mean()))
-        scales = [Platt().fit(m.odds(v[third]), y[third]) for m, v in zip(models, views)]
-        self.models, self.base = list(zip(models, scales)), base
-        self.last = Platt().fit(self._sum([v[third] for v in views]), y[third])
+        self.base = np.log(y[rest].mean() / (1 - y[rest].mean()))
+        scales = [Platt().fit(m.odds(v[scale]), y[scale]) for m, v in zip(models, views)]
+        self.models = list(zip(models, scales))
+        self.last = Platt().fit(self._sum([v[last] for v in views]), y[last])
         return self
 
     def _sum(self, views):
@@ -185,37 +190,84 @@ class CoTrained:
         return logistic(self.last(self._sum(views))), *own
 
 
-def _first(ids: DataFrame, n: int) -> DataFrame:
-    """n rows at most, the first by a hash of the id: a fixed sample, whatever the partitions."""
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.frombuffer(x, "<f4") for x in column]).astype(float)
 
 
-def _matrix(rows, column: str) -> np.ndarray:
-    return np.stack([np.frombuffer(r[column], "<f4") for r in rows]).astype(float) if rows else np.zeros((0, 1))
+_SURE_SQL = "view int, good boolean, sure double, doc_id long, tv binary, mv binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Labels are rows ``(doc_id, quality)``; those that aren't 0 or 1, or contradict one another, are left out."""
+def _surest_of(free: DataFrame, handed: set[int]):
+    """The distributed half of a round: every unlabelled document is scored by both views.
+
+    A task keeps the HANDED surest of each view and class among its rows, and of all tasks' the
+    HANDED surest are taken; of ties the smaller id, and of repeated ids one row.
+    """
+    schema = pa.schema([("view", pa.int32()), ("good", pa.bool_()), ("sure", pa.float64()), ("doc_id", pa.int64()), ("tv", pa.binary()), ("mv", pa.binary())])
+    least = np.log(SURE / (1 - SURE))
+
+    def surest(models, gates):
+        gone = np.sort(np.fromiter(handed, np.int64, len(handed)))
+
+        def run(batches):
+            best: dict[tuple, dict] = {(k, good): {} for k in (0, 1) for good in (True, False)}
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                for at in range(0, b.num_rows, 1024):
+                    part = slice(at, at + 1024)
+                    fresh = ~np.isin(ids[part], gone)
+                    for k, (model, gate) in enumerate(zip(models, gates)):
+                        odds = gate(model.odds(_matrix(b.column(1 + k).slice(at, 1024).to_pylist())))
+                        for good in (True, False):
+                            held = best[k, good]
+                            for i in np.flatnonzero(fresh & ((odds > least) if good else (odds < -least))):
+                                held[int(ids[at + i])] = (abs(float(odds[i])), b.column(1)[at + i].as_py(), b.column(2)[at + i].as_py())
+                            if len(held) > HANDED:
+                                kept = sorted(held, key=lambda d: (-held[d][0], d))[:HANDED]
+                                best[k, good] = {d: held[d] for d in kept}
+            rows = [(k, good, v[0], d, v[1], v[2]) for (k, good), held in best.items() for d, v in held.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+        found = materialize(free.mapInArrow(run, _SURE_SQL), "surest")
+        out, taken = [], set()
+        for k in (0, 1):
+            parts = []
+            for good in (True, False):
+                # a document that other tasks have too is there once for each; that many rows hold HANDED of them
+                top = found.where((F.col("view") == k) & (F.col("good") == good)).groupBy("doc_id").agg(F.max(F.struct("sure", "tv", "mv")).alias("x"))
+                parts += [(r.doc_id, r.x.tv, r.x.mv, float(good)) for r in top.orderBy(F.desc("x.sure"), "doc_id").limit(HANDED).collect()]
+            taken |= {p[0] for p in parts}
+            empty = np.zeros((0, 1))
+            out.append((_matrix([p[1] for p in parts]), _matrix([p[2] for p in parts]), np.array([p[3] for p in parts])) if parts else (empty, empty, np.zeros(0)))
+        handed.update(taken)
+        discard(found)
+        return out
+
+    return surest
+
+
+def train(seen: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """seen: rows of ``views``. Labels are rows ``(doc_id, quality)``; those that aren't 0 or 1, or contradict one another, are left out.
+
+    Labels of documents that the table lacks don't count; rows without an id neither train nor are
+    handed over; of rows that repeat an id one does.
+    """
     clean = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     clean = clean.where("y = z").select("doc_id", F.col("y").cast("double").alias("y"))
-    known = _first(clean, labelled)
-    free = _first(docs.select("doc_id").where("doc_id is not null").distinct().join(clean, "doc_id", "left_anti"), pool).withColumn("y", F.lit(-1.0))
-    # both samples are bounded by their parameters, so the texts needn't be shuffled to meet them
-    chosen = F.broadcast(known.union(free).withColumnRenamed("doc_id", "__id"))
-    rows = _views(docs.join(chosen, docs["doc_id"] == chosen["__id"]).select(*(docs[c] for c in ("doc_id", "text", "source", "lang", "n_chars")), chosen["y"].alias("y")), ["doc_id", "y"]).collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (bytes(r.tv), bytes(r.mv)))}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    have, rest = [r for r in rows if r.y >= 0], [r for r in rows if r.y < 0]
+    known = seen.join(clean, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("tv", "mv")).alias("x"))
+    have = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled).collect()
+    have.sort(key=lambda r: zlib.crc32(b"%d" % r.doc_id))
     y = np.array([r.y for r in have])
     model = CoTrained(float(y.mean()) if len(y) else KEEP)
     if not len(y):
         return model
-    views = [_matrix(have, c) for c in ("tv", "mv")]
-    more = [_matrix(rest, c) if rest else v[:0] for c, v in zip(("tv", "mv"), views)]
-    return model.fit(views, y, more)
+    free = seen.where("doc_id is not null").join(clean.select("doc_id"), "doc_id", "left_anti").select("doc_id", "tv", "mv")
+    return model.fit([_matrix([r.x[c] for r in have]) for c in ("tv", "mv")], y, _surest_of(free, set()), rounds)
 
 
-def classify(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """``doc_id, score, kept, text_score, meta_score`` of every row; score is the probability of good quality.
+def classify(seen: DataFrame, model: CoTrained) -> DataFrame:
+    """``doc_id, score, kept, text_score, meta_score`` of every row of ``views``; score is the probability of good quality.
 
     * null and empty texts are scored like any other, as texts without words; so are null source,
       language and length, each a value of its own;
@@ -228,15 +280,13 @@ def classify(docs: DataFrame, model: CoTrained) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                t = np.stack([text_view(x.as_buffer().to_pybytes()) for x in part.column(1)]).astype("<f4").astype(float)
-                m = np.stack([meta_view(*row) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))])
-                score, text, meta = model.score([t, m])
+                score, text, meta = model.score([_matrix(part.column(k).to_pylist()) for k in (1, 2)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (score, score >= KEEP, text, meta))], ["doc_id", "score", "kept", "text_score", "meta_score"])
 
-    rows = docs.select("doc_id", raw("text").alias("t"), "source", "lang", F.col("n_chars").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, score double, kept boolean, text_score double, meta_score double")
+    return seen.select("doc_id", "tv", "mv").mapInArrow(run, "doc_id long, score double, kept boolean, text_score double, meta_score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, train(docs, labels.where(~held_out())))
+    seen = materialize(views(documents(spark, sf_dir)), "views")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(seen, train(seen, labels.where(~held_out())))
