@@ -25,6 +25,7 @@ Hash collisions cost time and nothing else: no two strings count as equal withou
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -37,10 +38,13 @@ from ._shared import discard, documents, materialize, partitions, raw
 LENGTH = 50
 GRAM = 16
 #: Anchors that a map task holds before it deals them out, and fragments.
-CHUNK_ANCHORS, CHUNK_FRAGMENTS = 1 << 20, 1 << 17
+CHUNK_ANCHORS, CHUNK_FRAGMENTS = 1 << 19, 1 << 17
 #: Fragments that one suffix array sorts. A larger group of one key is sorted string by string, in
 #: parts by the strings' hash.
-SORT_FRAGMENTS = 1 << 14
+SORT_FRAGMENTS = 1 << 13
+#: Turns in which fragments are cut and compared, each with its share of the keys: what is on disk at
+#: one time is the texts and one share.
+TURNS = 2
 #: Bytes of text for a bucket: what a task holds at once, whatever the number of partitions.
 BUCKET_BYTES = 1 << 25
 #: A key is dealt by strings if so many different fragments have it, and it is among the HOT_KEYS
@@ -209,8 +213,8 @@ def _sides(length: int) -> tuple[int, int]:
 
 
 def _width(length: int) -> int:
-    """Bytes of a fragment: all strings that share the smaller side's key."""
-    return length + max(_sides(length)) - 1
+    """Bytes of a fragment: all strings that share the smaller side's key; whole words of 8 bytes."""
+    return -(-(length + max(_sides(length)) - 1) // 8) * 8
 
 
 def _hashed(data: bytes, at: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -531,10 +535,7 @@ def _keys_of(text: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
 
 def _merged(key, k, th, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, and the starts in it of runs that are equal byte for byte, each in order of ids."""
-    width = text.shape[1]
-    padded = np.zeros((len(key), -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = text
-    words = padded.view(_U)
+    words = np.ascontiguousarray(text).view(_U)
     mixed = ((words ^ (words >> _U(32))) * _MIX[15] * np.array([_MIX[j % 12] for j in range(words.shape[1])])).sum(axis=1, dtype=_U)
     mixed ^= (lo * 1024 + hi).astype(_U) * _MIX[13]
     order = np.lexsort((th, k, mixed, key))
@@ -554,8 +555,8 @@ def _strings(begin, lo, hi, text, length: int) -> tuple[np.ndarray, ...]:
     return of, begin[of] + start, alone
 
 
-def _cut(buckets: int, length: int, hot: np.ndarray):
-    """Cuts the fragments of given sides from texts, and deals them by bucket of their key.
+def _cut(buckets: int, length: int, hot: np.ndarray, turn: int = 0, turns: int = 1):
+    """Cuts the fragments of given sides from texts, and deals them by bucket of their key (one share of the keys).
 
     Of equal fragments of a chunk those with the smallest id travel; a larger id repeats all of it.
     hot: keys (sorted) whose fragments are dealt string by string.
@@ -600,6 +601,9 @@ def _cut(buckets: int, length: int, hot: np.ndarray):
                 codes = np.unique(np.frombuffer(entries, _ENTRY[_SIDE])["code"])
                 for at in range(0, len(codes), CHUNK_FRAGMENTS):
                     code = codes[at : at + CHUNK_FRAGMENTS]
+                    if turns > 1:
+                        left, right = keys(data, (code >> 1).astype(np.int64), length)
+                        code = code[(np.where(code & 1, right, left) >> _U(8)) % _U(turns) == turn]
                     begin, lo, hi, pieces = fragments(data, code, length)
                     x = np.flatnonzero(hi >= lo)  # close to an end of the text there may be no string
                     held.append((np.full(len(x), k), np.full(len(x), th), (code & 1)[x], begin[x], lo[x], hi[x], pieces[x]))
@@ -737,10 +741,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = found.where(f"kind = {_HOT}").orderBy(F.desc("load"), "data").limit(HOT_KEYS).select("data").collect()
     hot = np.sort(np.frombuffer(b"".join(r.data for r in hot), "<u8"))
     sides = _dealt(found.where(f"kind = {_SIDE}"), n, "dest").mapInArrow(_gather(_SIDE), _GATHERED_SQL)
-    cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot), _DEALT_SQL)
-    compared = _dealt(cut, n, "bucket").mapInArrow(_compare(length, buckets), _FOUND_SQL)
-    out = materialize(_dealt(compared, n, "dest").mapInArrow(_gather(_SPAN), _GATHERED_SQL), "repeats-by-document")
+    spans = []
+    for turn in range(TURNS):
+        cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot, turn, TURNS), _DEALT_SQL)
+        spans.append(materialize(_dealt(cut, n, "bucket").mapInArrow(_compare(length, buckets), _FOUND_SQL), "spans"))
     discard(found)
+    every = functools.reduce(DataFrame.union, spans)
+    out = materialize(_dealt(every, n, "dest").mapInArrow(_gather(_SPAN), _GATHERED_SQL), "repeats-by-document")
+    discard(*spans)
     return out
 
 

@@ -142,10 +142,11 @@ def test_hot_keys_change_nothing(spark, rng, monkeypatch):
     seen = []
     monkeypatch.setattr(X, "HOT_FRAGMENTS", 3)
     cut = X._cut
-    monkeypatch.setattr(X, "_cut", lambda buckets, length, hot: seen.append(len(hot)) or cut(buckets, length, hot))
+    monkeypatch.setattr(X, "_cut", lambda buckets, length, hot, *turn: seen.append(len(hot)) or cut(buckets, length, hot, *turn))
     check(table(X.remove_repeats(df)), [(i, t.encode()) for i, t in rows])
     assert seen[0] > 10
     # beyond the list of hot keys, large groups are taken apart where they are sorted
     monkeypatch.setattr(X, "HOT_KEYS", 1)
     monkeypatch.setattr(X, "SORT_FRAGMENTS", 2)
+    monkeypatch.setattr(X, "TURNS", 3)
     check(table(X.remove_repeats(df)), [(i, t.encode()) for i, t in rows])
