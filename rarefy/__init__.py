@@ -8,7 +8,7 @@ from importlib import import_module
 
 
 def __getattr__(name):
-    if name.startswith("__") and name not in ("__array_api_version__",):
+    if name.startswith("__") and name not in ("__array_api_version__", "__array_namespace_info__"):
         raise AttributeError(name)
     value = getattr(import_module(".api", __name__), name)
     globals()[name] = value

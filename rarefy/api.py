@@ -106,7 +106,7 @@ from .sources.io import (  # noqa: F401
 )
 from .tensor import Tensor
 
-concatenate, transpose, SparseArray = concat, permute_dims, Tensor
+concatenate, transpose = concat, permute_dims
 
 
 def _function(name):
@@ -168,9 +168,6 @@ class _Format:
     def from_iter(self, x, shape=None, fill_value=None, dtype=None, compressed_axes=None):
         return self._as(from_iter(x, shape, fill_value, dtype), compressed_axes)
 
-    def from_scipy_sparse(self, x, /, *, fill_value=None):
-        return from_scipy(x, fill_value)
-
     def _as(self, x, compressed_axes):
         return asformat(x, self._format, **({"compressed_axes": compressed_axes} if self._format == "gcxs" else {}))
 
@@ -220,3 +217,32 @@ compute = lambda x: x.enable_caching() if isinstance(x, Tensor) else x  # noqa:
 """Plans are lazy; this keeps the rows once an action has made them."""
 lazy = lambda x: x
 __array_api_version__ = "2024.12"
+
+
+class _Info:
+    """What the array API asks of a namespace."""
+
+    def capabilities(self):
+        return {"boolean indexing": True, "data-dependent shapes": True, "max dimensions": 64}
+
+    def default_device(self):
+        return "cpu"
+
+    def devices(self):
+        return ["cpu"]
+
+    def default_dtypes(self, *, device=None):
+        return {"real floating": _np.dtype("float64"), "complex floating": _np.dtype("complex128"), "integral": _np.dtype("int64"), "indexing": _np.dtype("int64")}
+
+    def dtypes(self, *, device=None, kind=None):
+        names = "bool int8 int16 int32 int64 uint8 uint16 uint32 uint64 float32 float64 complex64 complex128".split()
+        return {n: _np.dtype(n) for n in names if kind is None or isdtype(_np.dtype(n), kind)}
+
+
+def __array_namespace_info__():
+    return _Info()
+
+
+from . import compat as _compat  # noqa: E402
+
+_compat.attach(globals())

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee, registry
 from ..functions.types import cast, literal, spark_type
-from ..plans.guard import expandable
 from ..tensor import Tensor, names
 
 
@@ -36,9 +35,8 @@ def as_tensor(x) -> Tensor:
 def expand(x: Tensor, shape: tuple[int, ...]) -> DataFrame:
     """Rows of x at every coordinate of shape that they stretch to."""
     lead = len(shape) - x.ndim
-    df = x.df.select(*(F.col(c).alias(f"d{i + lead}") for i, c in enumerate(x.coords)), "v")
+    df = x.df.select(*(F.col(c).alias(f"d{i + lead}") for i, c in enumerate(x.columns)), "v")
     stretched = [i for i, n in enumerate(shape) if i < lead or (x.shape[i - lead] == 1 and n != 1)]
-    expandable([shape[i] for i in stretched])
     spark = df.sparkSession
     for i in stretched:
         df = df.drop(f"d{i}").crossJoin(spark.range(shape[i]).select(F.col("id").alias(f"d{i}")))
@@ -149,7 +147,7 @@ def side_by_side(x, **functions) -> DataFrame:
         dtypes = [x.dtype if a is x else _scalar_type(a, [x]) for a in args]
         cells = [F.col("v") if a is x else literal(a, d) for a, d in zip(args, dtypes)]
         columns.append(_column(numpy_func, entry, cells, dtypes, out, {}).alias(name))
-    return x.df.select(*x.coords, *columns)
+    return x.df.select(*x.columns, *columns)
 
 
 def _operand(a):
@@ -174,31 +172,44 @@ def _may_join(tensors, shape) -> bool:
     return all(t.dtype.kind in "biu" for t in tensors) or any(t.shape != shape for t in tensors)
 
 
+def _odd(t: Tensor, v: Column) -> Column:
+    """What zero doesn't annihilate: values that aren't finite."""
+    if t.dtype.kind not in "fc":
+        return F.lit(False)
+    return ~ieee.isfinite(v.cast("double")) if t.dtype.kind == "f" else ~(ieee.isfinite(v["re"]) & ieee.isfinite(v["im"]))
+
+
 def _inner(tensors: list[Tensor], shape, compute) -> DataFrame:
-    """Join on the dimensions that neither side stretches."""
+    """Join on the dimensions that neither side stretches.
+
+    Stored values that aren't finite count against implicit zeros, too: those of a side with all
+    dimensions come by an outer join, in the same pass; those of a stretched one are expanded apart.
+    """
     a, b = tensors
-    lead = [len(shape) - t.ndim for t in (a, b)]
-    has = [{i for i in range(len(shape)) if i >= k and t.shape[i - k] == shape[i]} for t, k in zip((a, b), lead)]
-    both, n = sorted(has[0] & has[1]), len(shape)
+    n = len(shape)
+    lead = [n - t.ndim for t in (a, b)]
+    has = [{i for i in range(n) if i >= k and t.shape[i - k] == shape[i]} for t, k in zip((a, b), lead)]
+    both = sorted(has[0] & has[1])
+    whole = [len(h) == n and t.dtype.kind in "fc" for h, t in zip(has, (a, b))]
     left = a.df.select(*(F.col(f"d{i - lead[0]}").alias(f"a{i}") for i in sorted(has[0])), F.col("v").alias("va"))
     right = b.df.select(*(F.col(f"d{i - lead[1]}").alias(f"b{i}") for i in sorted(has[1])), F.col("v").alias("vb"))
-    on = functools.reduce(operator.and_, (F.col(f"a{i}") == F.col(f"b{i}") for i in both)) if both else None
-    if on is None:
-        expandable([s for s in shape])
-        joined = left.crossJoin(right)
+    on = functools.reduce(operator.and_, (F.col(f"a{i}") == F.col(f"b{i}") for i in both)) if both else F.lit(True)
+    va, vb = F.col("va"), F.col("vb")
+    if any(whole):
+        how = "full" if all(whole) else "left" if whole[0] else "right"
+        joined = left.join(right, on, how).where((va.isNotNull() & vb.isNotNull()) | (vb.isNull() & _odd(a, va)) | (va.isNull() & _odd(b, vb)))
+        va, vb = F.coalesce(va, literal(0, a.dtype)), F.coalesce(vb, literal(0, b.dtype))
     else:
-        joined = left.join(right, on)
-    coords = [F.col(f"a{i}" if i in has[0] else f"b{i}").alias(f"d{i}") for i in range(n) if i in has[0] | has[1]]
-    df = joined.select(*coords, compute(F.col("va"), F.col("vb")).alias("v"))
+        joined = left.join(right, on) if both else left.crossJoin(right)
+    coords = [F.coalesce(*(F.col(f"{x}{i}") for x, h in zip("ab", has) if i in h)).alias(f"d{i}") for i in range(n) if i in has[0] | has[1]]
+    df = joined.select(*coords, compute(va, vb).alias("v"))
     for i in range(n):
         if i not in has[0] | has[1]:  # every operand is stretched here
             df = df.crossJoin(df.sparkSession.range(shape[i]).select(F.col("id").alias(f"d{i}")))
-    # what zero doesn't annihilate: stored values that aren't finite, against implicit zeros
     for own, other, k in ((a, b, 0), (b, a, 1)):
-        if own.dtype.kind not in "fc":
+        if whole[k] or own.dtype.kind not in "fc":
             continue
-        odd = ~ieee.isfinite(F.col("v").cast("double")) if own.dtype.kind == "f" else ~(ieee.isfinite(F.col("v.re")) & ieee.isfinite(F.col("v.im")))
-        lone = expand(own.new(own.df.where(odd)), shape)
+        lone = expand(own.new(own.df.where(_odd(own, F.col("v")))), shape)
         keys = sorted(has[1 - k])
         seen = other.df.select(*(F.col(f"d{i - lead[1 - k]}").alias(f"o{i}") for i in keys))
         lone = lone.join(seen, functools.reduce(operator.and_, (F.col(f"d{i}") == F.col(f"o{i}") for i in keys)), "left_anti") if keys else lone

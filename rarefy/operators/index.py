@@ -160,9 +160,9 @@ def _field(x: Tensor, key):
     if not inner.subdtype:
         return Tensor(x.df.withColumn("v", F.col("v")[key]), x.shape, 0, inner)
     base, sub = inner.subdtype
-    df = x.df.select(*x.coords, F.col("v")[key].alias("v"))
+    df = x.df.select(*x.columns, F.col("v")[key].alias("v"))
     for k in range(len(sub)):
-        df = df.select(*x.coords, *(f"d{x.ndim + j}" for j in range(k)), F.posexplode("v").alias(f"d{x.ndim + k}", "v"))
+        df = df.select(*x.columns, *(f"d{x.ndim + j}" for j in range(k)), F.posexplode("v").alias(f"d{x.ndim + k}", "v"))
     coords = [F.col(f"d{i}").cast("long").alias(f"d{i}") for i in range(x.ndim + len(sub))]
     return Tensor(df.select(*coords, "v"), (*x.shape, *sub), 0, base).pruned()
 
@@ -173,8 +173,8 @@ def _masked(x: Tensor, mask: Tensor) -> Tensor:
 
     if mask.fill_value:
         raise IndexError("a mask must be false where nothing is stored")
-    chosen = mask.df.where("v").drop("v").join(x.df, x.coords, "left")
-    chosen = chosen.select(*x.coords, F.coalesce("v", x.lit()).alias("v"))
+    chosen = mask.df.where("v").drop("v").join(x.df, x.columns, "left")
+    chosen = chosen.select(*x.columns, F.coalesce("v", x.lit()).alias("v"))
     placed, n = rank(chosen, x.shape)
     return x.new(placed.select(F.col("_rank").alias("d0"), "v"), (n,)).pruned()
 
@@ -194,7 +194,7 @@ def nonzero_df(x):
         raise ValueError("a 0-D tensor has no coordinates")
     if x.fill_value != 0:
         raise ValueError("the fill value must be zero")
-    return x.df.where(~same(F.col("v"), 0, x.dtype)).select(*x.coords)
+    return x.df.where(~same(F.col("v"), 0, x.dtype)).select(*x.columns)
 
 
 def nonzero(x) -> tuple[np.ndarray, ...]:

@@ -52,8 +52,24 @@ def _summed(df: DataFrame, labels: list[str], dtype: np.dtype) -> DataFrame:
     return df.groupBy(F.lit(0).alias("_all")).agg(_total(dtype).alias("v")).drop("_all")
 
 
+#: A relation that can't have more rows than this is dealt over all tasks before a product that may
+#: be larger: its few bytes would be one partition otherwise, and one task would make the whole product.
+SMALL_ROWS = 1 << 24
+
+
+def _spread(small: Relation, other: Relation, shared: list[str]) -> DataFrame:
+    product = small.rows * other.rows / max(1.0, min((small.sizes[c] for c in shared), default=1))
+    if not small.labels or small.rows > SMALL_ROWS or product <= SMALL_ROWS:
+        return small.df
+    n = int(small.df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # by what the product keeps of it: each task then sums cells of its own
+    return small.df.repartition(n, *([c for c in small.labels if c not in shared] or small.labels))
+
+
 def _join(a: Relation, b: Relation, keep: list[str], dtype: np.dtype, salt: int = 1) -> Relation:
     shared = [c for c in a.labels if c in b.labels]
+    small, other = (a, b) if a.rows <= b.rows else (b, a)
+    small.df = _spread(small, other, shared)
     left = a.df.select(*(F.col(c).alias(f"l_{c}") for c in a.labels), F.col("v").alias("lv"))
     right = b.df.select(*(F.col(c).alias(f"r_{c}") for c in b.labels), F.col("v").alias("rv"))
     on = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in shared]
@@ -78,7 +94,7 @@ def contract(operands: list[Tensor], inputs: list[list[str]], output: list[str],
     work = _work_type(out)
     relations, sizes = [], {}
     for k, (t, labels) in enumerate(zip(operands, inputs)):
-        df = t.df.select(*t.coords, cast(F.col("v"), t.dtype, work).alias("v"))
+        df = t.df.select(*t.columns, cast(F.col("v"), t.dtype, work).alias("v"))
         own: dict[str, int] = {}
         for i, c in enumerate(labels):
             if c in own:
@@ -197,8 +213,8 @@ def kron(a, b) -> Tensor:
     n = max(a.ndim, b.ndim)
     a, b = (t.reshape((1,) * (n - t.ndim) + t.shape) for t in (a, b))
     out = np.result_type(a.dtype, b.dtype)
-    left = a.df.select(*(F.col(c).alias(f"l_{c}") for c in a.coords), cast(F.col("v"), a.dtype, out).alias("lv"))
-    right = b.df.select(*(F.col(c).alias(f"r_{c}") for c in b.coords), cast(F.col("v"), b.dtype, out).alias("rv"))
+    left = a.df.select(*(F.col(c).alias(f"l_{c}") for c in a.columns), cast(F.col("v"), a.dtype, out).alias("lv"))
+    right = b.df.select(*(F.col(c).alias(f"r_{c}") for c in b.columns), cast(F.col("v"), b.dtype, out).alias("rv"))
     coords = [(F.col(f"l_d{i}") * F.lit(b.shape[i]) + F.col(f"r_d{i}")).alias(f"d{i}") for i in range(n)]
     df = left.crossJoin(right).select(*coords, _product(F.col("lv"), F.col("rv"), out).cast(spark_type(out)).alias("v"))
     return Tensor(df, [p * q for p, q in zip(a.shape, b.shape)], 0, out).pruned()

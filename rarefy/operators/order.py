@@ -110,14 +110,14 @@ def sort(x, *, axis=-1, descending=False, stable=False) -> Tensor:
     stored = (counts.groupBy(*lane) if lane else counts).agg(F.sum("_n").alias("_c"))
     placed = placed.join(stored, lane) if lane else placed.crossJoin(stored)
     start = F.col("_before") + F.when(ahead, F.lit(0).cast("long")).otherwise(F.lit(x.shape[axis]) - F.col("_c"))
-    rows = placed.select(*(F.col(c) if c in lane else start.alias(c) for c in x.coords), "v", "_n").where(~same(v, x.fill_value, x.dtype))
+    rows = placed.select(*(F.col(c) if c in lane else start.alias(c) for c in x.columns), "v", "_n").where(~same(v, x.fill_value, x.dtype))
     full = F.call_function("div", F.col("_n") - 1, F.lit(COPIES).cast("long"))
     blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), full)))
-    blocks = blocks.repartition(*x.coords, "_block")
+    blocks = blocks.repartition(*x.columns, "_block")
     last = F.least(F.lit(COPIES).cast("long"), F.col("_n") - F.col("_block") * COPIES) - 1
     copies = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     at = F.col(f"d{axis}") + F.col("_block") * COPIES + F.col("_copy")
-    return x.new(copies.select(*(at.alias(c) if c == f"d{axis}" else F.col(c) for c in x.coords), "v"))
+    return x.new(copies.select(*(at.alias(c) if c == f"d{axis}" else F.col(c) for c in x.columns), "v"))
 
 
 def _arg(x, axis, keepdims: bool, largest: bool) -> Tensor:

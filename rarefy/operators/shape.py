@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import cast
-from ..plans.guard import expandable
 from ..tensor import Tensor, normalize_axis
 from .elementwise import as_tensor, elemwise, expand
 
@@ -223,7 +222,6 @@ def pad(array, pad_width, mode="constant", **kwargs) -> Tensor:
 
 
 def _times(df: DataFrame, n: int, name: str) -> DataFrame:
-    expandable([n])
     return df.crossJoin(df.sparkSession.range(n).select(F.col("id").alias(name)))
 
 

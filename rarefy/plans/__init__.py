@@ -1 +1 @@
-"""Planning on the driver: size guards, layouts and contractions."""
+"""Planning on the driver: layouts and contractions."""

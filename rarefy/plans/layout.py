@@ -83,6 +83,7 @@ class DOK:
     ndim = property(lambda self: len(self.shape))
     nnz = property(lambda self: len(self.data))
     size = property(lambda self: int(np.prod(self.shape, dtype=object)))
+    nbytes = property(lambda self: self.nnz * (8 * self.ndim + self.dtype.itemsize))
 
     def __len__(self):
         return self.shape[0]
@@ -104,12 +105,6 @@ class DOK:
         out.data = {tuple(map(int, c)): x[tuple(c)] for c in np.argwhere(x)}
         return out
 
-    @classmethod
-    def from_scipy_sparse(cls, x, /, *, fill_value=None) -> DOK:
-        from ..sources.io import from_scipy
-
-        return cls.from_coo(from_scipy(x, fill_value))
-
     def to_coo(self) -> Tensor:
         from ..sources.create import coo
 
@@ -188,5 +183,5 @@ def assign(x: Tensor, region: DataFrame, values: DataFrame) -> Tensor:
 
     region: coordinates to clear; values: rows (coordinates, v) to put there.
     """
-    kept = x.df.join(region.select(*x.coords), x.coords, "left_anti")
-    return x.new(kept.select(*x.coords, "v").unionByName(values.select(*x.coords, F.col("v")))).pruned()
+    kept = x.df.join(region.select(*x.columns), x.columns, "left_anti")
+    return x.new(kept.select(*x.columns, "v").unionByName(values.select(*x.columns, F.col("v")))).pruned()

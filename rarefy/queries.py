@@ -181,6 +181,14 @@ def gcxs_round_trip(t):
     return layout.unpacked(layout.packed(x), x.shape, dtype=x.dtype, compressed_axes=(1,)).tocoo()
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base or tempfile.gettempdir()
+
+
 @query("SELECT * FROM {N}")
 def npz_round_trip(t):
     with tempfile.TemporaryDirectory() as d:
@@ -190,8 +198,7 @@ def npz_round_trip(t):
 
 @query("SELECT * FROM {S}")
 def parquet_round_trip(t):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/tensor-{uuid.uuid4().hex[:12]}"
+    path = f"{_scratch(t.spark)}/tensor-{uuid.uuid4().hex[:12]}"
     R.save_parquet(path, t.S.tocsc())
     return R.load_parquet(path)
 
@@ -203,14 +210,15 @@ def streaming_accumulate(t):
 
     events = t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.sf_dir}/events.parquet*")
     cells = events.select("user_id", _type_code(F.col("event_type")).alias("kind"), F.dayofmonth("ts").alias("day"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    name = f"acc_{uuid.uuid4().hex[:8]}"
-    run = accumulate(cells, ["user_id", "kind", "day"], "cents").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name)
+    path = f"{_scratch(t.spark)}/accumulated-{uuid.uuid4().hex[:12]}"
+    # each trigger writes the tensor as it stands; nothing of it passes the driver
+    sink = accumulate(cells, ["user_id", "kind", "day"], "cents").writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path)
 
 
 class _Triplets:
-    """What SciPy's matrices offer, for from_scipy_sparse: coordinates, values and a shape."""
+    """What SciPy's matrices offer: coordinates, values and a shape."""
 
     def __init__(self, x: Tensor):
         (self.row, self.col), self.data = x.collected()
@@ -226,7 +234,7 @@ class _Triplets:
 
 
 _CONVERSIONS = (
-    "COO.from_numpy", "COO.from_iter", "COO.from_scipy_sparse", "GCXS.from_numpy", "GCXS.from_iter", "GCXS.from_coo", "DOK.from_numpy", "DOK.from_coo", "asCOO", "asarray", "todok", "copy",
+    "COO.from_numpy", "COO.from_iter", "COO.from_scipy", "GCXS.from_numpy", "GCXS.from_iter", "GCXS.from_coo", "DOK.from_numpy", "DOK.from_coo", "asCOO", "asarray", "todok", "copy",
     "from_constituent_arrays", "buffers", "astype", "resize", "maybe_densify",
 )
 
@@ -239,7 +247,7 @@ def conversions(t):
     pairs = [(tuple(map(int, c)), v) for c, v in zip(coords.T, data)]
     indptr = np.r_[0, np.cumsum(np.bincount(coords[0], minlength=n.shape[0]))]
     found = {
-        "COO.from_numpy": R.COO.from_numpy(dense), "COO.from_iter": R.COO.from_iter(pairs, shape=n.shape), "COO.from_scipy_sparse": R.COO.from_scipy_sparse(_Triplets(n)),
+        "COO.from_numpy": R.COO.from_numpy(dense), "COO.from_iter": R.COO.from_iter(pairs, shape=n.shape), "COO.from_scipy": R.from_scipy(_Triplets(n)),
         "GCXS.from_numpy": R.GCXS.from_numpy(dense), "GCXS.from_iter": R.GCXS.from_iter(dict(pairs), shape=n.shape), "GCXS.from_coo": R.GCXS.from_coo(n), "DOK.from_numpy": R.DOK.from_numpy(dense).to_coo(),
         "DOK.from_coo": R.DOK.from_coo(n).to_coo(), "asCOO": R.asCOO(n.todok()), "asarray": R.asarray(dense, format="csr"), "todok": n.todok().asformat("coo"), "copy": n.copy().asformat("gcxs").todok().to_coo(),
         "from_constituent_arrays": R.from_constituent_arrays(format="csr", arrays=(indptr, coords[1], data), shape=n.shape), "buffers": R.GCXS((data, coords[1], indptr), shape=n.shape, compressed_axes=(0,)),

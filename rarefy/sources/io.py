@@ -66,7 +66,7 @@ def load_parquet(path: str) -> Tensor:
 
 
 def from_scipy(x, fill_value=None) -> Tensor:
-    """From any object with SciPy's sparse interface."""
+    """From any object that gives its coordinates, as SciPy's matrices do."""
     c = x.tocoo()
     coords = np.stack([np.asarray(i) for i in getattr(c, "coords", (c.row, c.col))]).astype(np.int64)
     out = Tensor(_frame(coords, np.asarray(c.data)), c.shape, 0 if fill_value is None else fill_value, c.data.dtype).summed().pruned()
@@ -79,10 +79,10 @@ def to_scipy(x: Tensor, accept_fv=None):
         raise ValueError(f"the fill value must be one of {accepted}")
     if x.ndim != 2:
         raise ValueError("SciPy's matrices have two dimensions")
-    import scipy.sparse
+    from ..compat import scipy_matrix
 
     coords, data = x.collected()
-    out = scipy.sparse.coo_matrix((data, tuple(coords)), shape=x.shape)
+    out = scipy_matrix(coords, data, x.shape)
     return out.asformat(x.layout) if x.layout in ("csr", "csc") else out
 
 

@@ -72,7 +72,8 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         return math.prod(self.shape)
 
     @property
-    def coords(self) -> list[str]:
+    def columns(self) -> list[str]:
+        """The coordinates' columns in df."""
         return names(self.ndim)
 
     @property
@@ -139,7 +140,7 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
             total = F.struct(F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
         else:
             total = F.sum(v).cast(spark_type(self.dtype))
-        grouped = self.df.groupBy(*self.coords) if self.ndim else self.df.groupBy(F.lit(0).alias("_one"))
+        grouped = self.df.groupBy(*self.columns) if self.ndim else self.df.groupBy(F.lit(0).alias("_one"))
         return self.new(grouped.agg(total.alias("v")), layout=self.layout)
 
     def lit(self, value=None):
@@ -152,14 +153,36 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         t = self.df.toArrow() if self.dtype.kind != "c" and not self.dtype.fields else None
         if t is None:
             rows = self.df.collect()
-            coords = np.array([[r[c] for r in rows] for c in self.coords], np.int64).reshape(self.ndim, len(rows))
+            coords = np.array([[r[c] for r in rows] for c in self.columns], np.int64).reshape(self.ndim, len(rows))
             data = np.array([complex(*r["v"]) if self.dtype.kind == "c" else tuple(r["v"]) for r in rows], self.dtype)
         else:
-            coords = np.array([t.column(c).to_numpy() for c in self.coords], np.int64).reshape(self.ndim, t.num_rows)
+            coords = np.array([t.column(c).to_numpy() for c in self.columns], np.int64).reshape(self.ndim, t.num_rows)
             data = np.array(t.column("v").to_pylist() if self.dtype.name == "uint64" else t.column("v").to_numpy(zero_copy_only=False)).astype(self.dtype)
         order = np.lexsort(coords[::-1]) if self.ndim else slice(None)
         return coords[:, order] if self.ndim else coords, data[order]
 
+    @property
+    def coords(self) -> np.ndarray:
+        """Coordinates (ndim, nnz) on the driver, in C order; df stays distributed."""
+        return self.collected()[0]
+
+    @property
+    def data(self) -> np.ndarray:
+        """Stored values on the driver, in C order of their coordinates."""
+        return self.collected()[1]
+
+    def linear_loc(self) -> np.ndarray:
+        """Places of the stored cells in C order, on the driver."""
+        coords = self.coords
+        out = np.zeros(coords.shape[1], np.int64)
+        for c, n in zip(coords, self.shape):
+            out = out * n + c
+        return out
+
+    def __dask_tokenize__(self):
+        coords, data = self.collected()
+        return "tensor", self.shape, self.dtype.str, repr(self.fill_value), coords.tobytes(), data.tobytes()
+
     def todense(self) -> np.ndarray:
         """The whole array on the driver: for results known to be small."""
         out = np.full(self.shape, self.fill_value, self.dtype)
@@ -363,11 +386,6 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
     def change_compressed_axes(self, axes) -> Tensor:
         return self.asformat("gcxs", compressed_axes=axes)
 
-    def to_scipy_sparse(self, accept_fv=None):
-        from .sources import io
-
-        return io.to_scipy(self, accept_fv)
-
     def enable_caching(self) -> Tensor:
         """Keeps the rows after the first action that makes them."""
         self.df = self.df.persist()

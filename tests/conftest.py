@@ -33,7 +33,7 @@ def rng():
     return np.random.default_rng(42)
 
 
-def sparse(rng, shape, density=0.5, dtype="float64", fill=0):
+def holey(rng, shape, density=0.5, dtype="float64", fill=0):
     """A random array in which most cells have the fill value."""
     dtype = np.dtype(dtype)
     values = rng.random(shape) * 20 - 10 if dtype.kind in "fc" else rng.integers(-10, 10, shape) if dtype.kind == "i" else rng.integers(0, 2, shape)

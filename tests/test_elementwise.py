@@ -5,7 +5,7 @@ import pytest
 
 import rarefy as R
 
-from .conftest import agree, sparse
+from .conftest import agree, holey
 
 pytestmark = pytest.mark.filterwarnings("ignore::RuntimeWarning")
 SPECIAL = np.array([0.0, 1.0, -1.0, 0.5, -2.5, 3.0, np.inf, -np.inf, np.nan, 7.5])
@@ -58,7 +58,7 @@ def test_binary_special_values(spark, name):
 
 @pytest.mark.parametrize("shapes", [((2, 3, 4), (3, 4)), ((3, 1, 4), (3, 2, 4)), ((1, 5), (5, 1)), ((3, 1), (1, 4)), ((2, 2, 2), (1, 1, 1)), ((4,), (4,))])
 def test_broadcasting(spark, rng, shapes):
-    a, b = (sparse(rng, s) for s in shapes)
+    a, b = (holey(rng, s) for s in shapes)
     x, y = R.asarray(a), R.asarray(b)
     agree(x + y, a + b)
     agree(x * y, a * b)
@@ -66,7 +66,7 @@ def test_broadcasting(spark, rng, shapes):
 
 
 def test_non_zero_fills(spark, rng):
-    a, b = sparse(rng, (5, 6), fill=1), sparse(rng, (5, 6), fill=-2)
+    a, b = holey(rng, (5, 6), fill=1), holey(rng, (5, 6), fill=-2)
     x, y = R.from_numpy(a, 1), R.from_numpy(b, -2)
     s = x - y
     assert s.fill_value == 3
@@ -101,14 +101,14 @@ def test_bits_and_shifts(spark):
 
 
 def test_any_callable_and_several_operands(spark, rng):
-    arrays = [sparse(rng, s) for s in ((2,), (3, 2), (4, 3, 2))]
+    arrays = [holey(rng, s) for s in ((2,), (3, 2), (4, 3, 2))]
     f = lambda a, b, c: a * b + np.cbrt(c)
     agree(R.elemwise(f, *map(R.asarray, arrays)), f(*arrays))
     agree(R.nextafter(R.asarray(arrays[0]), 1.0), np.nextafter(arrays[0], 1.0))
 
 
 def test_dense_operands(spark, rng):
-    a, d = sparse(rng, (3, 4)), rng.random((3, 4)) + 1
+    a, d = holey(rng, (3, 4)), rng.random((3, 4)) + 1
     agree(R.asarray(a) * d, a * d)
     agree(R.asarray(a) + d, a + d)  # dense: an array
     with pytest.raises(ValueError, match="dense"):
@@ -120,7 +120,7 @@ def test_dense_operands(spark, rng):
 
 
 def test_complex(spark, rng):
-    a, b = sparse(rng, (3, 3), dtype="complex128"), sparse(rng, (3, 3), dtype="complex128")
+    a, b = holey(rng, (3, 3), dtype="complex128"), holey(rng, (3, 3), dtype="complex128")
     x, y = R.asarray(a), R.asarray(b)
     agree(x * y, a * b)
     agree(x + y, a + b)
@@ -133,7 +133,7 @@ def test_complex(spark, rng):
 
 
 def test_casts_rounding_limits(spark, rng):
-    a = sparse(rng, (4, 5))
+    a = holey(rng, (4, 5))
     x = R.asarray(a)
     for kind in ("int32", "bool", "float32", "complex128"):
         agree(x.astype(kind), a.astype(kind))

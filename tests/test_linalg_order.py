@@ -3,7 +3,7 @@ import pytest
 
 import rarefy as R
 
-from .conftest import agree, sparse
+from .conftest import agree, holey
 
 EINSUMS = [
     "ij->ji", "ij->", "ii->i", "ii->", "ij,jk->ik", "ij,jk", "ij,ij->ij", "i,j->ij", "ijk,jil->kl", "ij,kj,kl->il", "ab,bc,cd,de->ae", "aab,bc->c", "i,i,i->", "ijk->j",
@@ -14,12 +14,12 @@ EINSUMS = [
 @pytest.mark.parametrize("text", EINSUMS)
 def test_einsum(spark, rng, text):
     terms = text.split("->")[0].split(",")
-    arrays = [sparse(rng, (3,) * (len(t.replace("...", "")) + ("..." in t))) for t in terms]
+    arrays = [holey(rng, (3,) * (len(t.replace("...", "")) + ("..." in t))) for t in terms]
     agree(R.einsum(text, *map(R.asarray, arrays)), np.einsum(text, *arrays))
 
 
 def test_einsum_forms(spark, rng):
-    a, b = sparse(rng, (3, 4)), sparse(rng, (4, 5))
+    a, b = holey(rng, (3, 4)), holey(rng, (4, 5))
     x, y = R.asarray(a), R.asarray(b)
     agree(R.einsum(x, [0, 1], y, [1, 2], [0, 2]), np.einsum(a, [0, 1], b, [1, 2], [0, 2]))
     agree(R.einsum(x, [0, 1], y, [1, 2]), np.einsum(a, [0, 1], b, [1, 2]))
@@ -30,12 +30,12 @@ def test_einsum_forms(spark, rng):
 
 @pytest.mark.parametrize("shapes", [((3, 4), (4, 3)), ((3, 1, 6, 5), (2, 1, 4, 5, 6)[1:]), ((1, 1, 5), (3, 5, 6)), ((4, 5), (5,)), ((5,), (5, 6)), ((5,), (5,)), ((3, 4), (1, 2, 4, 3))])
 def test_matmul(spark, rng, shapes):
-    a, b = (sparse(rng, s) for s in shapes)
+    a, b = (holey(rng, s) for s in shapes)
     agree(R.asarray(a) @ R.asarray(b), a @ b)
 
 
 def test_products(spark, rng):
-    a, b, c = sparse(rng, (3, 4, 5)), sparse(rng, (4, 3)), sparse(rng, (2, 5, 3), dtype="int32")
+    a, b, c = holey(rng, (3, 4, 5)), holey(rng, (4, 3)), holey(rng, (2, 5, 3), dtype="int32")
     x, y, z = map(R.asarray, (a, b, c))
     agree(R.tensordot(x, y, axes=([1, 0], [0, 1])), np.tensordot(a, b, axes=([1, 0], [0, 1])))
     agree(R.tensordot(x, z, axes=0)[0], np.tensordot(a, c, axes=0)[0])
@@ -53,7 +53,7 @@ def test_products(spark, rng):
 
 @pytest.mark.parametrize("fill", [-1, 0, 2])
 def test_extremes(spark, rng, fill):
-    a = sparse(rng, (5, 6), dtype="int64", fill=fill)
+    a = holey(rng, (5, 6), dtype="int64", fill=fill)
     a[1] = fill
     a[2] = np.arange(6)
     x = R.from_numpy(a, fill)
@@ -80,7 +80,7 @@ def test_first_gap_over_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("fill", [-1, 0, 3])
 def test_sort(spark, rng, fill):
-    a = sparse(rng, (4, 6), fill=fill)
+    a = holey(rng, (4, 6), fill=fill)
     x = R.from_numpy(a, fill)
     for axis in (0, 1):
         agree(R.sort(x, axis=axis), np.sort(a, axis=axis))
@@ -96,7 +96,7 @@ def test_sort_puts_nan_last(spark):
 
 
 def test_unique(spark, rng):
-    a = sparse(rng, (4, 6), dtype="int64")
+    a = holey(rng, (4, 6), dtype="int64")
     values, counts = R.unique_counts(R.asarray(a))
     expected = np.unique(a, return_counts=True)
     assert (values == expected[0]).all() and (counts == expected[1]).all()
@@ -105,7 +105,7 @@ def test_unique(spark, rng):
 
 
 def test_no_loop_over_batches(spark, rng):
-    x = R.asarray(sparse(rng, (3, 1, 4, 5)))
-    y = R.asarray(sparse(rng, (2, 5, 3)))
+    x = R.asarray(holey(rng, (3, 1, 4, 5)))
+    y = R.asarray(holey(rng, (2, 5, 3)))
     plan = (x @ y).df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1

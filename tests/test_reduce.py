@@ -3,7 +3,7 @@ import pytest
 
 import rarefy as R
 
-from .conftest import agree, sparse
+from .conftest import agree, holey
 
 pytestmark = pytest.mark.filterwarnings("ignore::RuntimeWarning")
 AXES = [None, 0, 2, (0, 2), -1]
@@ -12,14 +12,14 @@ AXES = [None, 0, 2, (0, 2), -1]
 @pytest.mark.parametrize("name", ["sum", "prod", "max", "min", "any", "all", "mean", "var", "std"])
 def test_with_fills(spark, rng, name):
     for fill, axis, keepdims in ((0, None, False), (2, 1, True), (-1, (0, 2), False), (0, -1, False)):
-        a = sparse(rng, (3, 4, 2), fill=fill)
+        a = holey(rng, (3, 4, 2), fill=fill)
         agree(getattr(R, name)(R.from_numpy(a, fill), axis=axis, keepdims=keepdims), getattr(np, name)(a, axis=axis, keepdims=keepdims))
 
 
 @pytest.mark.parametrize("name", ["sum", "prod", "max", "mean", "any"])
 def test_types(spark, rng, name):
     for dtype in ("int32", "bool", "float32"):
-        a = sparse(rng, (3, 4), dtype=dtype)
+        a = holey(rng, (3, 4), dtype=dtype)
         if not (name == "max" and dtype == "bool"):
             agree(getattr(R, name)(R.asarray(a), axis=0), getattr(np, name)(a, axis=0)) if dtype != "float32" else np.testing.assert_allclose(
                 getattr(R, name)(R.asarray(a), axis=0).todense(), getattr(np, name)(a, axis=0), rtol=1e-5
@@ -27,7 +27,7 @@ def test_types(spark, rng, name):
 
 
 def test_nan(spark, rng):
-    a = sparse(rng, (4, 5))
+    a = holey(rng, (4, 5))
     a[0, :3] = np.nan
     a[:, 4] = np.nan
     for name in ("nansum", "nanprod", "nanmax", "nanmin", "nanmean"):
@@ -62,5 +62,5 @@ def test_other_ufuncs(spark):
 
 
 def test_one_exchange_with_partial_sums(spark, rng):
-    plan = R.asarray(sparse(rng, (4, 5))).sum(axis=0).df._jdf.queryExecution().executedPlan().toString()
+    plan = R.asarray(holey(rng, (4, 5))).sum(axis=0).df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_sum" in plan

@@ -4,7 +4,7 @@ import pytest
 import rarefy as R
 from rarefy.plans import layout
 
-from .conftest import agree, sparse
+from .conftest import agree, holey
 
 INDICES = [
     0, -1, slice(1, None), slice(None, None, -1), slice(None, None, 2), slice(3, 0, -2), (0, 1), (slice(None), 2), (Ellipsis, 1), (None, 1), (1, Ellipsis, None),
@@ -13,7 +13,7 @@ INDICES = [
 
 
 def test_indexing(spark, rng):
-    a = sparse(rng, (2, 3, 4))
+    a = holey(rng, (2, 3, 4))
     x = R.asarray(a)
     for k in INDICES:
         if k == (Ellipsis, [3, 0], slice(0, 0)):
@@ -44,7 +44,7 @@ def test_slices_reach_the_scan(spark, tmp_path):
 
 
 def test_projections(spark, rng):
-    a = sparse(rng, (2, 3, 4))
+    a = holey(rng, (2, 3, 4))
     x = R.asarray(a)
     agree(x.T, a.T)
     agree(x.mT, a.swapaxes(-1, -2))
@@ -79,14 +79,14 @@ def test_projections(spark, rng):
 
 
 def test_matrices(spark, rng):
-    a = sparse(rng, (4, 5))
+    a = holey(rng, (4, 5))
     x = R.asarray(a)
     for k in (-1, 0, 2):
         agree(R.triu(x, k), np.triu(a, k))
         agree(R.tril(x, k), np.tril(a, k))
         agree(R.diagonal(x, k), np.diagonal(a, k))
         agree(R.eye(4, 5, k), np.eye(4, 5, k))
-    b = sparse(rng, (4, 5, 4, 6))
+    b = holey(rng, (4, 5, 4, 6))
     agree(R.diagonal(R.asarray(b), axis1=0, axis2=2), np.diagonal(b, axis1=0, axis2=2))
     agree(R.diagonal(R.diagonalize(R.asarray(a[0]))), a[0])
     for p, q in zip(R.nonzero(x), np.nonzero(a)):
@@ -95,7 +95,7 @@ def test_matrices(spark, rng):
 
 
 def test_constructors_and_layouts(spark, rng, tmp_path):
-    a = sparse(rng, (3, 4))
+    a = holey(rng, (3, 4))
     x = R.asarray(a)
     agree(R.COO([[0, 0, 1], [1, 1, 2]], [1.0, 2.0, 5.0], shape=(2, 3)), np.array([[0, 3.0, 0], [0, 0, 5.0]]))
     assert R.COO([[0, 1]], [0, 1], shape=(2,), prune=True).nnz == 1
