@@ -300,8 +300,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, run_rows: int = R
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component one row of its smallest ``doc_id`` stays.
 
-    Rows without a doc_id are linked like any other and come after all ids; rows of one id are
-    ordered by a hash of their text. So a row that is repeated with its doc_id stays once.
+    * rows without a doc_id are linked like any other and come after all ids; rows of one id are
+      ordered by a hash of their text, so a row that is repeated with its doc_id stays once;
+    * null and empty texts, and texts of white space only, are near copies of one another;
+    * an empty table stays empty; columns keep their names and order, whatever they are.
     """
     rows = numbered(docs, "near-rows")
     fps = fingerprints(rows.select(F.col("row").alias("doc_id"), "doc.text")).withColumnRenamed("doc_id", "row")

@@ -6,7 +6,9 @@ import pytest
 import corpus_pipeline
 from rarefy.llm import bpe, mixing
 
-from .helpers import HAVE, SF
+from rarefy.llm._shared import scratch_tables
+
+from .helpers import HAVE, SF, edges
 from .test_simhash import components, plain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,3 +53,23 @@ def test_registered(spark):
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
     assert [n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_stages_define_every_edge(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names: none is lost but by a verdict."""
+    given = edges(spark)
+    docs = given
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        with scratch_tables():
+            rows = [r.asDict() for r in stage(spark, docs, SF).collect()]
+        assert rows and list(rows[0]) == given.columns, name
+        docs = spark.createDataFrame([tuple(r.values()) for r in rows], given.schema)
+        sizes.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows))
+    lettered = [(False, 4), (False, 5), (False, 6), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0), (True, 0)]
+    assert sizes[0] == lettered
+    # of four copies the rows of the largest id stay, both of them; then one of these
+    assert sizes[1] == [(False, 4), (False, 6), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0)]
+    assert sizes[2] == [(False, 4), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0)]
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert encoded.count() == len(sizes[3])
