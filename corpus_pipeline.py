@@ -2,7 +2,8 @@
 
 Every stage gets what its predecessor wrote and returns a DataFrame; all but the last return the
 columns of documents. Each is written as Parquet in the shared folder and read again, so a lost
-executor costs a stage's tasks and no more.
+executor costs a stage's tasks and no more. Once a stage is written, what it had written on the way
+and its predecessor's table are emptied.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rarefy.llm import bpe, exact, language, mixing, simhash
-from rarefy.llm._shared import documents, scratch
+from rarefy.llm._shared import documents, scratch, scratch_tables, tidy
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = f"{scratch(spark)}/pipeline-{name}-{uuid.uuid4().hex[:12]}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_tables(), tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            spark.range(0).write.mode("overwrite").parquet(before)
+        docs, before = spark.read.parquet(path), path
     return docs
