@@ -33,6 +33,12 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+@pytest.mark.parametrize("name", ["any_axis", "hits", "hits_step", "triangles", "sddmm", "nansum"])
+def test_not_empty_on_larger_tables(spark, name):
+    rows = QUERIES[name](spark, SF.replace("0.001", "0.01")).collect()
+    assert rows and any(any(v for k, v in r.asDict().items() if k not in ("d0", "d1")) for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
