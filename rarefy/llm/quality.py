@@ -7,7 +7,7 @@ end both are calibrated on labelled documents that neither was trained on, and t
 combined.
 
 The labelled documents are a sample of ``LABELLED`` at most, the first by a hash of their ids among
-those that the corpus has; the unlabelled ones are all the others. What reaches the driver are the
+those that the corpus has; all others take part as unlabelled ones. What reaches the driver are the
 views of the labelled sample and of ``HANDED`` documents per round, view and class.
 """
 
@@ -194,6 +194,12 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<f4") for x in column]).astype(float)
 
 
+def _of_ids(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """``doc_id, x``: the views of a bounded list of documents, once each; nothing else is shuffled."""
+    chosen = rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("tv", "mv")).alias("x"))
+
+
 _SURE_SQL = "view int, good boolean, sure double, doc_id long, tv binary, mv binary"
 
 
@@ -234,9 +240,11 @@ def _surest_of(free: DataFrame, handed: set[int]):
         for k in (0, 1):
             parts = []
             for good in (True, False):
-                # a document that other tasks have too is there once for each; that many rows hold HANDED of them
-                top = found.where((F.col("view") == k) & (F.col("good") == good)).groupBy("doc_id").agg(F.max(F.struct("sure", "tv", "mv")).alias("x"))
-                parts += [(r.doc_id, r.x.tv, r.x.mv, float(good)) for r in top.orderBy(F.desc("x.sure"), "doc_id").limit(HANDED).collect()]
+                own = found.where((F.col("view") == k) & (F.col("good") == good))
+                # a document that other tasks have too is there once for each, with one result
+                top = own.groupBy("doc_id").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "doc_id").limit(HANDED).collect()
+                rows = {r.doc_id: r.x for r in _of_ids(own, [r.doc_id for r in top]).collect()}
+                parts += [(r.doc_id, rows[r.doc_id].tv, rows[r.doc_id].mv, float(good)) for r in top]
             taken |= {p[0] for p in parts}
             empty = np.zeros((0, 1))
             out.append((_matrix([p[1] for p in parts]), _matrix([p[2] for p in parts]), np.array([p[3] for p in parts])) if parts else (empty, empty, np.zeros(0)))
@@ -255,15 +263,16 @@ def train(seen: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     """
     clean = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     clean = clean.where("y = z").select("doc_id", F.col("y").cast("double").alias("y"))
-    known = seen.join(clean, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("tv", "mv")).alias("x"))
-    have = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled).collect()
-    have.sort(key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    y = np.array([r.y for r in have])
+    # only ids meet the labels; the views of those that are chosen are fetched by a list of bounded size
+    known = seen.select("doc_id").join(clean, "doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled).collect()
+    label = {r.doc_id: r.y for r in known}
+    have = sorted(_of_ids(seen, list(label)).collect(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
+    y = np.array([label[r.doc_id] for r in have])
     model = CoTrained(float(y.mean()) if len(y) else KEEP)
     if not len(y):
         return model
-    free = seen.where("doc_id is not null").join(clean.select("doc_id"), "doc_id", "left_anti").select("doc_id", "tv", "mv")
-    return model.fit([_matrix([r.x[c] for r in have]) for c in ("tv", "mv")], y, _surest_of(free, set()), rounds)
+    free = seen.where("doc_id is not null").select("doc_id", "tv", "mv")
+    return model.fit([_matrix([r.x[c] for r in have]) for c in ("tv", "mv")], y, _surest_of(free, set(label)), rounds)
 
 
 def classify(seen: DataFrame, model: CoTrained) -> DataFrame:
