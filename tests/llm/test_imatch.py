@@ -1,7 +1,9 @@
 import hashlib
-import re
 
+import numpy as np
 import pytest
+import regex
+import xxhash
 
 from rarefy.llm import imatch as I
 
@@ -22,7 +24,7 @@ def plain(rows):
 def lexicon_of(texts, low, high):
     df = {}
     for t in texts:
-        for w in set(re.split(r"[^\w]+|_", t.lower())) - {""}:
+        for w in set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""}:
             df[w] = df.get(w, 0) + 1
     n = len(texts)
     return {w for w, k in df.items() if max(2.0, low * n) <= k <= max(2.0, high * n)}
@@ -51,27 +53,68 @@ def test_pairs(spark, rng, monkeypatch, block_rows):
         assert (got.n_chars[i], got.edited_sha256[i]) == (n, sha)
     assert got.fingerprint[rows[11][0]] == got.fingerprint[rows[40][0]]
     assert got.near_edited.between(0, 1).all() and got.near_edited.mean() > got.near_next.mean()
-    # likenesses by sets of terms
-    parts = {r.term: r.parts for r in I.lexicon(docs(spark, rows)).collect()}
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
-
-    def subsets(t):
-        own = {hashes[w] for w in t.split()} & set(parts)
-        return [frozenset(x for x in own if parts[x] >> k & 1) for k in range(I.SUBSETS)]
+    brute(rows, got)
+
+
+def spark_hash(*values):
+    """XXH64 as SQL's xxhash64 chains it: text as UTF-8, integers of 4 bytes (numpy int32) or 8."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, np.int32) else 8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+        h_signed = h - (1 << 64) if h >> 63 else h
+    return h_signed
+
+
+def brute(rows, got):
+    """Fingerprints and likenesses of every row, by sets of terms in plain Python."""
+    terms = lambda t: {spark_hash(w) for w in set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""}}
+    words = lexicon_of([t for _, t in rows], I.LOW, I.HIGH)
+    parts = {}
+    for w in words:
+        h = spark_hash(w)
+        parts[h] = [k for k in range(I.SUBSETS) if spark_hash(h, np.int32(k)) % I.DENSITIES[k % len(I.DENSITIES)] == 0]
+
+    def signature(t):
+        out = {}
+        for h in sorted(terms(t) & set(parts)):
+            for k in parts[h]:
+                out[k] = spark_hash(out.get(k, k), h)
+        return {k: h & 0xFFFFFF for k, h in out.items()}
+
+    def shown(sig, t):
+        whole = "=%016x" % (spark_hash(t) & (1 << 64) - 1)
+        return "".join("%06x" % sig[k] if k in sig else "------" for k in range(I.SUBSETS)) if sig else whole
+
+    def likeness(a, b, s, t):
+        used = set(a) | set(b)
+        return sum(a.get(k) == b.get(k) for k in used) / len(used) if used else float(s == t)
 
     order = sorted(rows, reverse=True)
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
-        a, b = subsets(t), subsets(after)
-        used = sum(bool(x or y) for x, y in zip(a, b))
-        likeness = sum(x == y != frozenset() for x, y in zip(a, b)) / used if used else float(t == after)
-        assert got.near_next[i] == pytest.approx(likeness)
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, e, n = signature(t), signature(edited), signature(after)
+        assert (got.fingerprint[i], got.edited_fingerprint[i]) == (shown(a, t), shown(e, edited))
+        assert got.near_edited[i] == pytest.approx(likeness(a, e, t, edited))
+        assert got.near_next[i] == pytest.approx(likeness(a, n, t, after))
 
 
 @pytest.mark.skipif(not HAVE, reason="no test tables here")
 def test_query(spark):
     got = table(I.op10_imatch(spark, SF)).set_index("doc_id")
-    expected = plain([(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
-    assert {i: (got.n_chars[i], got.edited_sha256[i]) for i in got.index} == expected
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert {i: (got.n_chars[i], got.edited_sha256[i]) for i in got.index} == plain(rows)
+    brute(rows, got)
+
+
+def test_blocks_of_three_levels(spark, monkeypatch):
+    monkeypatch.setattr(I, "_CHUNK", 3)
+    splits = list(range(0, 200, 7))
+    block, is_split = I._block(I.F.col("i"), splits)
+    ids = spark.createDataFrame([(i,) for i in range(-3, 210)] + [(None,)], "i long")
+    for r in ids.select("i", block.alias("b"), is_split.alias("s")).collect():
+        assert (r.b, r.s) == ((0, False) if r.i is None else (sum(s < r.i for s in splits), r.i in splits))
 
 
 def test_edges(spark):
