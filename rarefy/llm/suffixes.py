@@ -50,6 +50,9 @@ BUCKET_BYTES = 1 << 25
 #: A key is dealt by strings if so many different fragments have it, and it is among the HOT_KEYS
 #: with most: a list of bounded size. The others are sorted where they are, at any size.
 HOT_FRAGMENTS, HOT_KEYS = 1 << 13, 1 << 16
+#: Bytes of text that are gone over at a time, in whole texts, and places that are hashed at a time:
+#: their arrays stay in the processor's cache.
+BLOCK_BYTES, BLOCK_PLACES = 1 << 16, 1 << 12
 _U = np.uint64
 _MIX = [_U(int.from_bytes(hashlib.sha256(b"context-%d" % i).digest()[:8], "little") | 1) for i in range(16)]
 #: A null id is larger than every other one.
@@ -183,8 +186,11 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None =
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of one text."""
+def anchors(data: bytes, length: int = LENGTH, origin: np.ndarray | None = None, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of one text, or of the texts of a block, in order.
+
+    origin, size: where in a block its texts begin, and their lengths, ``length`` or more.
+    """
     n = len(data)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, _U)
@@ -201,11 +207,40 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
         low, have = np.minimum(low[: len(low) - have], low[have:]), 2 * have
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+    if origin is not None:
+        # strings lie within one text
+        borders = np.c_[origin, origin + size - length + 1].ravel()
+        inside = np.arange(len(borders) + 1) % 2 == 1
+        low = low[np.repeat(inside, np.diff(borders, prepend=0, append=len(low)))]
     low = low[np.r_[True, low[1:] != low[:-1]]]
     at = (low & _U(0xFFFFFFFF)).astype(np.int64)
     return at, h[at]
 
 
+def _blocks(rows, length: int):
+    """Blocks of texts: (their rows without the text, bytes, where each text begins, its length).
+
+    rows: (text, ...). Texts shorter than ``length`` are left out; zeros lie between texts and around them.
+    """
+    gap, held, size = bytes(length + 8), [], 0
+    for text, *row in rows:
+        if len(text) < length:
+            continue
+        held.append((text, row))
+        size += len(text)
+        if size >= BLOCK_BYTES:
+            yield _joined(held, gap)
+            held, size = [], 0
+    if held:
+        yield _joined(held, gap)
+
+
+def _joined(held: list[tuple], gap: bytes) -> tuple:
+    size = np.array([len(t) for t, _ in held])
+    origin = len(gap) + np.cumsum(size + len(gap)) - size - len(gap)
+    return [row for _, row in held], gap + gap.join(t for t, _ in held) + 2 * gap, origin, size
+
+
 def _sides(length: int) -> tuple[int, int]:
     """Bytes beside an anchor that a string on either side takes in at least: before it, and behind it."""
     left = (length - GRAM + 1) // 2
@@ -217,55 +252,78 @@ def _width(length: int) -> int:
     return -(-(length + max(_sides(length)) - 1) // 8) * 8
 
 
-def _hashed(data: bytes, at: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+def _hashed(data: bytes | np.ndarray, at: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of the ``width`` bytes from each place; every word is mixed before it is summed."""
+    out = np.empty(len(at), _U)
+    if not len(at):
+        return out
     words = -(-width // 8)
     view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    x = view[at[:, None] + 8 * np.arange(words)]
-    if width % 8:
-        x[:, -1] &= _U((1 << 8 * (width % 8)) - 1)
-    x ^= x >> _U(32)
-    x *= _MIX[15 - salt]
-    x ^= x >> _U(29)
-    x *= np.array([_MIX[(k + salt) % 12] + _U(2 * (k // 12)) for k in range(words)])
-    x ^= x >> _U(32)
-    out = (x * _MIX[14 - salt]).sum(axis=1, dtype=_U)
-    return out ^ (out >> _U(29))
+    step = 8 * np.arange(words)[:, None]
+    mix = np.array([_MIX[(k + salt) % 12] + _U(2 * (k // 12)) for k in range(words)])[:, None]
+    for s in range(0, len(at), BLOCK_PLACES):
+        x = view[at[s : s + BLOCK_PLACES] + step]
+        if width % 8:
+            x[-1] &= _U((1 << 8 * (width % 8)) - 1)
+        x ^= x >> _U(32)
+        x *= _MIX[15 - salt]
+        x ^= x >> _U(29)
+        x *= mix
+        x ^= x >> _U(32)
+        x *= _MIX[14 - salt]
+        x.sum(axis=0, dtype=_U, out=out[s : s + BLOCK_PLACES])
+    out ^= out >> _U(29)
+    return out
 
 
 def contexts(data: bytes, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A hash of all that lies within reach of a string around each anchor."""
+    """A hash of all that lies within reach of a string around each anchor of a block."""
     before = length - GRAM
-    return _hashed(bytes(before) + data + bytes(length + 8), at, before + length)
+    return _hashed(data, at - before, before + length)
+
 
+def keys(data: bytes, at: np.ndarray, origin: np.ndarray, size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the left and the right side of each anchor of a block; 0 where the text has no string on that side.
 
-def keys(data: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the left and the right side of each anchor; 0 where the text has no string on that side."""
+    origin, size: where each anchor's text begins, and its length.
+    """
     left, right = _sides(length)
-    padded = bytes(left) + data + bytes(right + 8)
-    out = _hashed(padded, at, left + GRAM) | _U(1), _hashed(padded, at + left, GRAM + right, 1) | _U(1)
-    out[0][at < left] = 0
-    out[1][at + GRAM + right > len(data)] = 0
+    out = _hashed(data, at - left, left + GRAM) | _U(1), _hashed(data, at, GRAM + right, 1) | _U(1)
+    out[0][at - origin < left] = 0
+    out[1][at - origin + GRAM + right > size] = 0
     return out
 
 
-def fragments(data: bytes, code: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """For each code (place of an anchor * 2 + 1 for its right side): where its fragment begins, the
-    first and last start of a string in it, and its bytes (zeros elsewhere).
+def _turn(key: np.ndarray, turns: int) -> np.ndarray:
+    """The turn in which the fragments of a key are compared."""
+    return (key >> _U(8)) % _U(turns)
+
+
+def fragments(data: bytes, code: np.ndarray, origin: np.ndarray, size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each code (place of an anchor in its text * 2 + 1 for its right side) that has a string: its
+    index, where its fragment begins, the first and last start of a string in it, and its bytes (zeros elsewhere).
 
-    Places count from length - GRAM bytes before the text.
+    origin, size: where each code's text begins in a block, and its length. Fragments' places count
+    from length - GRAM bytes before the text.
     """
-    left, right = _sides(length)
+    left, _ = _sides(length)
     before, width = length - GRAM, _width(length)
     at, side = (code >> 1).astype(np.int64), code & 1
     begin = np.where(side == 1, at + before - left + 1, at)
     starts = np.where(side == 1, left, before - left + 1)
     lo = np.maximum(0, before - begin)
-    hi = np.minimum(starts - 1, len(data) + before - length - begin)
-    padded = np.frombuffer(bytes(before) + data + bytes(width), np.uint8)
-    text = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    hi = np.minimum(starts - 1, size + before - length - begin)
+    x = np.flatnonzero(hi >= lo)  # close to an end of the text there may be no string
+    begin, starts, lo, hi = begin[x], starts[x], lo[x], hi[x]
+    view = np.ndarray((len(data) - width + 1,), f"V{width}", data, strides=(1,))
+    text = view[begin + origin[x] - before].view(np.uint8).reshape(-1, width)
+    # what lies behind the last string, and, close to an end of the text, before the first one
+    tail = left - 1 + length
+    text[:, tail:] *= np.arange(tail, width) < (hi + length)[:, None]
+    near = np.flatnonzero((lo > 0) | (hi < starts - 1))
     column = np.arange(width)
-    return begin, lo, hi, np.where((column >= lo[:, None]) & (column < (hi + length)[:, None]), text, 0).astype(np.uint8)
+    text[near] *= (column >= lo[near, None]) & (column < (hi + length)[near, None])
+    return x, begin, lo, hi, text
 
 
 # ---------------------------------------------------------------- packing arrays into rows
@@ -334,8 +392,8 @@ _NO_CODE = 0xFFFFFFFF
 class _ByDocument:
     """Gathers entries of one kind and gives them out packed, one row for each destination of documents."""
 
-    def __init__(self, kind: int, destinations: int):
-        self.kind, self.destinations, self.held, self.size = kind, destinations, [], 0
+    def __init__(self, kind: int, destinations: int, load: int = 0):
+        self.kind, self.destinations, self.load, self.held, self.size = kind, destinations, load, [], 0
 
     def add(self, k, th, *columns):
         """Yields rows when enough entries are held."""
@@ -351,13 +409,14 @@ class _ByDocument:
         k, th, *columns = (np.concatenate(c) for c in zip(*self.held))
         self.held, self.size = [], 0
         dest = ((k.view(_U) * _MIX[12]) >> _U(33)) % _U(self.destinations)
-        order = np.lexsort((columns[0], th, k, dest))
+        order = _order(k, columns[0])
+        order = order[_stable(dest[order], self.destinations)]
         k, th, dest = k[order], th[order], dest[order]
         columns = [c[order].astype(t[0]) for c, t in zip(columns, _ENTRY[self.kind].fields.values())]
         start, end = _runs(dest)
         parts = [_pack(_delta(k[s:e]), th[s:e], *(c[s:e] for c in columns)) for s, e in zip(start, end)]
         kinds = np.full(len(start), self.kind, np.int32)
-        loads = np.zeros(len(start), np.int64)
+        loads = np.full(len(start), self.load, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(dest[start].astype(np.int64)), pa.array(kinds), pa.array(loads), pa.array(parts, pa.binary())], schema=_FOUND)
 
 
@@ -372,7 +431,9 @@ def _gather(kind: int):
             parts = [_unpack(r[-1], "<i8", "<i8", *types) for r in rows]
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
             th, *columns = (np.concatenate([p[i] for p in parts]) for i in range(1, 2 + len(types)))
-            order = np.lexsort((columns[0], th, k))
+            order = _order(k, columns[0])
+            if ((k[order][1:] == k[order][:-1]) & (th[order][1:] != th[order][:-1])).any():
+                order = np.lexsort((columns[0], th, k))
             k, th = k[order], th[order]
             entries = np.empty(len(k), entry)
             for name, c in zip(entry.names, columns):
@@ -404,70 +465,102 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _ends(new)
 
 
+def _within(group: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Group numbers with the leading bits of ``by`` behind them: one number to sort by."""
+    shift = 64 - int(group.max()).bit_length() if len(group) else 64
+    return (group.astype(_U) << _U(shift)) | (by >> _U(64 - shift)) if shift < 64 else by
+
+
+def _order(k: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """An order by ``k``, then by numbers below 2**32."""
+    first = np.argsort(k)
+    start, end = _runs(k[first])
+    group = np.repeat(np.arange(len(start), dtype=_U), end - start)
+    return first[np.argsort((group << _U(32)) | by[first].astype(_U))]
+
+
+def _stable(x: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of numbers below ``n``; short numbers are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
+
+
 def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.types)], schema=_DEALT)
 
 
-def _deal(buckets: int, length: int):
+def _deal(buckets: int, length: int, turns: int = 1):
     """Map side: the sides of whole texts by bucket of their key; those of a chunk with one key are joined.
 
     Sides whose key several documents of the chunk have are candidates; they travel under a negative
-    bucket, and one entry without a code tells the key's bucket, with the number of different contexts.
+    bucket, by turn, and one entry without a code tells the key's bucket, with the number of different contexts.
     """
 
     def dealt(held):
-        ids, ths = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        ids, ths, count = (np.concatenate([x[i] for x in held]) for i in range(3))
         by_id = np.lexsort((ths, ids))
         # rows that repeat an id with its text are one document
         by_id = by_id[np.r_[True, (ids[by_id][1:] != ids[by_id][:-1]) | (ths[by_id][1:] != ths[by_id][:-1])]]
-        held, ids, ths = [held[i] for i in by_id], ids[by_id], ths[by_id]
-        doc = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-        at = np.concatenate([x[2] for x in held]).astype("<u4") << 1
-        key, context = (np.concatenate([x[i] for x in held]) for i in (3, 5))
-        doc, at, context = np.tile(doc, 2), np.r_[at, at | 1], np.tile(context, 2)
-        key = np.r_[key, np.concatenate([x[4] for x in held])]
+        first = (np.cumsum(count) - count)[by_id]
+        ids, ths, count = ids[by_id], ths[by_id], count[by_id]
+        doc = np.repeat(np.arange(len(ids)), count)
+        pick = np.arange(len(doc)) + np.repeat(first - (np.cumsum(count) - count), count)
+        # in order of documents and places, each anchor's left side before its right one
+        code, key = np.empty(2 * len(doc), "<u4"), np.empty(2 * len(doc), _U)
+        code[::2] = np.concatenate([x[3] for x in held])[pick] << 1
+        code[1::2] = code[::2] | 1
+        key[::2], key[1::2] = (np.concatenate([x[i] for x in held])[pick] for i in (4, 5))
         order = np.flatnonzero(key)
-        order = order[np.argsort(key[order], kind="stable")]
-        doc, at, key, context = doc[order], at[order], key[order], context[order]
-        start, end = _runs(key)
+        order = order[np.argsort(key[order])]
+        start, end = _runs(key[order])
         if not len(start):
             return
-        # entries of a key are in order of ids only on either side, hence the extremes
-        k = ids[doc]
-        low, high = np.minimum.reduceat(k, start), np.maximum.reduceat(k, start)
-        several = np.repeat(low < high, end - start)
+        low, high = (f.reduceat(doc[order >> 1], start) for f in (np.minimum, np.maximum))
+        g = np.flatnonzero(ids[low] < ids[high])
+        group = np.full(len(start), -1)
+        group[g] = np.arange(len(g))
+        group = np.repeat(group, end - start)
+        shared, group = order[group >= 0], group[group >= 0]
+        several = np.zeros(len(key), bool)
+        several[shared] = True
         again = np.flatnonzero(several)
-        if len(again):
-            x = again[np.lexsort((at[again], doc[again]))]
-            yield -1 - int(k[x[0]] % buckets), _pack(_delta(k[x]), ths[doc[x]], at[x]), b""
-        g = np.flatnonzero(low < high)
-        order = again[np.lexsort((context[again], key[again]))]
-        new = np.ones(len(order), np.int64)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
-        load = np.add.reduceat(new, np.cumsum(np.r_[0, (end - start)[g]])[:-1]) if len(g) else new
-        one = np.flatnonzero(~several)
-        k, th = np.r_[k[one], low[g]], np.r_[ths[doc[one]], load]
-        at, key = np.r_[at[one], np.full(len(g), _NO_CODE, "<u4")], np.r_[key[one], key[start[g]]]
+        turn = _turn(key[again], turns)
+        for i in range(turns):
+            if len(x := again[turn == i]):
+                k = ids[doc[x >> 1]]
+                yield -1 - int(k[0] % buckets), _pack(_delta(k), ths[doc[x >> 1]], code[x]), bytes([i])
+        near = np.flatnonzero(several[::2] | several[1::2])
+        context = np.empty(len(doc), _U)
+        sizes = [len(x[6]) for x in held]
+        place = np.concatenate([x[7] + o for x, o in zip(held, np.cumsum(sizes) - sizes)])[pick]
+        context[near] = contexts(b"".join(x[6] for x in held), place[near], length)
+        # different contexts of each group, by as many of their bits as one number holds
+        pairs = np.argsort(_within(group, context[shared >> 1]))
+        group, context = group[pairs], context[shared[pairs] >> 1]
+        load = np.bincount(group[_runs(group, context)[0]], minlength=len(g))
+        one = np.flatnonzero((key != 0) & ~several)
+        g = g[by := np.argsort(low[g])]
+        k, th = np.r_[ids[doc[one >> 1]], ids[low[g]]], np.r_[ths[doc[one >> 1]], load[by]]
+        code, key = np.r_[code[one], np.full(len(g), _NO_CODE, "<u4")], np.r_[key[one], key[order[start[g]]]]
         bucket = (key >> _U(20)) % _U(buckets)
-        order = np.lexsort((at, k, bucket))
-        k, th, at, key, bucket = k[order], th[order], at[order], key[order], bucket[order]
+        order = _stable(bucket, buckets)
+        k, th, code, key, bucket = k[order], th[order], code[order], key[order], bucket[order]
         for s, e in zip(*_runs(bucket)):
-            yield int(bucket[s]), _pack(_delta(k[s:e]), th[s:e], at[s:e]), _pack(key[s:e])
+            yield int(bucket[s]), _pack(_delta(k[s:e]), th[s:e], code[s:e]), _pack(key[s:e])
 
     def run(batches):
         held: list[tuple] = []
         size = 0
-        for b in batches:
-            for k, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                data = text.as_buffer().to_pybytes()
-                at, _ = anchors(data, length)
-                if not len(at):
-                    continue
-                held.append((k, th, at, *keys(data, at, length), contexts(data, at, length)))
-                size += len(at)
-                if size >= CHUNK_ANCHORS:
-                    yield _batch(dealt(held))
-                    held, size = [], 0
+        rows = (row for b in batches for row in zip((t.as_buffer().to_pybytes() for t in b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for named, data, origin, sizes in _blocks(rows, length):
+            at, _ = anchors(data, length, origin, sizes)
+            count = np.diff(np.searchsorted(at, origin), append=len(at))
+            begin = np.repeat(origin, count)
+            ids, ths = np.array(named, np.int64).T
+            held.append((ids, ths, count, (at - begin).astype("<u4"), *keys(data, at, begin, np.repeat(sizes, count), length), data, at))
+            size += len(at)
+            if size >= CHUNK_ANCHORS:
+                yield _batch(dealt(held))
+                held, size = [], 0
         if held and (rows := list(dealt(held))):
             yield _batch(rows)
 
@@ -488,34 +581,39 @@ def _by_bucket(batches):
         yield now, rows
 
 
-def _settle(buckets: int, length: int):
+def _settle(buckets: int, length: int, turns: int = 1):
     """Reduce side: which sides share their key with another document, and keys with many fragments."""
 
     def run(batches):
-        sides = _ByDocument(_SIDE, buckets)
+        sides = [_ByDocument(_SIDE, buckets, i) for i in range(turns)]
         for bucket, rows in _by_bucket(batches):
             parts = [_unpack(r[0], "<i8", "<i8", "<u4") for r in rows]
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
             th, code = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
             if bucket < 0:
-                yield from sides.add(k, th, code)
+                yield from sides[rows[0][1][0]].add(k, th, code)
                 continue
             key = np.concatenate([_unpack(r[1], "<u8")[0] for r in rows])
-            order = np.argsort(key, kind="stable")
-            k, th, code, key = k[order], th[order], code[order], key[order]
-            start, end = _runs(key)
+            order = np.argsort(key)
+            start, end = _runs(key[order])
             known = code == _NO_CODE
-            shared = np.minimum.reduceat(k, start) < np.maximum.reduceat(k, start)
-            shared |= np.logical_or.reduceat(known, start)
-            hit = np.repeat(shared, end - start) & ~known
-            yield from sides.add(k[hit], th[hit], code[hit])
-            load = np.add.reduceat(np.where(known, th, 1), start)
+            shared = np.minimum.reduceat(k[order], start) < np.maximum.reduceat(k[order], start)
+            shared |= np.logical_or.reduceat(known[order], start)
+            hit = np.empty(len(key), bool)
+            hit[order] = np.repeat(shared, end - start)
+            hit = np.flatnonzero(hit & ~known)
+            turn = _turn(key[hit], turns)
+            for i in range(turns):
+                x = hit[turn == i]
+                yield from sides[i].add(k[x], th[x], code[x])
+            load = np.add.reduceat(np.where(known, th, 1)[order], start)
             many = np.flatnonzero(shared & (load >= HOT_FRAGMENTS))
             if len(many):
                 n = len(many)
-                names = [x.tobytes() for x in key[start[many]]]
+                names = [x.tobytes() for x in key[order[start[many]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, _HOT, np.int32)), pa.array(load[many]), pa.array(names, pa.binary())], schema=_FOUND)
-        yield from sides.rows()
+        for x in sides:
+            yield from x.rows()
 
     return run
 
@@ -524,7 +622,7 @@ def _keys_of(text: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
     """The keys of fragments, from their bytes; a string that is dealt on its own is its own key."""
     left, right = _sides(length)
     m, width = text.shape
-    flat, row = text.tobytes() + bytes(width + 8), np.arange(m) * width
+    flat, row = np.ascontiguousarray(text).ravel(), np.arange(m) * width
     out = np.empty(m, _U)
     for own, at, size, salt in ((0, length - GRAM - left, left + GRAM, 0), (1, left - 1, GRAM + right, 1), (_STRING, 0, length, 0)):
         x = np.flatnonzero(side == own)
@@ -533,15 +631,23 @@ def _keys_of(text: np.ndarray, side: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _merged(key, k, th, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, and the starts in it of runs that are equal byte for byte, each in order of ids."""
+def _merged(key, lo, hi, text) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and the starts in it of runs that are equal byte for byte."""
+    m, width = text.shape
     words = np.ascontiguousarray(text).view(_U)
-    mixed = ((words ^ (words >> _U(32))) * _MIX[15] * np.array([_MIX[j % 12] for j in range(words.shape[1])])).sum(axis=1, dtype=_U)
+    mixed = _hashed(words.view(np.uint8).ravel(), np.arange(m) * width, width)
     mixed ^= (lo * 1024 + hi).astype(_U) * _MIX[13]
-    order = np.lexsort((th, k, mixed, key))
-    words, key, lo, hi = words[order], key[order], lo[order], hi[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    order = np.argsort(key)
+    start, end = _runs(key[order])
+    group = np.repeat(np.arange(len(start)), end - start)
+    order = order[np.argsort(_within(group, mixed[order]))]
+    new = np.zeros(m, bool)
+    new[_runs(key[order], mixed[order], lo[order], hi[order])[0]] = True
+    # a hash only spares the comparison of bytes where it differs
+    again = np.flatnonzero(~new)
+    for s in range(0, len(again), BLOCK_PLACES):
+        x = again[s : s + BLOCK_PLACES]
+        new[x] = (words[order[x]] != words[order[x - 1]]).any(axis=1)
     return order, np.flatnonzero(new)
 
 
@@ -555,13 +661,12 @@ def _strings(begin, lo, hi, text, length: int) -> tuple[np.ndarray, ...]:
     return of, begin[of] + start, alone
 
 
-def _cut(buckets: int, length: int, hot: np.ndarray, turn: int = 0, turns: int = 1):
-    """Cuts the fragments of given sides from texts, and deals them by bucket of their key (one share of the keys).
+def _cut(buckets: int, length: int, hot: np.ndarray):
+    """Cuts the fragments of given sides from texts, and deals them by bucket of their key.
 
     Of equal fragments of a chunk those with the smallest id travel; a larger id repeats all of it.
     hot: keys (sorted) whose fragments are dealt string by string.
     """
-    width = _width(length)
 
     def dealt(held):
         k, th, side, begin, lo, hi, text = (np.concatenate([x[i] for x in held]) for i in range(7))
@@ -574,43 +679,42 @@ def _cut(buckets: int, length: int, hot: np.ndarray, turn: int = 0, turns: int =
             of, zero, lone = np.flatnonzero(split)[of], np.zeros(len(of), lo.dtype), np.full(len(of), _STRING, side.dtype)
             parts = (k[of], th[of], lone, b, zero, zero, alone, _keys_of(alone, lone, length))
             k, th, side, begin, lo, hi, text, key = (np.concatenate([x[~split], y]) for x, y in zip((k, th, side, begin, lo, hi, text, key), parts))
-        order, start = _merged(key, k, th, lo, hi, text)
-        low = np.repeat(k[order[start]], np.diff(np.r_[start, len(order)]))
-        again = order[k[order] > low]
+        order, start = _merged(key, lo, hi, text)
+        low = np.empty_like(k)
+        low[order] = np.repeat(np.minimum.reduceat(k[order], start), np.diff(start, append=len(order)))
+        again = np.flatnonzero(k > low)
         if len(again):
-            again = again[np.lexsort((begin[again], th[again], k[again]))]
             ends = [(begin + lo)[again].astype("<u4"), (begin + hi)[again].astype("<u4")]
             yield -1 - int(k[again[0]] % buckets), _pack(_delta(k[again]), th[again], *ends), b""
-        x = order[k[order] == low]
+        x = np.flatnonzero(k == low)
         bucket = ((key[x] >> _U(20)) % _U(buckets)).astype(np.int64)
-        by = np.lexsort((begin[x], th[x], k[x], bucket))
+        by = _stable(bucket, buckets)
         x, bucket = x[by], bucket[by]
+        k, th, begin, text = k[x], th[x], begin[x].astype("<u4"), text[x]
+        lo, hi, side = (c[x].astype("u1") for c in (lo, hi, side))
         for s, e in zip(*_runs(bucket)):
-            y = x[s:e]
-            yield int(bucket[s]), _pack(_delta(k[y]), th[y], begin[y].astype("<u4"), *(c[y].astype("u1") for c in (lo, hi, side))), _pack_text(text[y])
+            yield int(bucket[s]), _pack(_delta(k[s:e]), *(c[s:e] for c in (th, begin, lo, hi, side))), _pack_text(text[s:e])
 
     def run(batches):
         held: list[tuple] = []
         size, seen = 0, set()
-        for b in batches:
-            for k, th, text, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                if (k, th) in seen:
-                    continue
-                seen.add((k, th))
-                data = text.as_buffer().to_pybytes()
-                codes = np.unique(np.frombuffer(entries, _ENTRY[_SIDE])["code"])
-                for at in range(0, len(codes), CHUNK_FRAGMENTS):
-                    code = codes[at : at + CHUNK_FRAGMENTS]
-                    if turns > 1:
-                        left, right = keys(data, (code >> 1).astype(np.int64), length)
-                        code = code[(np.where(code & 1, right, left) >> _U(8)) % _U(turns) == turn]
-                    begin, lo, hi, pieces = fragments(data, code, length)
-                    x = np.flatnonzero(hi >= lo)  # close to an end of the text there may be no string
-                    held.append((np.full(len(x), k), np.full(len(x), th), (code & 1)[x], begin[x], lo[x], hi[x], pieces[x]))
-                    size += len(x)
-                    if size >= CHUNK_FRAGMENTS:
-                        yield _batch(dealt(held))
-                        held, size, seen = [], 0, {(k, th)}
+        rows = (row for b in batches for row in zip((t.as_buffer().to_pybytes() for t in b.column(2)), *(b.column(i).to_pylist() for i in (0, 1, 3))))
+        for named, data, origin, sizes in _blocks(rows, length):
+            fresh = {tuple(row[:2]): i for i, row in enumerate(named)}
+            new = np.array([i for name, i in fresh.items() if name not in seen], np.int64)
+            seen.update(fresh)
+            parts = [np.frombuffer(named[i][2], _ENTRY[_SIDE])["code"] for i in new]
+            codes = np.sort((np.repeat(new, [len(x) for x in parts]).astype(_U) << _U(32)) | np.concatenate([*parts, np.empty(0, "<u4")]))
+            codes = codes[_runs(codes)[0]]
+            ids, ths = np.array([row[:2] for row in named], np.int64).T
+            for at in range(0, len(codes), CHUNK_FRAGMENTS):
+                doc, code = (codes[at : at + CHUNK_FRAGMENTS] >> _U(32)).astype(np.int64), codes[at : at + CHUNK_FRAGMENTS].astype("<u4")
+                x, *cut = fragments(data, code, origin[doc], sizes[doc], length)
+                held.append((ids[doc[x]], ths[doc[x]], (code & 1)[x], *cut))
+                size += len(x)
+                if size >= CHUNK_FRAGMENTS:
+                    yield _batch(dealt(held))
+                    held, size, seen = [], 0, set(fresh)
         if held and (rows := list(dealt(held))):
             yield _batch(rows)
 
@@ -705,9 +809,9 @@ def _compare(length: int, buckets: int):
             th, begin, lo, hi, side = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 6))
             text = np.concatenate([_unpack_text(r[1], width) for r in rows])
             key = _keys_of(text, side, length)
-            order, start = _merged(key, k, th, lo, hi, text)
+            order, start = _merged(key, lo, hi, text)
             one = order[start]
-            low = k[one]
+            low = np.minimum.reduceat(k[order], start)
             first, last = _repeated(key[one], low, lo[one], hi[one], text[one], length)
             of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
             k, th, begin = k[order], th[order], begin[order] - before
@@ -736,14 +840,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = n * max(1, -(-size // (n * BUCKET_BYTES)))
     texts = docs.select(*_row_key(), raw("text").alias("t"))
-    dealt = texts.mapInArrow(_deal(buckets, length), _DEALT_SQL)
-    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length), _FOUND_SQL), "candidates")
+    dealt = texts.mapInArrow(_deal(buckets, length, TURNS), _DEALT_SQL)
+    found = materialize(_dealt(dealt, n, "bucket").mapInArrow(_settle(buckets, length, TURNS), _FOUND_SQL), "candidates")
     hot = found.where(f"kind = {_HOT}").orderBy(F.desc("load"), "data").limit(HOT_KEYS).select("data").collect()
     hot = np.sort(np.frombuffer(b"".join(r.data for r in hot), "<u8"))
-    sides = _dealt(found.where(f"kind = {_SIDE}"), n, "dest").mapInArrow(_gather(_SIDE), _GATHERED_SQL)
     spans = []
     for turn in range(TURNS):
-        cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot, turn, TURNS), _DEALT_SQL)
+        sides = _dealt(found.where(f"kind = {_SIDE} and load = {turn}"), n, "dest").mapInArrow(_gather(_SIDE), _GATHERED_SQL)
+        cut = texts.join(sides, ["k", "th"]).select("k", "th", "t", "entries").mapInArrow(_cut(buckets, length, hot), _DEALT_SQL)
         spans.append(materialize(_dealt(cut, n, "bucket").mapInArrow(_compare(length, buckets), _FOUND_SQL), "spans"))
     discard(found)
     every = functools.reduce(DataFrame.union, spans)

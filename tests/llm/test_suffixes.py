@@ -56,6 +56,50 @@ def test_every_string_has_an_anchor(rng):
     assert set(at[(at >= 1000) & (at < 1150)][1:-1] - 998) <= set(other)
 
 
+def test_blocks_of_texts(rng, monkeypatch):
+    """Texts of a block have the anchors and keys that each has alone, and small texts share numpy's calls."""
+    rows = [(i, 7 * i, bytes(rng.integers(97, 123, int(n), dtype=np.uint8))) for i, n in enumerate(rng.integers(0, 300, 400))]
+    rows += [(400, 1, rows[5][2] + rows[6][2] + rows[7][2]), (401, 1, b"a" * 90), (399, 5, b"b" + rows[9][2])]
+    batch = X.pa.RecordBatch.from_arrays([X.pa.array(c, t) for c, t in zip(zip(*rows), (X.pa.int64(), X.pa.int64(), X.pa.binary()))], ["k", "th", "t"])
+    calls = []
+    plain_hash = X._hashed
+    monkeypatch.setattr(X, "_hashed", lambda *a: calls.append(len(a[1])) or plain_hash(*a))
+    dealt = [b for b in X._deal(4, 50)([batch])]
+    assert len(calls) < 40  # three for each text before
+    sides, again = [], []
+    for bucket, ids, hashes in zip(*(c.to_pylist() for b in dealt for c in b.columns)):
+        k, th, code = X._unpack(ids, "<i8", "<i8", "<u4")
+        (sides if bucket >= 0 else again).extend(zip(np.cumsum(k).tolist(), th.tolist(), code.tolist(), X._unpack(hashes, "<u8")[0].tolist() if bucket >= 0 else code.tolist()))
+    expected = {}
+    for k, th, data in rows:
+        for at in X.anchors(data)[0].tolist():
+            for side, lo, hi, salt in ((0, at - 17, at + 16, 0), (1, at, at + 34, 1)):
+                if lo >= 0 and hi <= len(data):
+                    expected[k, th, 2 * at + side] = int(plain_hash(data[lo:hi] + bytes(15), np.array([0]), hi - lo, salt)[0]) | 1
+    owners = {}
+    for (k, _, _), key in expected.items():
+        owners.setdefault(key, set()).add(k)
+    shared = {x for x, key in expected.items() if len(owners[key]) > 1}
+    assert shared and {x[:3] for x in again} == shared
+    alone = {x[:3]: x[3] for x in sides if x[2] != X._NO_CODE}
+    assert alone == {x: key for x, key in expected.items() if x not in shared}
+    loads = {x[3]: x[1] for x in sides if x[2] == X._NO_CODE}
+    assert set(loads) == {expected[x] for x in shared} and set(loads.values()) == {1, 2}
+    # the size of a block changes nothing
+    for size in (1, 700):
+        monkeypatch.setattr(X, "BLOCK_BYTES", size)
+        assert [b for b in X._deal(4, 50)([batch])] == dealt
+    # fragments are cut block by block too
+    codes = [np.array([x[2] for x in sorted(shared) if x[:2] == r[:2]], "<u4").tobytes() for r in rows]
+    batch = X.pa.RecordBatch.from_arrays([*batch.columns, X.pa.array(codes, X.pa.binary())], ["k", "th", "t", "entries"])
+    found = []
+    for size in (1, 700, 1 << 16):
+        monkeypatch.setattr(X, "BLOCK_BYTES", size)
+        calls.clear()
+        found.append(list(X._cut(4, 50, np.empty(0, "<u8"))([batch])))
+    assert found[0] == found[1] == found[2] and len(calls) < 10
+
+
 def texts(rng, n=60):
     """Copies, near copies, shared passages at any place, runs of one letter."""
     letters = "abcdefghij  \n"
