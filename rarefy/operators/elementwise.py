@@ -1,6 +1,7 @@
 """Element-wise functions: projections and joins on coordinates.
 
-* one tensor and scalars: a projection and a filter, no exchange;
+* one tensor and scalars, or tensors that are projections of the same rows: a projection and a
+  filter, no exchange;
 * a function that zero annihilates (multiply, and) over zero fills: an inner equi-join on the
   coordinates that both sides really have; stretched dimensions are never expanded;
 * everything else: a union of tagged rows grouped by coordinate. The grouping is partially
@@ -11,7 +12,9 @@ Stored results that equal the result's fill value are pruned.
 
 from __future__ import annotations
 
+import builtins
 import functools
+import math
 import operator
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee, registry
-from ..functions.types import cast, literal, spark_type
-from ..tensor import Tensor, names
+from ..functions.types import cast, literal, same, spark_type
+from ..tensor import MOST_STEPS, Origin, Tensor, names
 
 
 def as_tensor(x) -> Tensor:
@@ -119,6 +122,10 @@ def elemwise(func, *args, dtype=None, **kwargs):
     coords = names(len(shape))
     layouts = {t.layout for t in tensors}
     layout = layouts.pop() if len(layouts) == 1 and layouts <= {"dok", "gcxs"} else "coo"
+    # a call to Python is made once, not wherever its result is used
+    written = entry is not None and not kwargs and out.kind in "biuf" and not any(d.name == "float16" for d in dtypes)
+    if origin := _one_origin(tensors, shape):
+        return _projected(origin, tensors, compute({i: a.origin.value for i, a in zip(at, tensors)}), fill, out, layout, written)
     if len(at) == 1:
         df = expand(tensors[0], shape).withColumn("v", compute({at[0]: F.col("v")}))
     elif len(at) == 2 and entry is not None and entry.annihilates and not any(t.fill_value for t in tensors) and _may_join(tensors, shape):
@@ -129,6 +136,39 @@ def elemwise(func, *args, dtype=None, **kwargs):
     return result.pruned()
 
 
+def _one_origin(tensors: list[Tensor], shape=None, most=MOST_STEPS) -> Origin | None:
+    """The rows that all tensors are projections of; None where there are none, a tensor stretches or values get long."""
+    first = tensors[0].origin
+    if any(t.origin.df is not first.df or t.shape != (shape or tensors[0].shape) for t in tensors):
+        return None
+    steps = builtins.sum(t.origin.steps for t in tensors)
+    return Origin(first.df, first.value, None, steps) if steps <= most or len(tensors) == 1 else None
+
+
+def _projected(origin: Origin, tensors: list[Tensor], value: Column, fill, dtype: np.dtype, layout: str = "coo", written=True) -> Tensor:
+    """The tensor with that value in its origin's rows; written: whether later functions may repeat it."""
+    df = origin.df.select(*tensors[0].columns, value.alias("v"))
+    made = Origin(origin.df, value, None, origin.steps + 1) if written and origin.steps < MOST_STEPS else None
+    result = Tensor(df, tensors[0].shape, fill, dtype, layout, cells=builtins.max(t.cells for t in tensors), origin=made).pruned()
+    return result if made else result.ended()
+
+
+def stored_side_by_side(tensors: list[Tensor], dtype: np.dtype) -> DataFrame | None:
+    """Cells of several tensors with the number of their tensor, ``_part``, in one pass over the rows they share."""
+    if len(tensors) < 2 or not _one_origin(tensors, most=math.inf) or any(t.dtype.kind not in "biuf" for t in tensors):
+        return None
+    columns, parts = [], []
+    for k, t in enumerate(tensors):
+        keep, v = t.origin.keep, F.col(f"_v{k}")
+        columns.append(t.origin.value.alias(f"_v{k}"))
+        if isinstance(keep, Column):
+            columns.append(keep.alias(f"_k{k}"))
+        kept = F.lit(True) if keep is None else ~same(v, t.fill_value, t.dtype) if keep is True else F.col(f"_k{k}")
+        parts.append(F.when(kept, F.struct(F.lit(k).alias("_part"), cast(v, t.dtype, dtype).alias("v"))))
+    rows = tensors[0].origin.df.select(*tensors[0].columns, *columns)
+    return rows.select(*tensors[0].columns, F.inline(F.array_compact(F.array(*parts))))
+
+
 def side_by_side(x, **functions) -> DataFrame:
     """Several functions of one tensor's stored cells: the coordinates, then a column for each, in one projection.
 
@@ -244,7 +284,13 @@ def astype(x, dtype, *, copy=True, device=None) -> Tensor:
     x, dtype = as_tensor(x), np.dtype(dtype)
     with np.errstate(all="ignore"):
         fill = np.asarray(x.fill_value).astype(dtype)[()]
-    return Tensor(x.df.withColumn("v", cast(F.col("v"), x.dtype, dtype)), x.shape, fill, dtype, x.layout)
+    origin = None
+    if x.dtype.kind in "biuf" and dtype.kind in "biuf" and x.origin.steps < MOST_STEPS:
+        df, value, keep, steps = x.origin
+        keep = ~same(value, x.fill_value, x.dtype) if keep is True else keep
+        origin = Origin(df, cast(value, x.dtype, dtype), keep, steps + 1)
+    result = Tensor(x.df.withColumn("v", cast(F.col("v"), x.dtype, dtype)), x.shape, fill, dtype, x.layout, cells=x.cells, origin=origin)
+    return result if origin else result.ended()
 
 
 def round(x, decimals=0, out=None) -> Tensor:  # noqa: A001
@@ -300,6 +346,8 @@ def _choose(condition, x, y):
         c, p, q = (cast(next(cs), o, d) if isinstance(a, Tensor) else literal(a, d) for a, o, d in zip(args, own, dtypes))
         return F.when(c, p).otherwise(q)
 
+    if origin := _one_origin(tensors, shape):
+        return _projected(origin, tensors, compute([t.origin.value for t in tensors]), fill, out, written=out.kind in "biuf")
     return Tensor(_grouped(tensors, shape, compute), shape, fill, out).pruned()
 
 

@@ -43,7 +43,7 @@ def _reduce(x: Tensor, axis, keepdims: bool, aggregates: list[Column], finish, d
         shape = tuple(x.shape[i] for i in kept)
         coords = [F.col(f"d{i}").alias(f"d{j}") for j, i in enumerate(kept)]
     value = finish(*(F.col(f"s{k}") for k in range(len(aggregates))))
-    return Tensor(df.select(*coords, value.alias("v")), shape, fill, dtype).pruned()
+    return Tensor(df.select(*coords, value.alias("v")), shape, fill, dtype, cells=x.cells).pruned()
 
 
 def _lane_fill(x: Tensor, axis, f) -> np.generic:

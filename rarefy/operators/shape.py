@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import cast
-from ..tensor import Tensor, normalize_axis
-from .elementwise import as_tensor, elemwise, expand
+from ..tensor import Tensor, names, normalize_axis
+from .elementwise import as_tensor, elemwise, expand, stored_side_by_side
 
 
 def _div(a: Column, b: int) -> Column:
@@ -145,8 +146,11 @@ def _one_fill(arrays: list[Tensor]):
     return first
 
 
-def _joined(arrays: list[Tensor], shifted: list[DataFrame], shape) -> Tensor:
+def _joined(arrays: list[Tensor], shifted: list[DataFrame], shape, placed: Callable[[DataFrame], DataFrame]) -> Tensor:
+    """The tensors' shifted rows; placed does the same to rows of all of them, with the number of their tensor."""
     dtype = np.result_type(*(a.dtype for a in arrays))
+    if (rows := stored_side_by_side(arrays, dtype)) is not None:
+        return Tensor(placed(rows).select(*names(len(shape)), "v"), shape, _one_fill(arrays), dtype)
     parts = [df.withColumn("v", cast(F.col("v"), a.dtype, dtype)) for a, df in zip(arrays, shifted)]
     return Tensor(functools.reduce(DataFrame.unionByName, parts), shape, _one_fill(arrays), dtype)
 
@@ -163,7 +167,8 @@ def concat(arrays, axis=0, compressed_axes=None) -> Tensor:
     shifted = [a.df.withColumn(f"d{axis}", F.col(f"d{axis}") + F.lit(int(s))) for a, s in zip(arrays, starts)]
     shape = list(arrays[0].shape)
     shape[axis] = int(starts[-1])
-    return _joined(arrays, shifted, shape)
+    start = F.element_at(F.array(*(F.lit(int(s)).cast("long") for s in starts[:-1])), F.col("_part") + 1)
+    return _joined(arrays, shifted, shape, lambda rows: rows.withColumn(f"d{axis}", F.col(f"d{axis}") + start))
 
 
 def stack(arrays, axis=0, compressed_axes=None) -> Tensor:
@@ -175,7 +180,8 @@ def stack(arrays, axis=0, compressed_axes=None) -> Tensor:
     shifted = [a.df.withColumn(f"d{axis}", F.lit(k).cast("long")) for k, a in enumerate(wide)]
     shape = list(wide[0].shape)
     shape[axis] = len(arrays)
-    return _joined(wide, shifted, shape)
+    coords = [F.col("_part").cast("long").alias(f"d{i}") if i == axis else F.col(f"d{i - (i > axis)}").alias(f"d{i}") for i in range(len(shape))]
+    return _joined(arrays, shifted, shape, lambda rows: rows.select(*coords, "v"))
 
 
 def unstack(x, axis=0) -> tuple[Tensor, ...]:

@@ -72,15 +72,16 @@ def coo(coords, data=None, shape=None, has_duplicates=True, sorted=False, prune=
     return out.enable_caching() if cache else out
 
 
-def from_df(df: DataFrame, coords: list[str], value, shape, fill_value=0, dtype=None, has_duplicates=True, prune=False) -> Tensor:
+def from_df(df: DataFrame, coords: list[str], value, shape, fill_value=0, dtype=None, has_duplicates=True, prune=False, cells=None) -> Tensor:
     """From a table: columns (or expressions) as coordinates and one as value. Nothing is collected.
 
     has_duplicates: sum the values of repeated coordinates; False where they are known not to repeat.
+    cells: about how many rows there are, where that is known.
     """
     value = F.col(value) if isinstance(value, str) else value
     out = df.select(*((F.col(c) if isinstance(c, str) else c).cast("long").alias(f"d{i}") for i, c in enumerate(coords)), value.alias("v"))
     dtype = np.dtype(dtype) if dtype is not None else numpy_type(out.schema["v"].dataType)
-    t = Tensor(out.withColumn("v", F.col("v").cast(spark_type(dtype))), shape, fill_value, dtype)
+    t = Tensor(out.withColumn("v", F.col("v").cast(spark_type(dtype))), shape, fill_value, dtype, cells=cells)
     t = t.summed() if has_duplicates else t
     return t.pruned() if prune else t
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.types import literal, same, spark_type
@@ -39,16 +40,37 @@ def normalize_axis(axis, ndim: int):
     return axis % ndim
 
 
+class Origin(NamedTuple):
+    """Rows with unique coordinates, and what a tensor makes of each: a value, and whether it is stored.
+
+    A row that isn't stored has the tensor's fill value, as cells without a row have. keep: None
+    where all are stored, True where those are that differ from the fill value. steps: the functions
+    in the value, of which each is written out where it is used.
+    """
+
+    df: DataFrame
+    value: Column
+    keep: Column | bool | None = None
+    steps: int = 1
+
+
+#: Values of more functions aren't written out: an exchange keeps the next ones apart.
+MOST_STEPS = 16
+
+
 class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
     """A mostly-empty n-dimensional array over Spark.
 
     layout is a hint of how rows are laid out ("coo", "gcxs" with compressed_axes, "csr", "csc",
-    "dok"); it never changes results. unique=False says that coordinates may repeat.
+    "dok"); it never changes results. unique=False says that coordinates may repeat. cells is about
+    how many cells are stored, where that is known without a job; only plans depend on it. origin
+    tells that the rows are a projection of another tensor's: functions of tensors with one origin
+    are again a projection of it, without an exchange.
     """
 
     __array_priority__ = 12
 
-    def __init__(self, df: DataFrame, shape, fill_value=0, dtype="float64", layout: str = "coo", compressed_axes=None):
+    def __init__(self, df: DataFrame, shape, fill_value=0, dtype="float64", layout: str = "coo", compressed_axes=None, cells: float | None = None, origin: Origin | None = None):
         self.shape = tuple(int(s) for s in shape)
         if any(s < 0 for s in self.shape):
             raise ValueError("dimensions can't be negative")
@@ -59,6 +81,8 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         if layout not in FORMATS:
             raise ValueError(f"unknown format {layout!r}")
         self.layout, self.compressed_axes = layout, compressed_axes
+        self.cells = float(min(self.size, self.size if cells is None else cells))
+        self._origin = origin
         self._nnz: int | None = None
 
     # ------------------------------------------------------------ metadata
@@ -116,20 +140,39 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         rows = {"Format": self.layout, "Data type": self.dtype, "Shape": self.shape, "Fill value": self.fill_value, "Size": self.size}
         return "<table>" + "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in rows.items()) + "</table>"
 
+    @property
+    def origin(self) -> Origin:
+        return self._origin or Origin(self.df, F.col("v"))
+
+    def ended(self) -> Tensor:
+        """The same, with its own rows as the origin of what is made of it alone."""
+        self._origin = Origin(self.df, F.col("v"), None, MOST_STEPS)
+        return self
+
     # ------------------------------------------------------------ making new ones
 
     def new(self, df: DataFrame, shape=None, fill_value=None, dtype=None, layout: str = "coo") -> Tensor:
+        shape = self.shape if shape is None else shape
         return Tensor(
             df,
-            self.shape if shape is None else shape,
+            shape,
             self.fill_value if fill_value is None else fill_value,
             self.dtype if dtype is None else dtype,
             layout,
+            cells=self.cells if math.prod(map(int, shape)) == self.size else None,
         )
 
     def pruned(self) -> Tensor:
         """Without stored cells that equal the fill value."""
-        return self.new(self.df.where(~same(F.col("v"), self.fill_value, self.dtype)), layout=self.layout)
+        out = self.new(self.df.where(~same(F.col("v"), self.fill_value, self.dtype)), layout=self.layout)
+        # complex values and structs aren't written out
+        if self.dtype.kind in "biuf" and self.origin.steps < MOST_STEPS:
+            df, value, _, steps = self.origin
+            if self.dtype.kind == "f" and self.fill_value == 0:
+                # a zero that isn't stored has the fill's sign
+                value = -(-value + self.lit(0)) if np.signbit(self.fill_value) else value + self.lit(0)
+            out._origin = Origin(df, value, True, steps)
+        return out
 
     def summed(self) -> Tensor:
         """Repeated coordinates become one cell with their sum (for booleans: any)."""
@@ -364,7 +407,9 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         return reduce.by_ufunc(self, method, axis, keepdims)
 
     def copy(self, deep=True) -> Tensor:
-        return self.new(self.df, layout=self.layout)
+        out = self.new(self.df, layout=self.layout)
+        out._origin = self._origin
+        return out
 
     def asformat(self, format, **kwargs):  # noqa: A002
         from .plans import layout
@@ -388,7 +433,7 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
 
     def enable_caching(self) -> Tensor:
         """Keeps the rows after the first action that makes them."""
-        self.df = self.df.persist()
+        self.df, self._origin = self.df.persist(), None
         return self
 
 
